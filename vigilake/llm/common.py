@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,16 +22,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the folder that executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only
+    It is the session's ``spark.checkpoint.dir``; a temporary one is set only
     where the session names none (local tests).
     """
     spark = df.sparkSession
+    shared_folder(spark)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, which all executors see."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        )
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """A new path under the shared folder for tables of one run."""
+    return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
 
 
 def crc_mod(column: str, modulus: int) -> Column:

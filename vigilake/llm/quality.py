@@ -150,22 +150,42 @@ def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, r
     return LabelModel(tuple(shares), tuple(map(tuple, rates)))
 
 
-def rate_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
-    """Adds the features, ``quality`` (posterior of good) and the verdict ``kept``.
+def fit_to(features: DataFrame, rules: tuple[Rule, ...] = RULES) -> LabelModel:
+    """The label model of all rows of a table of features; at most 3**rules counts reach the driver."""
+    votes = [r.vote().alias(f"v{i}") for i, r in enumerate(rules)]
+    rows = features.groupBy(*votes).agg(F.count("*").alias("n")).collect()
+    return fit_label_model([(tuple(r[:-1]), r["n"]) for r in rows], len(rules))
+
+
+def judge(features: DataFrame, model: LabelModel, rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
+    """Adds ``quality`` (posterior of good), ``base_failed`` and the verdict ``kept``.
 
     ``base_failed``: fewer than 50 words, or over half of the words inside repeated windows
-    of three; such documents are not kept whatever the posterior.  Features are written to
-    the checkpoint folder once, as EM and the verdict both need them; leave wide columns out.
+    of three; such documents are not kept whatever the posterior.
     """
-    rated = text_features(df, text)
-    rated = rated.drop(text) if text in rated.columns else rated
-    rated = checkpointed(rated)
-    votes = [r.vote() for r in rules]
-    rows = rated.groupBy(*[v.alias(f"v{i}") for i, v in enumerate(votes)]).agg(F.count("*").alias("n")).collect()
-    model = fit_label_model([(tuple(r[:-1]), r["n"]) for r in rows], len(rules))
     failed = (F.col("f_words") < 50) | (100 * F.col("f_repeat_words") > 50 * F.col("f_words"))
-    rated = rated.withColumn("quality", model.posterior(votes)).withColumn("base_failed", failed)
-    return rated.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
+    judged = features.withColumn("quality", model.posterior([r.vote() for r in rules])).withColumn("base_failed", failed)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
+
+
+def rate_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
+    """``df`` without ``text``, with features, posterior and verdict.
+
+    Features are written to the checkpoint folder once, as EM and the verdict both need
+    them; leave wide columns out.
+    """
+    features = checkpointed(text_features(df, text).drop(text))
+    return judge(features, fit_to(features, rules), rules, least)
+
+
+def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
+    """The rows of ``df`` that are kept, whole.
+
+    Texts are read once for EM and once for the verdict, so that they are neither shuffled
+    nor written.
+    """
+    model = fit_to(text_features(df.select(text), text), rules)
+    return judge(text_features(df, text), model, rules, least).filter("kept").select(*df.columns)
 
 
 def quality_digest(df: DataFrame) -> DataFrame:
