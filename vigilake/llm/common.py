@@ -43,6 +43,15 @@ def stage_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
 
 
+def with_held_column(df: DataFrame, name: str, expression: Column) -> DataFrame:
+    """Like withColumn, through a generator of one row.
+
+    A filter on the column then stays above it.  Otherwise it would move below the whole
+    chain of columns with every reference spelt out, growing by a factor at each step.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(expression)).alias(name))
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the column as text, modulo ``modulus`` (null counts as empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import WHITESPACE, checkpointed
+from vigilake.llm.common import WHITESPACE, checkpointed, with_held_column
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -165,7 +165,7 @@ def judge(features: DataFrame, model: LabelModel, rules: tuple[Rule, ...] = RULE
     """
     failed = (F.col("f_words") < 50) | (100 * F.col("f_repeat_words") > 50 * F.col("f_words"))
     judged = features.withColumn("quality", model.posterior([r.vote() for r in rules])).withColumn("base_failed", failed)
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
+    return with_held_column(judged, "kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
 def rate_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.llm.common import with_held_column
+
 
 def either_case(words: str) -> str:
     """Letters as two-letter classes: ASCII case only, in every regex engine alike."""
@@ -196,7 +198,7 @@ def scan_secrets(
 
     parts = [fixed(name, order) for order, name in enumerate(("_s_assign", "_s_access", "_s_hex"))]
     parts += [dense(kind, order) for order, kind in enumerate(classes, 3)]
-    return df.withColumn(out, F.sort_array(F.concat(*parts))).drop(own, "_s_assign", "_s_access", "_s_hex", "_s_cand")
+    return with_held_column(df, out, F.sort_array(F.concat(*parts))).drop(own, "_s_assign", "_s_access", "_s_hex", "_s_cand")
 
 
 def redact_secrets(df: DataFrame, text: str = "text", spans: str = "secret_spans", marker: str = "[SECRET]") -> DataFrame:
