@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm import decontamination, quality, secrets, simhash
+from vigilake.llm import decontamination, quality, secrets, sentencepieces, simhash
 from vigilake.llm.common import read_table, stage_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -37,11 +37,18 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the checks of the encoding and without the text."""
+    coded = sentencepieces.encode_pieces(docs.select(*COLUMNS), keep_text=False)
+    return coded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids", "n_differing", "decodes")
+
+
 STAGES = [
     ("quality rules", keep_quality),
     ("near duplicates", drop_near_duplicates),
     ("benchmark passages", drop_benchmark),
     ("secrets", redact_secrets),
+    ("token ids", encode_pieces),
 ]
 
 #: Components and label models have no SQL form; the stages are tested against brute force.

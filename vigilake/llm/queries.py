@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilake.llm import ctw, decontamination, quality, secrets, sharding, simhash
+from vigilake.llm import chat, ctw, decontamination, language, quality, secrets, sentencepieces, sharding, simhash, toxicity
 from vigilake.llm.common import read_table
 
 QUERIES = {
@@ -12,8 +12,12 @@ QUERIES = {
         read_table(spark, d, "documents"), read_table(spark, d, "benchmark")
     ),
     "op4_context_tree_scores": lambda spark, d: ctw.score_digest(read_table(spark, d, "documents")),
+    "op5_sentence_pieces": lambda spark, d: sentencepieces.piece_digest(read_table(spark, d, "documents")),
+    "op6_language_id": lambda spark, d: language.language_digest(read_table(spark, d, "documents")),
     "op7_simhash_groups": lambda spark, d: simhash.simhash_digest(read_table(spark, d, "documents")),
+    "op8_chat_repair": lambda spark, d: chat.chat_digest(read_table(spark, d, "conversations")),
     "op9_quality_votes": lambda spark, d: quality.quality_digest(read_table(spark, d, "documents")),
+    "op10_toxicity_grades": lambda spark, d: toxicity.toxicity_digest(read_table(spark, d, "documents"), read_table(spark, d, "labels")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
