@@ -1,9 +1,10 @@
 """Toxicity by cumulative-link ordinal regression on sparse word features.
 
-P(grade <= k) = sigmoid(threshold_k - score), with one weight by word shared by all
-thresholds.  Labels say toxic or not; toxic training documents are graded by how many words
-they hold that are far more frequent in toxic ones.  Weights are fitted with an L1 penalty,
-so that ordinary words get none and long clean documents gather no score.
+P(grade <= k) = sigmoid(threshold_k - score), with one weight by feature shared by all
+thresholds.  Features are a document's words and their first four to seven bytes, so that
+forms of one stem count together.  Labels say toxic or not; toxic training documents are graded by how many
+features they hold that are far more frequent in toxic ones.  Weights are fitted with an L1
+penalty, so that ordinary words get none and long clean documents gather no score.
 """
 
 from __future__ import annotations
@@ -22,11 +23,30 @@ from vigilake.llm.decontamination import words
 
 #: Labelled documents of each class that training sees at most (about), and grades above 0.
 SAMPLE, GRADES = 2000, 3
+#: Distinct words whose features a task remembers.
+HELD = 400_000
+
+
+#: Lengths in bytes of the prefixes of a word that are features of their own.
+PREFIXES = (4, 5, 6, 7)
+
+
+def features_of(word: bytes) -> list[bytes]:
+    """The word, and its shorter prefixes behind a mark that no word has."""
+    return [word, *(b"^" + word[:k] for k in PREFIXES if len(word) > k)]
+
+
+def count_features(text: bytes) -> Counter[bytes]:
+    found: Counter[bytes] = Counter()
+    for word, n in Counter(words(text)).items():
+        for f in features_of(word):
+            found[f] += n
+    return found
 
 
 @dataclass
 class OrdinalModel:
-    """Weights by word, and ascending thresholds between the grades."""
+    """Weights by feature, and ascending thresholds between the grades."""
 
     weights: dict[bytes, float]
     thresholds: np.ndarray
@@ -62,8 +82,16 @@ def severity_grades(documents: list[tuple[Counter, int]], grades: int = GRADES)
     return [1 + sum(h > c for c in cuts) if t else 0 for h, (_, t) in zip(hits, documents, strict=True)]
 
 
-def fit_ordinal(documents: list[tuple[Counter, int]], grades: list[int], least: int = 3, penalty: float = 2e-3, rounds: int = 400) -> OrdinalModel:
-    """Accelerated proximal gradient on the cumulative-link likelihood over words in at least ``least`` documents.
+def fit_ordinal(documents: list[tuple[Counter, int]], grades: list[int], least: int = 3, penalty: float = 6e-3, refit: float = 4e-4) -> OrdinalModel:
+    """Features by the full penalty, then their weights by a lighter one."""
+    chosen = _fit(documents, grades, least, penalty)
+    if not chosen.weights:
+        return chosen
+    return _fit([(Counter({f: n for f, n in c.items() if f in chosen.weights}), t) for c, t in documents], grades, least, refit)
+
+
+def _fit(documents: list[tuple[Counter, int]], grades: list[int], least: int, penalty: float, rounds: int = 400) -> OrdinalModel:
+    """Accelerated proximal gradient on the cumulative-link likelihood over features in at least ``least`` documents.
 
     The classes of the sample count by their numbers.  No documents: a model that gives grade 0.
     """
@@ -121,7 +149,7 @@ def draw_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, sampl
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "_text"):
-            counted = [Counter(words(t)) for t in texts]
+            counted = [count_features(t) for t in texts]
             yield pa.RecordBatch.from_pydict(
                 {
                     "order": part.column(part.schema.get_field_index("_order")),
@@ -140,9 +168,20 @@ def draw_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, sampl
 def _grade(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        known = model.weights.__contains__
+        weights, held = model.weights, {}
         for part, texts in text_slices(batches, "_text"):
-            scores = np.array([model.score(Counter(filter(known, words(t)))) for t in texts])
+            if len(held) > HELD:
+                held = {}
+            scores = np.zeros(len(texts))
+            for i, text in enumerate(texts):
+                own: Counter[bytes] = Counter()
+                for word in words(text):
+                    known = held.get(word)
+                    if known is None:
+                        known = held[word] = tuple(f for f in features_of(word) if f in weights)
+                    if known:
+                        own.update(known)
+                scores[i] = model.score(own)
             p = model.grades(scores)
             out = {n: part.column(i) for i, n in enumerate(part.schema.names) if n != "_text"}
             out["expected_severity"] = pa.array(p @ np.arange(p.shape[1]))
