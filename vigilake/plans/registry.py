@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilake.functions import columns as C
-from vigilake.operators import coverage, objects, scenes, scorecard, segments
+from vigilake.operators import background, compaction, coverage, objects, scenes, scorecard, segments
 from vigilake.plans import views as V
 
 QUERIES: dict = {}
@@ -482,3 +482,50 @@ def _(spark, d):
         F.col("event_id").alias("object_id"), code.alias("hash"), F.concat(F.lit("cam_"), (F.col("event_id") % 16).cast("string")).alias("camera_id"), F.col("ts").alias("first_seen")
     )
     return objects.decide(objects.match_objects(detections, registry, bits=4), registry).select("detection_id", "camera_id", "object_id", "distance", "action")
+
+
+# Pixel jobs have no SQL form; the tests compare them with plain loops.
+
+
+@query("background_activity")
+def _(spark, d):
+    found = background.subtract_background(V.tiny_clips(spark, d), min_area=1, pad=1, history=50)
+    return found.select("category", "scene", "method", "frame_idx", "coverage", F.size("regions").alias("n_regions"))
+
+
+@query("tiled_background_activity")
+def _(spark, d):
+    found = background.subtract_background(V.tiny_clips(spark, d), min_area=1, pad=1, history=50, tile=4)
+    return found.select("category", "scene", "method", "frame_idx", "coverage", F.size("regions").alias("n_regions"))
+
+
+@query("background_regions")
+def _(spark, d):
+    return background.explode_regions(background.subtract_background(V.tiny_clips(spark, d), min_area=1, pad=1, history=50))
+
+
+def _packed(spark, d):
+    numbered = segments.number_segments(V.tiny_clips(spark, d), 10, 0)
+    return compaction.pack_frames(numbered.withColumn("crf", C.quality_tier(F.col("segment_no") % 2 == 0)))
+
+
+@query("packed_segments")
+def _(spark, d):
+    return compaction.segment_sizes(_packed(spark, d))
+
+
+@query("packed_quality")
+def _(spark, d):
+    return compaction.sampled_quality(V.tiny_clips(spark, d), _packed(spark, d))
+
+
+@query("clip_scorecard")
+def _(spark, d):
+    frames = V.tiny_clips(spark, d)
+    activity = background.subtract_background(frames, min_area=1, pad=1, history=50)
+    tiers = scorecard.tier_plan(activity, warmup=20)
+    packed = _packed(spark, d)
+    chosen = packed.groupBy("scene").agg(F.sum("bytes").alias("bytes")).withColumn("variant", F.lit("selective"))
+    original = frames.groupBy("scene").agg(F.sum(F.length("px")).alias("bytes")).withColumn("variant", F.lit("original"))
+    sizes = scorecard.variant_sizes(chosen.unionByName(original))
+    return scorecard.scorecard(sizes, tiers, compaction.sampled_quality(frames, packed))

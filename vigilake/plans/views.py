@@ -152,3 +152,16 @@ BOXES_SQL = """boxes AS (
   SELECT l_orderkey, l_linenumber, CAST(l_partkey % 640 AS INT) AS x, CAST(l_suppkey % 480 AS INT) AS y,
          CAST(l_quantity AS INT) AS w, CAST(l_linenumber * 10 AS INT) AS h, CAST(l_quantity AS INT) * CAST(l_linenumber * 10 AS INT) AS area
   FROM lineitem)"""
+
+
+def tiny_clips(spark: SparkSession, d: str) -> DataFrame:
+    """The grey frames as BGR pixel tables, one clip a label."""
+    grey = F.array_join(F.transform("px", lambda x: F.repeat(F.lpad(F.hex(x.cast("long")), 2, "0"), 3)), "")
+    return tiny_frames(spark, d).select(
+        F.lit("vectors").alias("category"),
+        F.concat(F.lit("label_"), F.col("scene").cast("string")).alias("scene"),
+        "frame_idx",
+        F.lit(8).alias("width"),
+        F.lit(8).alias("height"),
+        F.unhex(grey).alias("px"),
+    )
