@@ -283,9 +283,9 @@ def find_contamination(
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` in which no benchmark window occurs."""
-    columns = df.columns
-    return find_contamination(df, benchmark, text, **options).filter("NOT contaminated").select(*columns)
+    """The rows of ``df`` in which no benchmark window occurs, with all their columns."""
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_body"))
+    return find_contamination(rows, benchmark, "_body", keep_text=False, **options).filter("NOT contaminated").select("_row.*")
 
 
 def contamination_digest(df: DataFrame, benchmark: DataFrame) -> DataFrame:

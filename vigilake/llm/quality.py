@@ -29,7 +29,7 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
 
     Windows of three words are compared by their xxhash64.  Repeated ones are found by
     sorting (hash, place) inside the document, and only where the hashes have duplicates.
-    ``_q_*`` are working names; columns named like results are replaced.
+    Columns named ``f_*`` or ``_q_*`` are dropped.
     """
     df = df.withColumn("_q_text", F.coalesce(F.col(text), F.lit("")))
     trimmed = _trim("_q_text")
@@ -43,7 +43,7 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
     )
     df = df.withColumn("_q_lines", F.filter(F.split("_q_text", "\n", -1), lambda x: _trim(x) != ""))
     df = df.select(
-        *[c for c in df.columns if not c.startswith("_q_")],
+        *[c for c in df.columns if not c.startswith(("_q_", "f_"))],
         F.size("_q_words").cast("long").alias("f_words"),
         F.length(F.array_join("_q_words", "")).cast("long").alias("f_word_chars"),
         F.size(F.array_distinct("_q_words")).cast("long").alias("f_distinct_words"),
@@ -185,7 +185,8 @@ def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     nor written.
     """
     model = fit_to(text_features(df.select(text), text), rules)
-    return judge(text_features(df, text), model, rules, least).filter("kept").select(*df.columns)
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_body"))
+    return judge(text_features(rows, "_body"), model, rules, least).filter("kept").select("_row.*")
 
 
 def quality_digest(df: DataFrame) -> DataFrame:

@@ -225,29 +225,33 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(df: DataFrame, order: str, text: str = "text", k: int = DIFFERENCES) -> DataFrame:
-    """``df`` without ``text``, with ``_fp`` and ``component_id``, the smallest ``order`` value that it reaches.
+    """``df`` without ``text``, with ``_fp``, ``component_id`` and ``_group``.
+
+    ``component_id`` is the smallest ``order`` value that a row reaches.  ``_group`` tells
+    groups apart even where values of ``order`` repeat.
 
     Rows with equal fingerprints belong together, those without words too (fingerprint 0).
     A null in ``order`` is never the smallest unless a group has nothing else.
     """
+    df = df.drop(*({"component_id", "_fp", "_group"} - {order, text}))
     rows = checkpointed(add_fingerprints(df, text))
     codes = checkpointed(rows.groupBy("_fp").agg(F.min(order).alias("_least")))
     roots = connected_components(link_fingerprints(codes.select("_fp"), k)).withColumnRenamed("node", "_fp")
     rooted = codes.join(roots, "_fp", "left").withColumn("root", F.coalesce("root", "_fp"))
     least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = rooted.join(least, "root").select("_fp", "component_id")
+    named = rooted.join(least, "root").select("_fp", "component_id", F.col("root").alias("_group"))
     return rows.join(named, "_fp")
 
 
 def drop_near_duplicates(df: DataFrame, order: str = "doc_id", text: str = "text", k: int = DIFFERENCES) -> DataFrame:
     """One row of each group: the one with the smallest ``order``, then row hash; exact repeats give one row."""
     columns = df.columns
-    keyed = df.withColumn("_row", F.xxhash64(*columns))
-    grouped = near_duplicate_groups(keyed.select(order, "_row", F.col(text).alias("_body")), order, "_body", k)
-    best = grouped.groupBy("component_id").agg(F.min(F.struct(F.col(order).isNull(), order, "_row")).alias("_best"))
-    best = best.select(F.col(f"_best.{order}").alias("_order"), F.col("_best._row").alias("_row"))
-    kept = keyed.join(best, (keyed["_row"] == best["_row"]) & keyed[order].eqNullSafe(best["_order"]), "left_semi")
-    return kept.dropDuplicates([order, "_row"]).select(*columns)
+    keyed = df.withColumn("__row", F.xxhash64(*columns))
+    grouped = near_duplicate_groups(keyed.select(order, "__row", F.col(text).alias("_body")), order, "_body", k)
+    best = grouped.groupBy("_group").agg(F.min(F.struct(F.col(order).isNull(), order, "__row")).alias("_best"))
+    best = best.select(F.col(f"_best.{order}").alias("_order"), F.col("_best.__row").alias("__row"))
+    kept = keyed.join(best, (keyed["__row"] == best["__row"]) & keyed[order].eqNullSafe(best["_order"]), "left_semi")
+    return kept.dropDuplicates([order, "__row"]).select(*columns)
 
 
 def simhash_digest(df: DataFrame) -> DataFrame:
