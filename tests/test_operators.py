@@ -11,7 +11,7 @@ from vigilake.operators import background, compaction, coverage, objects, scenes
 from vigilake.pixels import masks, models, regions
 from vigilake.schemas import FRAMES, SEGMENTS
 from vigilake.sources import frames as sources
-from vigilake.sources import sinks
+from vigilake.sources import manifest, sinks
 
 SEED = [
     (1, "20260101T000000Z", "cam_a", 1, 2, 100000, 60.0, "cam_a_seg1.mp4"),
@@ -232,3 +232,34 @@ def test_reading_image_sequences(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     with pytest.raises(ValueError):
         sources.read_frames(spark, str(tmp_path / "empty"))
+
+
+def test_standard_manifest_and_plans(spark):
+    known = manifest.standard_manifest(spark)
+    rows = known.collect()
+    assert len(rows) == 46 and [r.ord for r in rows] == list(range(46)) and sum(r.night for r in rows) == 6
+    assert {r.scene for r in rows if r.sample_rate_override == 5} == {"port_0_17fps", "tramCrossroad_1fps", "tunnelExit_0_35fps", "turnpike_0_5fps"}
+    found = known.filter("category IN ('thermal', 'turbulence') AND scene <> 'park'")
+    planned = scenes.plan_scenes(found, known, skip=("turbulence",)).collect()
+    assert [r.scene for r in planned] == ["corridor", "diningRoom", "lakeSide", "library"] and {r.sample_rate for r in planned} == {20}
+    assert scenes.missing_scenes(known, found).count() == 46 - 8
+    summary = scenes.run_summary(known, found, known.filter("scene = 'library' OR scene = 'highway'")).first()
+    assert tuple(summary) == (46, 38, 1, 7)
+    rois = spark.createDataFrame([("park", (3, 9))], "scene string, temporal_roi struct<start:int,end:int>")
+    assert scenes.attach_roi(known, rois).filter("temporal_roi.end = 9").count() == 1
+
+
+def test_manifest_from_csv(spark, tmp_path):
+    manifest.standard_manifest(spark).coalesce(1).write.option("header", True).csv(str(tmp_path / "m"))
+    assert manifest.read_manifest(spark, str(tmp_path / "m")).exceptAll(manifest.standard_manifest(spark)).count() == 0
+
+
+def test_ratios_of_files(spark, tmp_path):
+    for name, size in (("a", 6000), ("b", 1000), ("c", 1)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    listing = sources.list_files(spark, str(tmp_path))
+    at = {r.path[-1]: r.path for r in listing.collect()}
+    pairs = spark.createDataFrame([(at["a"], at["b"]), (at["a"], at["c"])], "original string, compressed string")
+    assert sorted(r.compression_ratio for r in scenes.file_ratios(pairs, listing).collect()) == [6.0, 6000.0]
+    with pytest.raises(Exception, match="no such file"):
+        scenes.file_ratios(spark.createDataFrame([("x", "y")], "original string, compressed string"), listing).collect()

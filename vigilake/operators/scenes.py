@@ -77,6 +77,22 @@ def file_sizes(wanted: DataFrame, listing: DataFrame) -> DataFrame:
     return wanted.join(listing.select("path", "length"), "path", "left").withColumn("bytes", F.coalesce("length", F.lit(0))).drop("length")
 
 
+def file_ratios(pairs: DataFrame, listing: DataFrame) -> DataFrame:
+    """Compression ratio of each (original, compressed) pair of paths; a missing file is an error.
+
+    Files of no bytes are not in Spark's listings and count as missing.
+    """
+    sizes = listing.select("path", "length")
+
+    def sized(rows: DataFrame, side: str) -> DataFrame:
+        own = sizes.select(F.col("path").alias(side), F.col("length").alias(f"{side}_bytes"))
+        missing = F.raise_error(F.concat(F.lit("no such file: "), F.col(side))).cast("long")
+        return rows.join(own, side, "left").withColumn(f"{side}_bytes", F.coalesce(f"{side}_bytes", missing))
+
+    both = sized(sized(pairs, "original"), "compressed")
+    return both.withColumn("compression_ratio", C.compression_ratio("original_bytes", "compressed_bytes"))
+
+
 def truncate_at_bad(frames: DataFrame, bad: Column, on_bad: str = "truncate") -> DataFrame:
     """Frames before a clip's first bad one, or all but the bad ones with ``on_bad="drop"``.
 
