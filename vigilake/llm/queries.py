@@ -21,4 +21,8 @@ QUERIES = {
 }
 
 #: The others hash, train or repair, which SQL cannot express; the tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_secret_scans": sql.secret_scans(), "op3_decontamination": sql.decontamination()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scans": sql.secret_scans(),
+    "op2_jump_sharding": sql.jump_sharding(),
+    "op3_decontamination": sql.decontamination(),
+}

@@ -12,8 +12,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The generator's multiplier, as two halves of 32 bits.
-_HIGH, _LOW, _MASK = 2862933555777941757 >> 32, 2862933555777941757 & 0xFFFFFFFF, 0xFFFFFFFF
+#: Multipliers: the generator's, and another one (2**64 over the golden ratio) that deals keys into blocks.
+GENERATOR, SPREAD = 2862933555777941757, 11400714819323198485
+_MASK = 0xFFFFFFFF
 #: A walk to n shards takes ln(n) steps on average; one of more than this many steps is an error.
 MOST_STEPS = 256
 
@@ -22,17 +23,22 @@ def _long(x: int) -> Column:
     return F.lit(x).cast("long")
 
 
+def _halves(key: Column) -> tuple[Column, Column]:
+    return F.shiftrightunsigned(key, 32), key.bitwiseAND(_long(_MASK))
+
+
 def _low_product(x: Column, c: int) -> Column:
     """x * c modulo 2**32, up to multiples of 2**32, for x and c below 2**32, without overflow."""
     high = F.shiftright(x, 16) * _long(c & 0xFFFF)
     return F.shiftleft(high.bitwiseAND(_long(0xFFFF)), 16) + x.bitwiseAND(_long(0xFFFF)) * _long(c)
 
 
-def _next(high: Column, low: Column) -> tuple[Column, Column]:
-    """The generator's next value; 64-bit words as halves, since long products may not wrap."""
-    upper, lower = F.shiftright(low, 16) * _long(_LOW), low.bitwiseAND(_long(0xFFFF)) * _long(_LOW) + 1
+def _times(high: Column, low: Column, c: int, plus: int) -> tuple[Column, Column]:
+    """word * c + plus modulo 2**64; 64-bit words as halves, since long products may not wrap."""
+    c_high, c_low = c >> 32, c & _MASK
+    upper, lower = F.shiftright(low, 16) * _long(c_low), low.bitwiseAND(_long(0xFFFF)) * _long(c_low) + plus
     bottom = lower + F.shiftleft(upper.bitwiseAND(_long(0xFFFF)), 16)
-    top = F.shiftright(upper, 16) + F.shiftright(bottom, 32) + _low_product(high, _LOW) + _low_product(low, _HIGH)
+    top = F.shiftright(upper, 16) + F.shiftright(bottom, 32) + _low_product(high, c_low) + _low_product(low, c_high)
     return top.bitwiseAND(_long(_MASK)), bottom.bitwiseAND(_long(_MASK))
 
 
@@ -41,15 +47,14 @@ def jump_hash(key: Column, *counts: int) -> Column:
     most = max(counts)
 
     def step(s: Column, _: Column) -> Column:
-        high, low = _next(s["high"], s["low"])
+        high, low = _times(s["high"], s["low"], GENERATOR, 1)
         reach = ((s["jump"] + 1) * (F.lit(float(1 << 31)) / (F.shiftright(high, 1) + 1).cast("double"))).cast("long")
         held = [F.when(s["jump"] < n, s["jump"]).otherwise(s[f"at{n}"]).alias(f"at{n}") for n in counts]
         moved = F.struct(high.alias("high"), low.alias("low"), reach.alias("jump"), *held)
         return F.when(s["jump"] < most, moved).otherwise(s)
 
     start = F.struct(
-        F.shiftrightunsigned(key, 32).alias("high"),
-        key.bitwiseAND(_long(_MASK)).alias("low"),
+        *[half.alias(name) for name, half in zip(("high", "low"), _halves(key), strict=True)],
         _long(0).alias("jump"),
         *[_long(0).alias(f"at{n}") for n in counts],
     )
@@ -75,7 +80,7 @@ def shard_rows(df: DataFrame, n_shards: int, key: str = "doc_id", slot_blocks: i
         {
             "shard": F.col(f"_j.at{n_shards}"),
             "grown_shard": F.col(f"_j.at{n_shards + 1}"),
-            "_block": F.pmod(F.xxhash64(long_key), F.lit(slot_blocks)).cast("int"),
+            "_block": F.floor(_times(*_halves(long_key), SPREAD, 0)[0] * slot_blocks / float(1 << 32)).cast("int"),
         }
     ).drop("_j")
     counts = df.groupBy("shard", "_block").agg(F.count("*").alias("_n"))

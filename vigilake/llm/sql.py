@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from vigilake.llm import secrets
+from vigilake.llm import secrets, sharding
 from vigilake.llm.decontamination import WINDOW
 
 
@@ -63,3 +63,23 @@ cover AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(
 named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN cover USING (rid) LEFT JOIN named USING (rid)"""
+
+
+def jump_sharding(n: int = 40, blocks: int = 256) -> str:
+    """crc32 by a table of 256 values made from its polynomial; the walk as a recursion."""
+    return f"""WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, (CASE WHEN doc_id < 0 THEN 18446744073709551616 ELSE 0 END + coalesce(doc_id, 0))::UHUGEINT AS k FROM documents),
+bytes AS (SELECT rid, octet_length(encode(t)) + 16 AS size, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST(concat('0x', x) AS BIGINT))) AS b FROM d),
+summed AS (SELECT rid, size, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM bytes, crc),
+walk(rid, k, jump, a, b) AS (
+  SELECT rid, k, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM d
+  UNION ALL
+  SELECT rid, nk, CAST(floor((jump + 1) * (2147483648::DOUBLE / ((nk // 8589934592::UHUGEINT) + 1::UHUGEINT)::DOUBLE)) AS BIGINT),
+    CASE WHEN jump < {n} THEN jump ELSE a END, CASE WHEN jump < {n + 1} THEN jump ELSE b END
+  FROM (SELECT *, (k * {sharding.GENERATOR}::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT AS nk FROM walk WHERE jump < {n + 1})),
+done AS (SELECT rid, CAST(a AS INT) AS shard, CAST(b AS INT) AS grown_shard FROM walk WHERE jump >= {n + 1}),
+dealt AS (SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, shard, grown_shard,
+  floor(((k * {sharding.SPREAD}::UHUGEINT) % 18446744073709551616::UHUGEINT // 4294967296::UHUGEINT)::DOUBLE * {blocks} / 4294967296::DOUBLE) AS block
+  FROM d JOIN summed USING (rid) JOIN done USING (rid))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY block, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM dealt"""
