@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -54,3 +55,17 @@ def test_stream_to_index(spark, tmp_path):
     drained(streaming.running_report(stream).writeStream.outputMode("complete").option("checkpointLocation", str(tmp_path / "check2")), "report")
     assert spark.table("report").first().total_bytes == 350000
     assert np.isclose(spark.table("report").first().total_gb, 0.0)
+
+
+def test_silent_cameras_give_up_their_partial_segment(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    frame_table(spark, {"one": list(clip(9))}).coalesce(1).write.parquet(str(tmp_path / "frames"))
+    stream = sources.stream_frames(spark, str(tmp_path / "frames"))
+    made = streaming.stream_segments(stream, fps=4, segment_seconds=1, warmup=2, min_area=20, pad=4, flush_idle_seconds=1)
+    writer = made.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "check"))
+    query = writer.format("memory").queryName("flushed").trigger(processingTime="1 second").start()
+    until = time.time() + 90
+    while time.time() < until and spark.table("flushed").count() < 2:
+        time.sleep(1)
+    query.stop()
+    assert sorted((r.segment_no, r.n_frames, r.duration) for r in spark.table("flushed").collect()) == [(1, 4, 1.0), (2, 3, 0.75)]

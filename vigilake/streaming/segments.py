@@ -24,15 +24,16 @@ class SegmentProcessor(StatefulProcessor):
     """Keeps a camera's model and the segment that is filling; yields a row when it is full.
 
     Frames of a micro-batch are sorted; one that is not after the last seen is dropped and
-    counted.
+    counted.  A camera that is silent for ``idle_ms`` gives up its partial segment.
     """
 
-    def __init__(self, method: str, per_segment: int, fps: float, warmup: int, night: bool, min_area: int, pad: int, foreground: int, background: int):
-        self.options = (method, night)
+    def __init__(self, method: str, per_segment: int, fps: float, warmup: int, night: bool, min_area: int, pad: int, foreground: int, background: int, idle_ms: int | None):
+        self.options, self.idle_ms = (method, night), idle_ms
         self.per_segment, self.fps, self.warmup = per_segment, fps, warmup
         self.min_area, self.pad, self.tiers, self.night = min_area, pad, (foreground, background), night
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", StructType([StructField("data", BinaryType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -55,11 +56,31 @@ class SegmentProcessor(StatefulProcessor):
             kept["boxes"] += boxes
             kept["with"] += boxes > 0
             if kept["n"] == self.per_segment:
-                done.append((key[0], kept["no"], kept["n"], kept["with"], kept["boxes"], int(kept["with"] > 0), kept["n"] / self.fps, self.tiers[0] if kept["with"] else self.tiers[1], kept["late"]))
-                kept |= {"no": kept["no"] + 1, "n": 0, "boxes": 0, "with": 0, "late": 0}
+                done.append(self._finish(key, kept))
         self.state.update((pickle.dumps(kept, protocol=5),))
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         if done:
-            yield pd.DataFrame(done, columns=[f.split()[0] for f in _SEGMENT.split(", ")])
+            yield self._rows(done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        kept = pickle.loads(self.state.get()[0])
+        if kept["n"]:
+            row = self._finish(key, kept)
+            self.state.update((pickle.dumps(kept, protocol=5),))
+            yield self._rows([row])
+
+    def _finish(self, key, kept: dict) -> tuple:
+        crf = self.tiers[0] if kept["with"] else self.tiers[1]
+        row = (key[0], kept["no"], kept["n"], kept["with"], kept["boxes"], int(kept["with"] > 0), kept["n"] / self.fps, crf, kept["late"])
+        kept |= {"no": kept["no"] + 1, "n": 0, "boxes": 0, "with": 0, "late": 0}
+        return row
+
+    @staticmethod
+    def _rows(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in _SEGMENT.split(", ")])
 
     def close(self) -> None:
         pass
@@ -76,12 +97,18 @@ def stream_segments(
     pad: int = 20,
     foreground: int = 18,
     background: int = 40,
+    flush_idle_seconds: float | None = None,
 ) -> DataFrame:
-    """Full segments of each scene of a frame stream; the RocksDB state store holds the models."""
+    """Full segments of each scene of a frame stream; the RocksDB state store holds the models.
+
+    The last, partial segment stays in the state; with ``flush_idle_seconds`` it comes out
+    once its camera has been silent that long (by processing time).
+    """
     models.background_model(method, 1, 1)
-    processor = SegmentProcessor(method, max(1, int(fps * segment_seconds)), fps, warmup, night_mode, min_area, pad, foreground, background)
+    idle = None if flush_idle_seconds is None else int(1000 * flush_idle_seconds)
+    processor = SegmentProcessor(method, max(1, int(fps * segment_seconds)), fps, warmup, night_mode, min_area, pad, foreground, background, idle)
     rows = frames.select("scene", "frame_idx", "width", "height", "px").filter("px IS NOT NULL")
-    return rows.groupBy("scene").transformWithStateInPandas(processor, outputStructType=_SEGMENT, outputMode="append", timeMode="none")
+    return rows.groupBy("scene").transformWithStateInPandas(processor, outputStructType=_SEGMENT, outputMode="append", timeMode="none" if idle is None else "processingTime")
 
 
 def stream_time_segments(frame_regions: DataFrame, length: str = "60 seconds", watermark: str = "2 minutes") -> DataFrame:
