@@ -42,18 +42,22 @@ def clip_coverage(frames: DataFrame, clips: DataFrame | None = None, warmup: Col
 
     Clips (by default those of the frames) without a frame after the warm-up have zeros.
     """
-    if clips is None:
-        clips = frames.groupBy(*SCENE).agg(F.count("*").alias("total_frames"))
-    seen = after_warmup(frames, warmup)
-    found = seen.groupBy(*SCENE).agg(
-        F.count("*").alias("n"),
-        F.avg(F.col("coverage") * 100).alias("mean"),
-        F.max(F.col("coverage") * 100).alias("most"),
-        F.count_if(F.col("coverage") > F.lit(activity)).alias("busy"),
-        F.count_if(F.col("post_idx") % sample_rate == 0).alias("sampled"),
+    warmup = warmup if isinstance(warmup, Column) else F.lit(warmup)
+    post = F.col("frame_idx") - warmup
+    seen = lambda x: F.when(post >= 0, x)
+    share = F.col("coverage") * 100
+    found = frames.groupBy(*SCENE).agg(
+        F.count("*").alias("total_frames"),
+        F.count(seen(F.lit(1))).alias("n"),
+        F.avg(seen(share)).alias("mean"),
+        F.max(seen(share)).alias("most"),
+        F.count_if((post >= 0) & (F.col("coverage") > F.lit(activity))).alias("busy"),
+        F.count_if((post >= 0) & (post % sample_rate == 0)).alias("sampled"),
     )
+    if clips is not None:
+        found = clips.select(*SCENE, "total_frames").join(found.drop("total_frames"), list(SCENE), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return clips.join(found, list(SCENE), "left").select(
+    return found.select(
         *SCENE,
         "total_frames",
         zero("n").alias("analyzed_frames"),
