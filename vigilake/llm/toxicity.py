@@ -22,7 +22,7 @@ from vigilake.llm.common import crc_mod, text_slices
 from vigilake.llm.decontamination import words
 
 #: Labelled documents of each class that training sees at most (about), and grades above 0.
-SAMPLE, GRADES = 2000, 3
+SAMPLE, GRADES = 1000, 3
 #: Distinct words whose features a task remembers.
 HELD = 400_000
 
@@ -144,7 +144,7 @@ def draw_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, sampl
     sided = labels.filter("toxic IS NOT NULL").groupBy(key).agg((F.max("toxic") > 0).cast("int").alias("_toxic"))
     rates = sided.groupBy("_toxic").agg((F.lit(float(sample)) / F.count("*")).alias("_rate"))
     chance = F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = sided.join(rates, "_toxic").filter(chance < F.col("_rate")).select(key, "_toxic")
+    chosen = sided.join(F.broadcast(rates), "_toxic").filter(chance < F.col("_rate")).select(key, "_toxic")
     drawn = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(chosen), key)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +160,13 @@ def draw_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, sampl
             )
 
     table = drawn.withColumn("_order", F.xxhash64(key)).mapInArrow(count, "order long, toxic int, words array<binary>, counts array<long>").toArrow()
-    found = zip(*(table.column(c).to_pylist() for c in ("order", "toxic", "words", "counts")), strict=True)
-    ordered = sorted(found, key=lambda r: (r[0], r[1], len(r[2])))
-    return [(Counter(dict(zip(w, n, strict=True))), t) for _, t, w, n in ordered]
+    found, shared = [], {}
+    for batch in table.to_batches(max_chunksize=64):
+        for row in batch.to_pylist():
+            # The same feature in many documents is kept once.
+            found.append((row["order"], row["toxic"], Counter({shared.setdefault(w, w): n for w, n in zip(row["words"], row["counts"], strict=True)})))
+    found.sort(key=lambda r: (r[0], r[1], len(r[2])))
+    return [(counts, toxic) for _, toxic, counts in found]
 
 
 def _grade(shared):
