@@ -21,6 +21,8 @@ from vigilake.llm.common import WHITESPACE, crc_mod, text_slices
 
 #: Labelled documents and words drawn from them by language: the bound of what training sees.
 DOCUMENTS, WORDS = 300, 4000
+#: Languages at most; their sampling rates go out to every task.
+LANGUAGES = 10_000
 #: Bytes read at once; a longer word is read in pieces of this length.
 PIECE, HIDDEN, EPOCHS, BATCH = 48, 16, 8, 256
 UNKNOWN = "und"
@@ -167,8 +169,10 @@ def draw_words(labelled: DataFrame, text: str, lang: str, key: str, documents: i
     the sample is cut into words.
     """
     rates = labelled.groupBy(lang).agg((F.lit(float(documents)) / F.count("*")).alias("_rate"))
+    if rates.count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     chance = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.join(rates, lang).filter(chance < F.col("_rate"))
+    sample = labelled.join(F.broadcast(rates), lang).filter(chance < F.col("_rate"))
     cut = F.explode(F.split(F.lower(F.trim(F.col(text), F.lit(WHITESPACE))), "[\\x20\\x09-\\x0D]+")).alias("word")
     counted = sample.select(F.col(lang).alias("lang"), cut).filter("word rlike '\\\\p{L}'").groupBy("lang", "word").agg(F.count("*").alias("n"))
     even = (F.pmod(F.xxhash64("word", F.lit(11)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
