@@ -238,7 +238,8 @@ def near_duplicate_groups(df: DataFrame, order: str, text: str = "text", k: int
     codes = checkpointed(rows.groupBy("_fp").agg(F.min(order).alias("_least")))
     roots = connected_components(link_fingerprints(codes.select("_fp"), k)).withColumnRenamed("node", "_fp")
     rooted = codes.join(roots, "_fp", "left").withColumn("root", F.coalesce("root", "_fp"))
-    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
+    # Written out, so that the join below has no aggregate in its stage and a large group's side can be split.
+    least = checkpointed(rooted.groupBy("root").agg(F.min("_least").alias("component_id")))
     named = rooted.join(least, "root").select("_fp", "component_id", F.col("root").alias("_group"))
     return rows.join(named, "_fp")
 
