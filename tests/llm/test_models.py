@@ -99,6 +99,20 @@ def test_context_tree_and_base_scores_match_recursion(spark):
         assert (rows[i].bits_per_byte is None) == (not body)
 
 
+def test_scores_use_whole_bytes_and_every_context(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "FOLDS", (8, 8, 8, 8, 8))
+    texts = [prose(i, 20) for i in range(12)] + ["Aa! aA! pp00 p0p0 aa!!", None, "A! a0 P\u00e9 \u00e9", "aaaaaaaa" * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = df.filter("doc_id < 9 OR doc_id = 12")
+    tree = PlainTree([(t or "").encode() for i, t in enumerate(texts) if i < 9 or i == 12], 10**9)
+    for others in (None, df.exceptAll(train)):
+        for top_codes in (20, 1 << 20):
+            rows = ctw.score_corpus(df, train, top_codes=top_codes, top_words=20, others=others).collect()
+            assert len(rows) == len(texts)
+            for r in rows:
+                assert r.score == pytest.approx(tree.score((texts[r.doc_id] or "").encode()), abs=1e-6)
+
+
 def test_scores_of_odd_rows_and_without_training(spark, odd, none):
     rows = ctw.score_digest(odd).collect()
     assert len(rows) == odd.count() and all(r.score <= 0 and r.base_score <= 0 for r in rows)

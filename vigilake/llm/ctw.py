@@ -1,13 +1,17 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-A byte is eight binary decisions; each has a context tree over the bytes before it, of
-which a few low bits are kept.  Every node holds a Krichevsky-Trofimov estimate of its
-counts; a node's weighted probability is the even mixture of its own estimate and the
-product of its children's.  Counts come from all training rows.  The tree grows where the
-corpus has counts: contexts seen less often than a power of two, chosen so that the tree
-has at most ``NODES`` nodes, share one leaf under their parent.  The posterior weights mix
-the estimates of all depths into log10 P(byte) by node; the nodes bound its size (64 MB as
-set), so it can go out to every task.
+A byte is eight binary decisions; each has a context tree over the five bytes before it.
+Every node holds a Krichevsky-Trofimov estimate of its counts; a node's weighted
+probability is the even mixture of its own estimate and the product of its children's.
+Counts come from all training rows, and every counted context is a node.  The posterior
+weights mix the estimates of all depths into log10 P(byte | context).
+
+Codes (context and byte) are a Spark table.  Nodes of three bytes and more are weighed in
+tasks that hold whole subtrees, shorter ones by a groupBy for each depth; the estimates are
+then mixed from the root on.  Frequent codes go out to every task, the others are joined.
+
+With ``nodes`` set, a bounded tree takes the table's place: a few low bits of each byte
+are kept, and what is rarer than a power of two shares a leaf under its parent.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +29,12 @@ from pyspark.sql import functions as F
 
 from vigilake.llm.common import checkpointed, crc_mod, text_slices
 
-#: Low bits kept of the byte before, the one before that, and so on; nodes of the tree at most.
-FOLDS = (6, 5, 5, 5, 5)
-NODES = 1 << 16
-#: Words held by a task before it passes its counts on, and words whose counts go out to every task.
-HELD_WORDS, TOP_WORDS = 500_000, 1 << 17
+#: Bits of the byte before, the one before that, and so on; low bits kept of them in a bounded tree.
+WHOLE, FOLDS = (8, 8, 8, 8, 8), (6, 5, 5, 5, 5)
+#: Words held by a task before it passes its counts on, and words and codes that go out to every task at most.
+HELD_WORDS, TOP_WORDS, TOP_CODES = 500_000, 1 << 17, 1 << 20
+#: Bytes of context whose subtrees stay in one task; codes that a task weighs at once (more only for one subtree).
+LOWER, CHUNK = 3, 1 << 18
 #: Bytes of text that a task works on at once.
 SLICE = 1 << 20
 _PAD = b"\n"
@@ -47,7 +53,7 @@ def _padded(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return data, own
 
 
-def context_codes(texts: list[bytes], folds: tuple[int, ...] = FOLDS) -> np.ndarray:
+def context_codes(texts: list[bytes], folds: tuple[int, ...] = WHOLE) -> np.ndarray:
     """context << 8 | byte for every byte of every text, in order; the nearest byte leads the context."""
     data, own = _padded(texts, len(folds))
     code = np.zeros(len(data), np.int64)
@@ -64,7 +70,7 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[cuts], np.add.reduceat(counts, cuts) if len(cuts) else counts
 
 
-def _count(folds: tuple[int, ...], held: int):
+def _count(folds: tuple[int, ...], held: int, only_codes: bool = False):
     """mapInArrow function: (kind, key, n) of words, of byte contexts and of ends, summed within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +90,8 @@ def _count(folds: tuple[int, ...], held: int):
             )
 
         for _, texts in text_slices(batches, "_text", SLICE):
-            ends += len(texts)
-            for text in texts:
+            ends += 0 if only_codes else len(texts)
+            for text in [] if only_codes else texts:
                 words.update(text.lower().split())
                 if len(words) > held:
                     yield batch(_WORD, len(words), list(words.values()), keys=list(words.keys()))
@@ -109,7 +115,7 @@ def _count(folds: tuple[int, ...], held: int):
     return run
 
 
-def corpus_counts(df: DataFrame, text: str = "text", folds: tuple[int, ...] = FOLDS, held: int = HELD_WORDS) -> DataFrame:
+def corpus_counts(df: DataFrame, text: str = "text", folds: tuple[int, ...] = WHOLE, held: int = HELD_WORDS) -> DataFrame:
     """(kind, key, code, n) over all rows: 0 lower-cased words, 1 codes of context and byte, 2 ends of texts."""
     rows = df.select(F.col(text).alias("_text")).mapInArrow(_count(folds, held), "kind int, key binary, code long, n long")
     return rows.groupBy("kind", "key", "code").agg(F.sum("n").alias("n"))
@@ -228,6 +234,12 @@ def _subtree(table: pa.Table, folds: tuple[int, ...]) -> Subtree:
     return weigh(nodes[:, 0], nodes[:, 1], counts, folds)
 
 
+def _text_sums(logs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    sums = np.concatenate([[0.0], np.cumsum(logs)])
+    return sums[ends] - sums[ends - sizes]
+
+
 @dataclass
 class ContextTree:
     """Node 0 is the root; ``child[node, folded byte]``, or ``len(logs)`` where there is none."""
@@ -236,8 +248,8 @@ class ContextTree:
     child: np.ndarray
     logs: np.ndarray
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text; 0 for an empty one."""
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """log10 probability of each text, 0 for an empty one; no codes are left to join."""
         data, own = _padded(texts, len(self.folds))
         none, wide = len(self.logs), self.child.shape[1]
         child = self.child.ravel()
@@ -248,9 +260,8 @@ class ContextTree:
             np.copyto(node[back:], at, where=at < none)
         logs = np.append(self.logs.ravel()[node.astype(np.int64) * 256 + data].astype(np.float64)[own], 0.0)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        ends = np.cumsum(sizes)
-        sums = np.concatenate([[0.0], np.cumsum(logs)])
-        return sums[ends] - sums[ends - sizes]
+        none = np.zeros(0, np.int64)
+        return _text_sums(logs, sizes), none, none, none
 
 
 def least_power(spread: list[tuple[int, int]], most: int) -> int:
@@ -263,8 +274,8 @@ def least_power(spread: list[tuple[int, int]], most: int) -> int:
     return power
 
 
-def fit_tree(counts: DataFrame, folds: tuple[int, ...] = FOLDS, nodes: int = NODES) -> ContextTree:
-    """The weighted tree over ``corpus_counts``.
+def fit_tree(counts: DataFrame, folds: tuple[int, ...], nodes: int) -> ContextTree:
+    """The bounded tree over ``corpus_counts``.
 
     Subtrees under the nearest byte's classes are worked out in tasks of their own; at most
     ``nodes`` rows of 1 kB meet on the driver.
@@ -327,14 +338,198 @@ def fit_tree(counts: DataFrame, folds: tuple[int, ...] = FOLDS, nodes: int = NOD
     return ContextTree(folds, child, logs)
 
 
+@dataclass
+class Decisions:
+    """Decisions of one bit level at one depth, by key: context << level | bits so far."""
+
+    keys: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    #: Place of each code's decision.
+    place: np.ndarray
+    weighted: np.ndarray | None = None
+    weight: np.ndarray | None = None
+
+
+def _decisions(codes: np.ndarray, counts: np.ndarray, level: int) -> Decisions:
+    keys = codes >> (8 - level)
+    first = np.r_[True, keys[1:] != keys[:-1]]
+    place = np.cumsum(first) - 1
+    both = np.bincount(place, counts)
+    ones = np.bincount(place, counts * (codes >> (7 - level) & 1))
+    return Decisions(keys[first], both - ones, ones, place)
+
+
+def _above(keys: np.ndarray, level: int) -> np.ndarray:
+    """Keys of the same decisions, one byte of context less."""
+    return keys >> (level + 8) << level | keys & ((1 << level) - 1)
+
+
+def _weighted(zeros: np.ndarray, ones: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln of the weighted probability, and the weight of a node's own estimate, from the product of its children's (as ln)."""
+    own = kt_log_probability(zeros, ones)
+    weighted = np.logaddexp(own, children) - np.log(2)
+    return weighted, np.exp(own - np.log(2) - weighted)
+
+
+def weigh_codes(codes: np.ndarray, counts: np.ndarray) -> list[list[Decisions]]:
+    """By bit level, deepest contexts first down to ``LOWER`` bytes: weighed decisions of sorted whole subtrees."""
+    by_depth = [(codes, counts)]
+    for _ in range(len(WHOLE) - LOWER):
+        codes, counts = by_depth[-1]
+        by_depth.append(_summed(codes >> 16 << 8 | codes & 255, counts))
+    out = []
+    for level in range(8):
+        depths = [_decisions(c, n, level) for c, n in by_depth]
+        depths[0].weighted = kt_log_probability(depths[0].zeros, depths[0].ones)
+        depths[0].weight = np.ones(len(depths[0].keys))
+        for below, at in pairwise(depths):
+            children = np.bincount(np.searchsorted(at.keys, _above(below.keys, level)), below.weighted, len(at.keys))
+            at.weighted, at.weight = _weighted(at.zeros, at.ones, children)
+        out.append(depths)
+    return out
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(code, n, m) in pieces of about ``CHUNK`` sorted codes that hold whole subtrees."""
+    shift = 8 * (len(WHOLE) - LOWER + 1)
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        part = tuple(batch.column(i).to_numpy() for i in range(3))
+        held.append(part)
+        size += len(part[0])
+        if size < CHUNK:
+            continue
+        rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        cut = np.searchsorted(rows[0], rows[0][-1] >> shift << shift)
+        if cut:
+            yield tuple(x[:cut] for x in rows)
+        held = [tuple(x[cut:] for x in rows)]
+        size = len(held[0][0])
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: decisions of contexts of ``LOWER`` bytes."""
+    for codes, n, _ in _subtrees(batches):
+        for level, depths in enumerate(weigh_codes(codes, n)):
+            top = depths[-1]
+            decision = (top.keys & ((1 << level) - 1) | 1 << level).astype(np.int32)
+            columns = (top.keys >> level, decision, top.zeros, top.ones, top.weighted)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["context", "decision", "zeros", "ones", "weighted"])
+
+
+def _upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: weighs decisions that come with their children's product."""
+    for batch in batches:
+        context, decision, zeros, ones, children = batch.columns
+        weighted, weight = _weighted(zeros.to_numpy(), ones.to_numpy(), children.to_numpy())
+        columns = [context, decision, zeros, ones, pa.array(weighted), pa.array(weight)]
+        yield pa.RecordBatch.from_arrays(columns, ["context", "decision", "zeros", "ones", "weighted", "weight"])
+
+
+def _mixed_above(tables: list[pa.Table]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By bit level: keys of contexts just under ``LOWER`` bytes, P(0) mixed so far and the share left; tables from the root on."""
+    out = []
+    columns = [{c: t.column(c).to_numpy() for c in t.column_names} for t in tables]
+    for level in range(8):
+        mixed, left, known = np.zeros(1), np.ones(1), None
+        for t in columns:
+            at = np.flatnonzero(t["decision"] >> level == 1)
+            keys = t["context"][at] << level | t["decision"][at] & ((1 << level) - 1)
+            at, keys = at[order := np.argsort(keys)], keys[order]
+            p = np.zeros(len(at), np.int64) if known is None else np.searchsorted(known, _above(keys, level))
+            zero = _zero(np.stack([t["zeros"][at], t["ones"][at]], -1))
+            mixed, left, known = mixed[p] + left[p] * t["weight"][at] * zero, left[p] * (1 - t["weight"][at]), keys
+        out.append((known, mixed, left))
+    return out
+
+
+def _code_logs(above):
+    """mapInArrow function: (code, seen, log), seen in training and elsewhere, log10 P(byte | context)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, n, m in _subtrees(batches):
+            logs = np.zeros(len(codes))
+            for level, depths in enumerate(weigh_codes(codes, n)):
+                keys, mixed, left = above.value[level]
+                for d in reversed(depths):
+                    p = np.searchsorted(keys, _above(d.keys, level))
+                    share = left[p]
+                    mixed = mixed[p] + share * d.weight * _zero(np.stack([d.zeros, d.ones], -1))
+                    left, keys = share * (1 - d.weight), d.keys
+                zero = mixed[depths[0].place]
+                logs += np.log10(np.where(codes >> (7 - level) & 1, 1 - zero, zero))
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n + m), pa.array(logs)], ["code", "seen", "log"])
+
+    return run
+
+
+def fit_codes(counts: DataFrame, others: DataFrame, text: str = "text", held: int = HELD_WORDS) -> DataFrame:
+    """(code, seen, log) for all codes of ``corpus_counts`` over whole bytes, and of ``others``, which do not train.
+
+    A context without training counts leaves its share at even odds, so codes that only
+    ``others`` have get their exact probability too.  Nodes of two bytes at most, as many as
+    the alphabet has pairs, meet on the driver.
+    """
+    spark = counts.sparkSession
+    asked = others.select(F.col(text).alias("_text")).mapInArrow(_count(WHOLE, held, only_codes=True), "kind int, key binary, code long, n long")
+    codes = counts.filter(F.col("kind") == _BYTE).select("code", "n", F.lit(0).cast("long").alias("m"))
+    codes = codes.union(asked.select("code", F.lit(0).cast("long"), "n"))
+    codes = codes.withColumn("_subtree", F.shiftright("code", 8 * (len(WHOLE) - LOWER + 1))).repartition("_subtree")
+    codes = codes.groupBy("_subtree", "code").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).select("code", "n", "m")
+    codes = checkpointed(codes.sortWithinPartitions("code"))
+    below = codes.mapInArrow(_lower, "context long, decision int, zeros double, ones double, weighted double")
+    tables: list[pa.Table] = []
+    for _ in range(LOWER):
+        sums = [F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")]
+        grouped = below.groupBy(F.shiftright("context", 8).alias("context"), "decision").agg(*sums)
+        below = checkpointed(grouped.mapInArrow(_upper, "context long, decision int, zeros double, ones double, weighted double, weight double"))
+        tables.insert(0, below.select("context", "decision", "zeros", "ones", "weight").toArrow())
+    above = spark.sparkContext.broadcast(_mixed_above(tables))
+    return checkpointed(codes.mapInArrow(_code_logs(above), "code long, seen long, log double"))
+
+
+class FrequentCodes:
+    """Logs of codes by a table of hashes; codes that lost their slot are searched."""
+
+    def __init__(self, codes: np.ndarray, seen: np.ndarray, logs: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.logs = np.append(codes[order], -1), np.append(logs[order], 0.0)
+        self.shift = np.uint64(64 - max(1, int(2 * len(codes)).bit_length()))
+        self.slots = np.full(1 << (64 - int(self.shift)), len(codes), np.int32)
+        rising = np.argsort(seen[order], kind="stable")
+        self.slots[self._hash(self.codes[rising])] = rising  # The last, most frequent one stays.
+
+    def _hash(self, codes: np.ndarray) -> np.ndarray:
+        return codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift
+
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Sum of logs by text over the codes held here; text, code and times of the others."""
+        codes = context_codes(texts, WHOLE)
+        at = self.slots[self._hash(codes)]
+        logs = self.logs[at]
+        missed = np.flatnonzero(self.codes[at] != codes)
+        lost = np.searchsorted(self.codes[:-1], codes[missed])
+        there = self.codes[lost] == codes[missed]
+        logs[missed] = np.where(there, self.logs[lost], 0.0)
+        missed = missed[~there]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        pairs = np.stack([np.searchsorted(np.cumsum(sizes), missed, "right"), codes[missed]], 1)
+        pairs, times = np.unique(pairs, axis=0, return_counts=True)
+        return _text_sums(logs, sizes), pairs[:, 0], pairs[:, 1], times
+
+
 def _score(tree, top, unigram):
-    """mapInArrow function: a head row by text, and a row by rare word of it and its count."""
+    """mapInArrow function: a head row by text, and a row by rare word or rare code of it and its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, common, (end, end_known) = tree.value, top.value, unigram
         for part, texts in text_slices(batches, "_text", SLICE):
             ids = part.column(part.schema.get_field_index("_id"))
-            scores = model.score(texts)
+            scores, code_at, codes, code_times = model.score(texts)
             n_tokens, base, rare_at, rare, times = [], [], [], [], []
             for i, text in enumerate(texts):
                 words = text.lower().split()
@@ -354,16 +549,21 @@ def _score(tree, top, unigram):
                 "base_score": pa.array(base, pa.float64()),
                 "score": pa.array(scores),
                 "_word": pa.nulls(len(texts), pa.binary()),
+                "_code": pa.nulls(len(texts), pa.int64()),
                 "_times": pa.nulls(len(texts), pa.int64()),
             }
             yield pa.RecordBatch.from_pydict(heads)
             step = 100_000
-            for begin in range(0, len(rare), step):
-                cut = slice(begin, begin + step)
-                n = len(rare[cut])
-                tail = {k: pa.nulls(n, v.type) for k, v in heads.items()}
-                tail |= {"_id": ids.take(pa.array(rare_at[cut])), "_word": pa.array(rare[cut], pa.binary()), "_times": pa.array(times[cut], pa.int64())}
-                yield pa.RecordBatch.from_pydict(tail)
+            # A word goes with code -1, a code with no word.
+            for keys, where, n in ((rare, rare_at, times), (codes, code_at, code_times)):
+                for begin in range(0, len(keys), step):
+                    cut = slice(begin, begin + step)
+                    size = len(keys[cut])
+                    tail = {k: pa.nulls(size, v.type) for k, v in heads.items()}
+                    tail |= {"_id": ids.take(pa.array(where[cut])), "_times": pa.array(n[cut], pa.int64())}
+                    tail["_word"] = pa.array(keys[cut] if keys is rare else [b""] * size, pa.binary())
+                    tail["_code"] = pa.array(np.full(size, -1) if keys is rare else keys[cut], pa.int64())
+                    yield pa.RecordBatch.from_pydict(tail)
 
     return run
 
@@ -372,10 +572,11 @@ def score_corpus(
     df: DataFrame,
     train: DataFrame,
     text: str = "text",
-    folds: tuple[int, ...] = FOLDS,
-    nodes: int = NODES,
+    nodes: int | None = None,
     top_words: int = TOP_WORDS,
     held: int = HELD_WORDS,
+    top_codes: int = TOP_CODES,
+    others: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` without ``text``, with n_bytes, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
@@ -384,9 +585,12 @@ def score_corpus(
     Null texts are empty.  Counts cover all of ``train``; with no training rows the model is
     uniform over bytes.  Words seen at least as often as a power of two that at most
     ``top_words`` words reach go out to all tasks; the other words of a text are joined with
-    their counts.  Columns of the result's names are replaced.
+    their counts.  Codes of context and byte likewise, by ``top_codes``.  ``others``: the
+    rows of ``df`` that are not in ``train``, where known (all of ``df`` otherwise).  With
+    ``nodes`` the score is that of a bounded tree over ``FOLDS``.  Columns of the result's
+    names are replaced.
     """
-    counts = checkpointed(corpus_counts(train, text, folds, held))
+    counts = checkpointed(corpus_counts(train, text, FOLDS if nodes else WHOLE, held))
     words = counts.filter(F.col("kind") == _WORD)
     spread = words.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
     ends = counts.filter(F.col("kind") == _END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -397,28 +601,38 @@ def score_corpus(
     values = np.log10((often.column("n").to_numpy() + 0.1) / divisor).tolist()
     context = df.sparkSession.sparkContext
     top = context.broadcast(dict(zip(often.column("key").to_pylist(), values, strict=True)))
-    tree = context.broadcast(fit_tree(counts, folds, nodes))
+    if nodes:
+        tree, rare = context.broadcast(fit_tree(counts, FOLDS, nodes)), None
+    else:
+        logs = fit_codes(counts, df if others is None else others, text, held)
+        reached = logs.groupBy(F.floor(F.log2("seen")).cast("int").alias("power")).agg(F.count("*").alias("codes")).collect()
+        least = float(2 ** least_power([(r["power"], r["codes"]) for r in reached], top_codes))
+        held_here = logs.filter(F.col("seen") >= least).toArrow()
+        tree = context.broadcast(FrequentCodes(*(held_here.column(c).to_numpy() for c in ("code", "seen", "log"))))
+        rare = logs.filter(F.col("seen") < least).select(F.lit(b"").alias("_word"), F.col("code").alias("_code"), F.col("log").alias("_value"), F.lit(True).alias("_known"))
     end = (float(np.log10((ends + 0.1) / divisor)), int(ends > 0))
 
-    own = ("n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "_id", "_head", "_word", "_times")
+    own = ("n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "_id", "_head", "_word", "_code", "_times")
     rows = df.select(*[c for c in df.columns if c not in (*own, text)], F.monotonically_increasing_id().alias("_id"), F.col(text).alias("_text"))
     kept = [f for f in rows.schema if f.name != "_text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     scored = rows.mapInArrow(
         _score(tree, top, end),
-        f"{fields}, _head boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double, _word binary, _times long",
+        f"{fields}, _head boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double, _word binary, _code long, _times long",
     )
-    seldom = words.filter(F.col("n") < float(2**power)).select(F.col("key").alias("_word"), F.col("n").alias("_n"))
-    joined = scored.join(seldom, "_word", "left")
-    log = F.log10((F.coalesce("_n", F.lit(0)) + 0.1) / F.lit(divisor)) * F.col("_times")
+    log = F.log10((F.col("n") + 0.1) / F.lit(divisor))
+    seldom = words.filter(F.col("n") < float(2**power)).select(F.col("key").alias("_word"), F.lit(-1).cast("long").alias("_code"), log.alias("_value"), F.lit(True).alias("_known"))
+    joined = scored.join(seldom if rare is None else seldom.union(rare), ["_word", "_code"], "left")
+    a_word, a_code = F.col("_code") == -1, F.col("_code") >= 0
+    unknown = float(np.log10(0.1 / divisor))
     merged = joined.groupBy("_id").agg(
         *[F.first(f"`{f.name}`", ignorenulls=True).alias(f.name) for f in kept if f.name != "_id"],
         F.max("n_bytes").alias("n_bytes"),
         F.max("n_tokens").alias("n_tokens"),
-        (F.max("n_known") + F.coalesce(F.sum(F.when(F.col("_n") > 0, F.col("_times"))), F.lit(0))).alias("n_known"),
+        (F.max("n_known") + F.coalesce(F.sum(F.when(a_word & F.col("_known"), F.col("_times"))), F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.max("base_score") + F.coalesce(F.sum(log), F.lit(0.0))).alias("base_score"),
-        F.max("score").alias("score"),
+        (F.max("base_score") + F.coalesce(F.sum(F.when(a_word, F.coalesce("_value", F.lit(unknown)) * F.col("_times"))), F.lit(0.0))).alias("base_score"),
+        (F.max("score") + F.coalesce(F.sum(F.when(a_code, F.col("_value") * F.col("_times"))), F.lit(0.0))).alias("score"),
     )
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") / float(np.log10(2)) / F.col("n_bytes"))
     return merged.withColumn("bits_per_byte", bits).drop("_id")
@@ -426,6 +640,6 @@ def score_corpus(
 
 def score_digest(df: DataFrame) -> DataFrame:
     rows = df.select("doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), "text")
-    return score_corpus(rows, rows.filter("NOT held_out")).select(
+    return score_corpus(rows, rows.filter("NOT held_out"), others=rows.filter("held_out")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
     )
