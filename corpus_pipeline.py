@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm import decontamination, quality, secrets, sentencepieces, simhash
+from vigilake.llm import decontamination, near, quality, secrets, sentencepieces
 from vigilake.llm.common import read_table, stage_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,8 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs.select(*COLUMNS))
+    """One document of each group of 5-word Jaccard similarity 0.8 or more: the smallest doc_id."""
+    return near.drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,31 @@ def test_every_stage_takes_effect(spark, folder, tmp_path):
     assert {r.doc_id: r.token_ids for r in run.collect()} == {r.doc_id: r.token_ids for r in coded.collect()}
 
 
+def test_near_copies_of_similarity_0_8_are_dropped(spark):
+    """Whatever exceeds 0.8 by brute force goes, through chains too; what is below stays."""
+    import random
+
+    rng, texts = random.Random(7), []
+    for i in range(50):
+        words = prose(1000 + i, rng.choice([100, 300])).split()
+        texts.append(" ".join(words))
+        for _ in range(2):
+            for at in rng.sample(range(len(words)), len(words) // (50 if i % 2 else 30)):
+                words[at] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    shingles = [{tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root, near = list(range(len(texts))), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                near += 1
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert near > 40 and len(set(root)) > 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "1L n_chars")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+    assert kept == set(root)
+
+
 def test_pipeline_on_an_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
