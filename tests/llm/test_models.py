@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import ODD_TEXTS, prose
 from pyspark.sql import functions as F
@@ -144,19 +145,59 @@ def test_pieces_equal_sentencepiece_and_come_back(spark, odd, none):
     assert sp.piece_digest(none).count() == 0
 
 
-def test_unigram_models_are_rebuilt():
+def small_model(kind, normalizer="identity", own=(), extra_spaces=False):
+    """A unigram (1) or BPE (2) model of a few pieces, with another model's character map."""
+    import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     model = pb.ModelProto()
-    for piece, score, kind in [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *((f"<0x{i:02X}>", 0, 6) for i in range(256)), ("▁", -2, 1), ("▁ab", -3, 1), ("a", -4, 1), ("b", -4, 1), ("bab", -4.5, 1), ("ab", -5, 1)]:
-        model.pieces.add(piece=piece, score=score, type=kind)
-    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = 1, True
-    model.normalizer_spec.name = "identity"
-    model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces = True, False
-    recipe_of = sp.rebuild(model.SerializeToString())
-    encoder = sp.WordEncoder(sp.Recipe(model.SerializeToString(), recipe_of[0].to_str(), recipe_of[1], 1))
-    texts = ["abab ab", "ba  b", "é ab", ""]
-    assert [ids for ids, *_ in encoder.encode(texts)] == [encoder.reference.encode(t) for t in texts]
+    pieces = [("▁", -2), ("▁a", -2.5), ("▁ab", -3), ("a", -4), ("b", -4), ("ba", -4.2), ("bab", -4.5), ("ab", -5), ("fi", -6), ("f", -7), ("i", -7), ("1", -8)]
+    fixed = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *((p, 0, 4) for p in own), *((f"<0x{i:02X}>", 0, 6) for i in range(256))]
+    for piece, score, of in [*fixed, *((p, s, 1) for p, s in pieces)]:
+        model.pieces.add(piece=piece, score=score, type=of)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = kind, True
+    model.normalizer_spec.name = normalizer
+    if normalizer != "identity":
+        made = pb.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name=normalizer).serialized_model_proto())
+        model.normalizer_spec.precompiled_charsmap = made.normalizer_spec.precompiled_charsmap
+    model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces = True, extra_spaces
+    return model.SerializeToString()
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("options", [{}, {"normalizer": "nmt_nfkc", "extra_spaces": True}, {"own": ("abba", "fifi")}])
+def test_other_models_are_rebuilt_whole(kind, options):
+    encoder = sp.WordEncoder(sp.rebuild(small_model(kind, **options)))
+    texts = ["abab ab", "ba  b", " é ab ", "", "ﬁab ﬁ①", "xabbay abba  fifi", "a\u3000b\u00a0ab", "ab" * 400]
+    ids, sizes, differing, _ = encoder.encode(pa.array(texts))
+    assert np.split(ids, np.cumsum(sizes))[-1].size == 0
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [encoder.reference.encode(t) for t in texts]
+    assert not differing.any()
+    again = encoder.encode(pa.array(texts[::-1]))
+    assert again[1].tolist() == sizes.tolist()[::-1]
+
+
+def test_models_without_an_equal_form_are_refused():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto.FromString(small_model(1))
+    model.pieces.add(piece="a▁b", score=-3, type=1)
+    with pytest.raises(ValueError, match="start of a word"):
+        sp.rebuild(model.SerializeToString())
+
+
+def test_differences_are_told_and_not_patched():
+    encoder = sp.WordEncoder(sp.recipe())
+    model = encoder.reference
+
+    class Other:
+        def encode(self, texts, num_threads=1):
+            return [model.encode(t) if t != "strange" else [5] for t in texts] if " " not in texts[0] else [[0] for _ in texts]
+
+    encoder.reference = Other()
+    ids, sizes, differing, same = encoder.encode(pa.array(["a strange thing, strange", "plain words"]))
+    assert differing.tolist() == [2, 0] and same.all()
+    assert ids.tolist() == model.encode("a strange thing, strange") + model.encode("plain words")
 
 
 SYLLABLES = {"xx": "ka to mi ru ne so ha".split(), "yy": "brecht ung schli wor ver ein".split(), "zz": "eau oui tre ment ille".split()}
