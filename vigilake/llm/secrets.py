@@ -6,7 +6,8 @@ that leaves, and with them the sum of n*log2(n) that gives the window's Shannon
 Everything is a DataFrame expression.
 
 The sum is kept in millionths as an integer, so that it does not depend on the order of
-the updates.
+the updates.  Counts are packed, twelve to a long, so that a step changes numbers and copies
+no array; long candidates are read in overlapping blocks.
 """
 
 from __future__ import annotations
@@ -49,12 +50,14 @@ CANDIDATE = "[A-Za-z0-9+/_-]{%d,}"
 ALLOW = (
     "^[A-Za-z]+$",
     "^[0-9]+$",
-    "^[/_-]?([A-Za-z]+[/_-]+)+[A-Za-z]*$",
+    "^[/_-]?[A-Za-z]+[/_-][A-Za-z/_-]*$",
     "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     "(?i)abcdefghijkl|0123456789|example|placeholder|your[-_]",
     "-{8}|={8}|_{8}|\\+{8}|/{8}",
 )
 _SCALE = 1_000_000
+#: Windows that begin in one block of a candidate; bits of a packed count, and counts in a long.
+BLOCK, _BITS, _PER = 16_384, 5, 12
 
 
 def _prefix_sums(lengths: Column, block: int = 64) -> Column:
@@ -95,67 +98,88 @@ def _matches(df: DataFrame, text: str, regex: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.size(m) > 0, spans).otherwise(none)).drop(m, gaps, before)
 
 
-def _dense_windows(value: Column, kind: CharClass, window: int) -> Column:
-    """Merged (start, end) of the windows within ``value`` whose entropy reaches the class's bits.
+def _let(x: Column, use) -> Column:
+    """use(x), with x evaluated once."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
 
-    State: counts by character, characters outside the class in the window, the scaled sum
-    of n*log2(n), the spans so far.
+def _dense_windows(value: Column, kind: CharClass, window: int) -> Column:
+    """Merged (start, end) of the windows within ``value`` whose entropy reaches the class's bits."""
+    if window >= 1 << _BITS:
+        raise ValueError(f"windows have fewer than {1 << _BITS} characters")
+    begins = F.sequence(F.lit(0), F.greatest(F.length(value) - window, F.lit(0)), F.lit(BLOCK))
+    part = lambda begin: F.substring(value, begin + 1, F.lit(BLOCK + window - 1))
+    shifted = lambda spans, begin: F.transform(spans, lambda s: F.struct((s["start"] + begin).alias("start"), (s["end"] + begin).alias("end")))
+    found = F.flatten(F.transform(begins, lambda begin: shifted(_block_windows(part(begin), kind, window), begin)))
+
+    def joined(spans: Column) -> Column:
+        """Spans of neighbouring blocks that touch become one."""
+        last = F.size(spans) - 1
+        first = F.filter(spans, lambda s, i: (i == 0) | (F.get(spans, i - 1)["end"] < s["start"]))
+        final = F.filter(spans, lambda s, i: (i == last) | (F.get(spans, i + 1)["start"] > s["end"]))
+        return F.zip_with(first, final, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
+
+    return F.when(F.length(value) < BLOCK + window, found).otherwise(_let(found, joined))
+
+
+def _block_windows(value: Column, kind: CharClass, window: int) -> Column:
+    """The same for a string of bounded length, in one pass.
+
+    State: the packed counts of the window's characters, characters outside the class in it,
+    the scaled sum of n*log2(n), the place, the spans so far and the one that may still grow.
+    A step first records the window before it, then lets one character in and one out.
     """
     table = F.array(*[F.lit(round(n * math.log2(n) * _SCALE) if n else 0) for n in range(window + 2)])
     most = math.floor((math.log2(window) - kind.bits) * window * _SCALE)
+    number = F.array(*[F.lit(kind.alphabet.find(chr(c))) for c in range(128)])
+    codes = F.transform(F.split(value, ""), lambda c: F.element_at(number, F.ascii(c) + 1))
+    # In and out by step: a character's number, -1 outside the class; -2 where nothing leaves yet.
+    before = lambda c: F.slice(F.concat(F.array_repeat(F.lit(-2), window), c), F.lit(1), F.size(c))
+    moves = lambda c: F.zip_with(c, before(c), lambda i, o: F.struct(i.alias("i"), o.alias("o")))
+    packs = range(-(-len(kind.alphabet) // _PER))
     f = lambda n: F.element_at(table, n + 1)
-    at = lambda i: F.position(F.substring(value, i, F.lit(1)), F.lit(kind.alphabet))
-
-    def enter(state: Column, j: Column) -> Column:
-        n = F.element_at(state["counts"], F.greatest(j, F.lit(1)))
-        return F.struct(
-            F.when(j > 0, F.transform(state["counts"], lambda c, k: F.when(k + 1 == j, c + 1).otherwise(c))).otherwise(state["counts"]).alias("counts"),
-            (state["outside"] + F.when(j > 0, 0).otherwise(1)).alias("outside"),
-            (state["total"] + F.when(j > 0, f(n + 1) - f(n)).otherwise(F.lit(0))).alias("total"),
-            state["spans"].alias("spans"),
-        )
-
-    def leave(state: Column, j: Column) -> Column:
-        n = F.element_at(state["counts"], F.greatest(j, F.lit(1)))
-        return F.struct(
-            F.when(j > 0, F.transform(state["counts"], lambda c, k: F.when(k + 1 == j, c - 1).otherwise(c))).otherwise(state["counts"]).alias("counts"),
-            (state["outside"] - F.when(j > 0, 0).otherwise(1)).alias("outside"),
-            (state["total"] + F.when(j > 0, f(F.greatest(n - 1, F.lit(0))) - f(n)).otherwise(F.lit(0))).alias("total"),
-            state["spans"].alias("spans"),
-        )
-
-    def record(state: Column, i: Column) -> Column:
-        hit = (i >= window) & (state["outside"] == 0) & (state["total"] <= most)
-        last = F.element_at(state["spans"], -1)
-        start = i - window
-        grown = F.when(
-            (F.size(state["spans"]) > 0) & (F.get(state["spans"], F.size(state["spans"]) - 1)["end"] >= start),
-            F.concat(
-                F.slice(state["spans"], 1, F.size(state["spans"]) - 1),
-                F.array(F.struct(last["start"].alias("start"), i.alias("end"))),
-            ),
-        ).otherwise(F.concat(state["spans"], F.array(F.struct(start.alias("start"), i.alias("end")))))
-        return F.struct(
-            state["counts"].alias("counts"),
-            state["outside"].alias("outside"),
-            state["total"].alias("total"),
-            F.when(hit, grown).otherwise(state["spans"]).alias("spans"),
-        )
-
-    let = lambda x, g: F.element_at(F.transform(F.array(x), g), 1)  # noqa: E731  evaluates x once
-
-    def step(state: Column, i: Column) -> Column:
-        entered = let(at(i), lambda j: enter(state, j))
-        left = let(entered, lambda s: F.when(i > window, let(at(i - window), lambda j: leave(s, j))).otherwise(s))
-        return let(left, lambda s: record(s, i))
-
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(kind.alphabet)).alias("counts"),
-        F.lit(0).alias("outside"),
-        F.lit(0).alias("total"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda s: s["spans"])
+    place = lambda c: F.pmod(c, F.lit(_PER)) * _BITS
+    inside = lambda c, k: (c >= k * _PER) & (c < (k + 1) * _PER)
+
+    def count(s: Column, c: Column) -> Column:
+        held = F.when(c < _PER, s["c0"])
+        for k in packs[1:]:
+            held = held.when(c < (k + 1) * _PER, s[f"c{k}"])
+        return F.call_function("shiftright", held, place(c)).bitwiseAND(F.lit((1 << _BITS) - 1).cast("long")).cast("int")
+
+    def moved(s: Column, c: Column, k: int) -> Column:
+        return F.when(inside(c, k), F.call_function("shiftleft", F.lit(1).cast("long"), place(c))).otherwise(F.lit(0).cast("long"))
+
+    def recorded(s: Column) -> dict[str, Column]:
+        """The spans with the window that ends at the state's place."""
+        hit = (s["place"] >= window) & (s["outside"] == 0) & (s["total"] <= most)
+        fresh = hit & (s["end"] < s["place"] - window)
+        done = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        return {
+            "spans": F.when(fresh & (s["end"] >= 0), F.concat(s["spans"], done)).otherwise(s["spans"]),
+            "start": F.when(fresh, s["place"] - window).otherwise(s["start"]),
+            "end": F.when(hit, s["place"]).otherwise(s["end"]),
+        }
+
+    def step(s: Column, m: Column) -> Column:
+        i, o = m["i"], m["o"]
+        n, gone = count(s, i), count(s, o) + F.when(i == o, 1).otherwise(0)
+        gain = F.when(i >= 0, f(n + 1) - f(n)).otherwise(0) + F.when(o >= 0, f(gone - 1) - f(gone)).otherwise(0)
+        fields = {f"c{k}": s[f"c{k}"] + moved(s, i, k) - moved(s, o, k) for k in packs}
+        fields["outside"] = s["outside"] + F.when(i == -1, 1).otherwise(0) - F.when(o == -1, 1).otherwise(0)
+        fields |= {"total": s["total"] + gain, "place": s["place"] + 1} | recorded(s)
+        return F.struct(*[x.alias(name) for name, x in fields.items()])
+
+    def finish(s: Column) -> Column:
+        last = recorded(s)
+        grown = F.array(F.struct(last["start"].alias("start"), last["end"].alias("end")))
+        return F.when(last["end"] >= 0, F.concat(last["spans"], grown)).otherwise(last["spans"])
+
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    start = {f"c{k}": F.lit(0).cast("long") for k in packs}
+    start |= {"outside": F.lit(0), "total": F.lit(0), "place": F.lit(0), "spans": none, "start": F.lit(-1), "end": F.lit(-1)}
+    state = F.struct(*[x.alias(name) for name, x in start.items()])
+    return _let(codes, lambda c: F.aggregate(moves(c), state, step, finish))
 
 
 def scan_secrets(
