@@ -176,18 +176,60 @@ def test_posterior_separates_kinds_of_bad_text(spark, odd, none):
     assert quality.keep_good(none).count() == 0 == quality.quality_digest(none).count()
 
 
-def test_label_model_by_hand():
-    model = quality.fit_label_model([((1, 1), 90), ((-1, 1), 6), ((1, -1), 4)], 2)
-    post = lambda votes: (
-        lambda like: like[0] / sum(like)
-    )([s * math.prod(p if v > 0 else 1 - p for v, p in zip(votes, r)) for s, r in zip(model.shares, model.rates)])
-    assert post((1, 1)) > 0.9 and post((-1, 1)) < 0.5 and post((1, -1)) < 0.5
-    assert quality.fit_label_model([], 3).shares[0] == 0.8
-    assert abs(sum(model.shares) - 1) < 1e-9
+def plain_em(patterns, n_rules, rounds):
+    """The label model document by document, in probabilities and by dictionaries."""
+    share, good, bad = 0.8, {r: 0.9 for r in range(n_rules)}, {r: 0.5 for r in range(n_rules)}
+    documents = [v for v, n in patterns for _ in range(n)]
+    like = lambda v, rates: math.prod(rates[r] if x > 0 else 1 - rates[r] for r, x in enumerate(v) if x)
+    post = lambda v: share * like(v, good) / (share * like(v, good) + (1 - share) * like(v, bad))
+    for _ in range(rounds):
+        of = {v: post(v) for v, _ in patterns}
+        new = [{}, {}]
+        for r in range(n_rules):
+            for c, rates in enumerate(new):
+                weight = lambda v: of[v] if c == 0 else 1 - of[v]  # noqa: B023, E731
+                rates[r] = (sum(weight(v) for v in documents if v[r] > 0) + 1) / (sum(weight(v) for v in documents if v[r]) + 2)
+        share = (sum(of[v] for v in documents) + 1) / (len(documents) + 2)
+        good, bad = new
+    return share, good, bad, post
+
+
+def test_label_model_matches_plain_em(spark):
+    rng = random.Random(4)
+    rates = ([0.95, 0.9, 0.7, 0.99], [0.2, 0.3, 0.6, 0.1])
+    count = Counter()
+    for _ in range(600):
+        kind = rates[rng.random() < 0.2]
+        count[tuple(0 if rng.random() < 0.2 else 1 if rng.random() < p else -1 for p in kind)] += 1
+    patterns = sorted(count.items())
+    model = quality.fit_label_model(patterns, 4, rounds=30, close=0)
+    share, good, bad, post = plain_em(patterns, 4, 30)
+    assert abs(model.share - share) < 1e-9 and abs(model.share - 0.8) < 0.1
+    assert all(abs(model.good[r] - good[r]) < 1e-9 and abs(model.bad[r] - bad[r]) < 1e-9 for r in range(4))
+    rows = spark.createDataFrame([v for v, _ in patterns], "a int, b int, c int, d int")
+    for r in rows.withColumn("q", model.posterior([F.col(c) for c in "abcd"])).collect():
+        assert abs(r.q - post(tuple(r[:4]))) < 1e-9
+    # The third rule errs often, so that its word alone does not condemn; the fourth one's nearly does.
+    assert post((1, 1, -1, 1)) > 0.9 > post((0, 0, 0, -1))
+    assert quality.fit_label_model([], 3).share == 0.8
+
+
+def test_a_rule_that_errs_is_outvoted(spark):
+    """Good documents that one rule calls bad are kept, where the rule errs on many."""
+    upper = lambda i: " ".join(w.upper() if k % 12 == 0 else w for k, w in enumerate(prose(i, 120).split()))
+    loud = [" ".join(w + "###" for w in prose(i, 120).split()) for i in range(30)]
+    copied = [(prose(i, 30) + " ") * 4 for i in range(30)]
+    texts = [prose(i, 120) for i in range(200)] + [upper(i) for i in range(200, 240)] + loud + copied
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    features = quality.text_features(df)
+    votes = features.select("doc_id", *[r.vote().alias(r.name) for r in quality.RULES])
+    accused = {r.doc_id for r in votes.collect() if min(r[1:]) < 0}
+    kept = {r.doc_id for r in quality.quality_digest(df).filter("kept").collect()}
+    assert kept == set(range(240)) and len(kept & accused) >= 40
 
 
 def test_plans_stay_in_the_jvm(spark):
     df = corpus(spark)
-    for made in (secrets.secret_digest(df), sharding.shard_digest(df), quality.judge(quality.text_features(df), quality.fit_label_model([], 7))):
+    for made in (secrets.secret_digest(df), sharding.shard_digest(df), quality.judge(quality.text_features(df), quality.fit_label_model([], len(quality.RULES)))):
         assert not re.search("Python|Pandas|Arrow", made._jdf.queryExecution().executedPlan().toString())
     assert F is not None

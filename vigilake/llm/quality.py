@@ -1,9 +1,10 @@
 """Quality rules as weak supervision.
 
 Each rule votes good (+1), bad (-1) or abstains (0).  Expectation-maximisation over the
-counts of vote patterns estimates how often each rule votes good on good documents and on
-each kind of bad ones, and the shares of all; a document's posterior probability of being
-good decides, instead of passing every rule.  Features, votes and posterior are DataFrame
+counts of vote patterns estimates the share of good documents and, by rule, how often it
+votes good on good ones and on bad ones; nothing but the votes is used.  A document's
+posterior probability of being good decides, so that a rule which often errs is outvoted,
+instead of every rule having to pass.  Features, votes and posterior are DataFrame
 expressions; EM runs on at most 3**rules pattern counts.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,8 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.array_distinct("_q_words")).cast("long").alias("f_distinct_words"),
         (F.length("_q_text") - F.length(F.regexp_replace("_q_text", "[#*$%&|<>]+", ""))).cast("long").alias("f_symbols"),
         (F.length("_q_text") - F.length(F.regexp_replace("_q_text", "[A-Z]+", ""))).cast("long").alias("f_capitals"),
+        (F.length("_q_text") - F.length(F.regexp_replace("_q_text", "\\p{L}+", ""))).cast("long").alias("f_letters"),
+        F.regexp_count("_q_text", F.lit("[#*$%&|<>][^\\x20\\x09-\\x0D]*")).cast("long").alias("f_symbol_words"),
         F.size("_q_lines").cast("long").alias("f_lines"),
         (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("f_dup_lines"),
         F.when(
@@ -87,67 +91,57 @@ class Rule:
         return F.expr(f"CASE WHEN f_words = 0 THEN -1 WHEN {self.value} {self.bad} THEN -1 WHEN {self.value} {self.good} THEN 1 ELSE 0 END")
 
 
+#: Bounds are tight, so that rules err on some good documents; each kind of junk has several rules.
 RULES = (
-    Rule("length", "f_words", ">= 80", "< 50"),
-    Rule("word_length", "abs(f_word_chars / f_words - 6.0)", "<= 2.0", "> 3.5"),
+    Rule("length", "f_words", ">= 100", "< 50"),
+    Rule("word_length", "abs(f_word_chars / f_words - 5.2)", "<= 1.0", "> 1.8"),
     Rule("symbols", "f_symbols / f_words", "<= 0.02", "> 0.1"),
-    Rule("dup_lines", "f_dup_lines / greatest(f_lines, 1)", "<= 0.3", "> 0.5"),
-    Rule("repeats", "f_repeat_words / f_words", "<= 0.1", "> 0.3"),
-    Rule("capitals", "f_capitals / f_word_chars", "<= 0.1", "> 0.3"),
-    Rule("variety", "f_distinct_words / f_words", ">= 0.25", "< 0.12"),
+    Rule("symbol_words", "f_symbol_words / f_words", "<= 0.02", "> 0.1"),
+    Rule("letters", "f_letters / f_word_chars", ">= 0.93", "< 0.8"),
+    Rule("dup_lines", "f_dup_lines / greatest(f_lines, 1)", "<= 0.1", "> 0.3"),
+    Rule("repeats", "f_repeat_words / f_words", "<= 0.02", "> 0.1"),
+    Rule("capitals", "f_capitals / f_word_chars", "<= 0.04", "> 0.06"),
+    Rule("variety", "f_distinct_words / f_words", ">= 0.6", "< 0.4"),
 )
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """A good class and one bad class for each rule: shares, and P(a rule that votes votes good)."""
+    """The share of good documents, and P(a rule that votes votes good) on good and on bad ones."""
 
-    shares: tuple[float, ...]
-    rates: tuple[tuple[float, ...], ...]
+    share: float
+    good: tuple[float, ...]
+    bad: tuple[float, ...]
 
     def posterior(self, votes: list[Column]) -> Column:
-        """Probability of the first (good) class, in log space."""
-        logs = []
-        for share, rates in zip(self.shares, self.rates, strict=True):
-            total: Column = F.lit(math.log(share))
-            for vote, p in zip(votes, rates, strict=True):
-                total = total + F.when(vote > 0, math.log(p)).when(vote < 0, math.log(1 - p)).otherwise(0.0)
-            logs.append(total)
-        return 1 / (1 + sum((F.exp(x - logs[0]) for x in logs[1:]), F.lit(0.0)))
-
-
-def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 50) -> LabelModel:
-    """EM over (votes, count).  No pattern: the starting values.
-
-    Documents are bad in different ways, so that each rule starts with a bad class of its
-    own, which it mostly accuses while the other rules mostly pass it.  Estimates are smoothed by
-    one vote either way.  So that the classes keep their meaning, a rule votes good on at
-    least 98 % of the good class and at most half of its own bad class.
+        """Probability of being good, in log space."""
+        odds: Column = F.lit(math.log(1 - self.share) - math.log(self.share))
+        for vote, g, b in zip(votes, self.good, self.bad, strict=True):
+            odds = odds + F.when(vote > 0, math.log(b) - math.log(g)).when(vote < 0, math.log(1 - b) - math.log(1 - g)).otherwise(0.0)
+        return 1 / (1 + F.exp(odds))
+
+
+def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 200, close: float = 1e-7) -> LabelModel:
+    """EM over (votes, count) until the share settles.  No pattern: the starting values.
+
+    Starts from mostly good documents, on which rules vote good nine times in ten, and bad
+    ones, on which they are in doubt; that tells the classes apart.  Estimates are smoothed
+    by one vote either way and have no other bounds.  Rules count as independent given the
+    class.
     """
-    classes = range(n_rules + 1)
-    shares = [0.8] + [0.2 / n_rules] * n_rules
-    rates = [[0.99] * n_rules] + [[0.1 if r == k else 0.8 for r in range(n_rules)] for k in range(n_rules)]
-    patterns = sorted(patterns)
-    total = sum(n for _, n in patterns)
+    share, rates = 0.8, [[0.9] * n_rules, [0.5] * n_rules]
+    votes = np.array([v for v, _ in sorted(patterns)], np.int8).reshape(-1, n_rules)
+    counts = np.array([n for _, n in sorted(patterns)], np.float64)
+    up, down = (votes > 0).astype(float), (votes < 0).astype(float)
     for _ in range(rounds if patterns else 0):
-        up, seen, mass = [[0.0] * n_rules for _ in classes], [[0.0] * n_rules for _ in classes], [0.0] * len(classes)
-        for votes, count in patterns:
-            like = [
-                shares[c] * math.prod(rates[c][r] if v > 0 else 1 - rates[c][r] for r, v in enumerate(votes) if v) for c in classes
-            ]
-            whole = sum(like)
-            for c in classes:
-                part = count * like[c] / whole
-                mass[c] += part
-                for r, v in enumerate(votes):
-                    seen[c][r] += part * (v != 0)
-                    up[c][r] += part * (v > 0)
-        shares = [(m + 1) / (total + len(mass)) for m in mass]
-        for c in classes:
-            for r in range(n_rules):
-                low, high = (0.98, 0.999) if c == 0 else (0.01, 0.5) if r == c - 1 else (0.01, 0.98)
-                rates[c][r] = min(high, max(low, (up[c][r] + 1) / (seen[c][r] + 2)))
-    return LabelModel(tuple(shares), tuple(map(tuple, rates)))
+        logs = [math.log(s) + up @ np.log(r) + down @ np.log1p(-np.array(r)) for s, r in zip((share, 1 - share), rates, strict=True)]
+        good = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -700, 700)))
+        before = share
+        share = float((counts @ good + 1) / (counts.sum() + 2))
+        rates = [((w @ up + 1) / (w @ (up + down) + 2)).tolist() for w in (counts * good, counts * (1 - good))]
+        if abs(share - before) < close:
+            break
+    return LabelModel(share, tuple(rates[0]), tuple(rates[1]))
 
 
 def fit_to(features: DataFrame, rules: tuple[Rule, ...] = RULES) -> LabelModel:
@@ -182,7 +176,8 @@ def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     """The rows of ``df`` that are kept, whole.
 
     Texts are read once for EM and once for the verdict, so that they are neither shuffled
-    nor written.
+    nor written.  Rows with null or empty texts go; repeated rows each stay or go alike; an
+    empty table gives none.  All columns stay, whatever their names.
     """
     model = fit_to(text_features(df.select(text), text), rules)
     rows = df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_body"))
@@ -190,6 +185,11 @@ def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
 
 
 def quality_digest(df: DataFrame) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and the posterior ``quality`` of every row.
+
+    A null text is an empty one: no words, base_failed, not kept.  Texts are read whole,
+    repeated rows each give a row, an empty table gives none; other columns are not read.
+    """
     return rate_quality(df.select("doc_id", "text")).select(
         "doc_id",
         F.col("f_words").alias("n_words"),
