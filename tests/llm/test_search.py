@@ -8,7 +8,7 @@ import xxhash
 from conftest import ODD_TEXTS, prose
 
 from vigilake.llm import decontamination as dc
-from vigilake.llm import simhash
+from vigilake.llm import near, simhash
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -176,3 +176,51 @@ def test_repeated_rows_nulls_and_empty_tables(spark, odd, none):
     assert simhash.simhash_digest(none).count() == 0 == simhash.drop_near_duplicates(none).count()
     twice = spark.createDataFrame([(5, prose(1)), (5, prose(2)), (5, prose(2))], "doc_id long, text string")
     assert sorted(r.text for r in simhash.drop_near_duplicates(twice).collect()) == sorted([prose(1), prose(2)])
+
+
+def edited_texts(n, seed=3):
+    rng, texts = random.Random(seed), []
+    for i in range(n):
+        words = prose(2000 + i, rng.choice([60, 120, 300])).split()
+        texts.append(" ".join(words))
+        for _ in range(2):
+            for at in rng.sample(range(len(words)), max(1, len(words) // rng.choice([25, 40, 80]))):
+                words[at] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    return texts
+
+
+def jaccard_components(sets, similarity=0.8):
+    root, pairs = list(range(len(sets))), []
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                pairs.append((a, b))
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    return root, pairs
+
+
+def test_tables_of_bits_find_similar_texts(spark):
+    """Recall of pairs at 0.8 or more against brute force, in many small groups and blocks."""
+    texts = edited_texts(120)
+    sets = [set(near.shingle_set(t.encode()).tolist()) for t in texts]
+    _, pairs = jaccard_components(sets)
+    codes = [near.wide_code(near.shingle_set(t.encode())).tobytes() for t in texts]
+    df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(codes)], "_body long, _code binary")
+    for options in ({"group": 16}, {"group": 512, "block": 100}):
+        found = {r.node: r.root for r in simhash.connected_components(near.link_codes(df, **options)).collect()}
+        together = [found.get(a, a) == found.get(b, b) for a, b in pairs]
+        assert sum(together) >= 0.97 * len(together) > 50
+    assert len(near.tables_for(10**7)) > len(near.tables_for(10**5)) > 1 == len(near.tables_for(100))
+
+
+def test_components_of_similar_sets_match_brute_force():
+    for seed in range(4):
+        texts = edited_texts(25, seed)
+        crowd = prose(9, 150).split()
+        rng = random.Random(seed)
+        texts += [" ".join(w if rng.random() > 0.03 else "other" for w in crowd) for _ in range(40)]
+        rng.shuffle(texts)
+        sets = [near.shingle_set(t.encode()) for t in texts] + [np.zeros(0, np.uint64)]
+        root, _ = jaccard_components([set(s.tolist()) for s in sets[:-1]])
+        assert near.join_similar(sets, 0.8).tolist() == [*root, len(sets) - 1]

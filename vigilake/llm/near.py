@@ -1,12 +1,15 @@
-"""Near duplicates by the Jaccard similarity of word shingles.
+"""Near duplicates by the Jaccard similarity of word shingles, found through SimHash and the Gray-order index.
 
-MinHash bands bring candidates together; every link is checked by the exact similarity of
-the two shingle sets.  A bucket's members are first compared with its smallest one; only
-members that this leaves in different components are compared with each other.
+Two texts of similarity 0.8 differ in about a seventh of their SimHash bits, too many for
+one short fingerprint.  So a text gets many bits: tables deal texts into groups by a few of
+them each, and in a group the Gray-order index finds what lies within a wide distance.
+Whatever is near in any table forms candidate clusters, in which the exact similarity of
+shingle sets decides.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,15 +17,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilake.llm.common import checkpointed, text_slices
-from vigilake.llm.simhash import SEED, connected_components
+from vigilake.llm.simhash import SEED, GrayIndex, _union, connected_components, first_of_groups, in_blocks, join_dense, outside_largest, with_row_keys
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: A pair of similarity s shares a bucket with probability 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8.
-BANDS, ROWS = 20, 5
-_RANDOM = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
-_FLIP, _TIMES = _RANDOM[0], _RANDOM[1] | np.uint64(1)
+#: Bits of a text; the first 128 are compared, tables take theirs from all.
+BITS = 512
+#: Bits out of 64 and out of 128 in which candidates differ at most: 3.6 and 4 deviations above the mean at 0.8.
+NEAR, NEAR_BOTH = 20, 36
+#: Probability that two texts of similarity 0.8 differ in a bit, and the share of such pairs that tables may miss.
+DIFFER, MISS = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi, 0.003
+#: Texts aimed at in a group, and the most in one task's side; bytes of shingle sets in one.
+GROUP, BLOCK, SET_BYTES = 512, 16_384, 16 << 20
+_FLIP = np.random.default_rng(SEED).integers(0, 1 << 63, BITS // 64, np.uint64)
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -33,94 +42,158 @@ def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[i : i + shingle]), SEED) for i in range(last)], np.uint64))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band, made of its number and ROWS minima."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for begin in range(0, len(shingles), 1024):
-        part = (shingles[begin : begin + 1024, None] ^ _FLIP) * _TIMES
-        least = np.minimum(least, (part ^ part >> np.uint64(32)).min(0))
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
+def wide_code(shingles: np.ndarray) -> np.ndarray:
+    """BITS bits, each set if it is set in over half of the shingles' hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for begin in range(0, len(shingles), 255):
+        x = shingles[begin : begin + 255, None] ^ _FLIP
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles))
 
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: the text becomes ``_body``, a hash of its lower-cased words, and ``_code``."""
     for part, texts in text_slices(batches, "_text"):
         names = [n for n in part.schema.names if n != "_text"]
         body = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(body), part.column("_text")], [*names, "_body", "_text"])
+        code = pa.array([wide_code(shingle_set(t)).tobytes() for t in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(body), code], [*names, "_body", "_code"])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in text_slices(batches, "_text"):
-        keys = [band_keys(s) for s in map(shingle_set, texts)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("_body").to_numpy(), BANDS)), pa.array(np.concatenate(keys))], ["_body", "_key"])
-
+def tables_for(count: int, group: int = GROUP) -> np.ndarray:
+    """[tables, bits]: places of the bits by which each table deals ``count`` texts into groups of about ``group``.
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in text_slices(batches, "_text"):
-        sets = [shingle_set(t) for t in texts]
-        sizes, held = pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([part.column("_body"), sizes, held], ["_body", "_size", "_set"])
+    As many tables as leave out MISS of the pairs at 0.8; without bits, one.
+    """
+    bits = max(0, math.ceil(math.log2(max(1, count) / group)))
+    tables = math.ceil(math.log(MISS) / math.log1p(-((1 - DIFFER) ** bits))) if bits else 1
+    rng = np.random.default_rng(SEED)
+    return np.array([rng.choice(BITS, bits, replace=False) for _ in range(tables)], np.int64).reshape(tables, bits)
 
 
-def _similar(similarity: float):
-    """mapInArrow function: pairs whose shingle sets are at least so similar."""
+def _dealt(places: np.ndarray):
+    """mapInArrow function: a row for each table, with its key and the two halves of the compared bits."""
+    tables, bits = places.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("_set_a"), batch.column("_set_b"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for begin in range(0, batch.num_rows, 1024):
+                part = batch.slice(begin, 1024)
+                raw = np.frombuffer(b"".join(part.column("_code").to_pylist()), np.uint8).reshape(part.num_rows, BITS // 8)
+                flags = np.unpackbits(raw, axis=1)
+                keys = (flags[:, places].astype(np.int64) << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
+                first, second = (np.ascontiguousarray(raw[:, i : i + 8]).view(np.int64).ravel() for i in (0, 8))
+                columns = [keys.ravel(), *(np.repeat(x, tables) for x in (part.column("_body").to_numpy(), first, second))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["_key", "_body", "_first", "_second"])
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    side = lambda x: sets.select(F.col("_body").alias(x), F.col("_size").alias(f"_size_{x}"), F.col("_set").alias(f"_set_{x}"))
-    sized = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    sized = sized.filter(F.least("_size_a", "_size_b") >= similarity * F.greatest("_size_a", "_size_b"))
-    return checkpointed(sized.select("a", "b", "_set_a", "_set_b").mapInArrow(_similar(similarity), "a long, b long"))
+def _candidates(table: pa.Table) -> pa.Table:
+    """applyInArrow function: links (a, b) that join the texts whose codes are near, as stars."""
+    first, second = (table.column(c).to_numpy().view(np.uint64) for c in ("_first", "_second"))
+    body, side = table.column("_body").to_numpy(), table.column("_side").to_numpy()
+    parent = join_dense(first, NEAR // 2)
+    asking = outside_largest(parent)
+    for own in (0, 1) if side.any() else (0,):
+        indexed = np.flatnonzero(side != own) if side.any() else np.arange(len(first))
+        mine = asking[side[asking] == own]
+        if not len(mine) or not len(indexed):
+            continue
+        for q, c in GrayIndex(first[indexed]).search(first[mine], NEAR):
+            q, c = mine[q], indexed[c]
+            differ = np.bitwise_count(first[q] ^ first[c]).astype(np.int16) + np.bitwise_count(second[q] ^ second[c])
+            near = differ <= NEAR_BOTH
+            parent = _union(parent, q[near], c[near])
+    child = np.flatnonzero(parent != np.arange(len(body)))
+    return pa.table({"a": pa.array(body[child]), "b": pa.array(body[parent[child]])})
+
+
+def link_codes(codes: DataFrame, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between values of ``_body`` that connect all candidates; ``_body`` is distinct."""
+    places = tables_for(codes.count(), group)
+    dealt = codes.select("_body", "_code").mapInArrow(_dealt(places), "_key long, _body long, _first long, _second long")
+    return in_blocks(dealt, block, "_body").groupBy("_key", "_low", "_high").applyInArrow(_candidates, "a long, b long")
 
 
-def _roots(bodies: DataFrame, links: DataFrame) -> DataFrame:
-    """``bodies`` with ``_root``, the component of ``_body``."""
-    roots = connected_components(links).withColumnRenamed("node", "_body")
-    return bodies.join(roots, "_body", "left").withColumn("_root", F.coalesce("root", "_body")).drop("root")
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, texts in text_slices(batches, "_text"):
+        held = pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column("_body"), part.column("_key"), held], ["_body", "_key", "_set"])
+
+
+def join_similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The smallest member of each member's component, by pairs of sets that are at least so similar.
 
+    One set at a time is compared with all; once every set outside the largest component has
+    been, no pair that is apart is left.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    frequency = np.bincount(codes)
+    held = np.concatenate([[0], np.cumsum(frequency[codes])])
+    popular = (held[ends] - held[ends - sizes]) / np.maximum(sizes, 1)
+    parent, done, flag = np.arange(len(sets)), np.zeros(len(sets), bool), np.zeros(len(frequency), np.int32)
+    while True:
+        waiting = np.flatnonzero((parent != np.bincount(parent).argmax()) & ~done) if done.any() else np.arange(len(sets))
+        if not len(waiting):
+            return parent
+        pivot = waiting[popular[waiting].argmax()]
+        done[pivot] = True
+        own = codes[ends[pivot] - sizes[pivot] : ends[pivot]]
+        flag[own] = 1
+        shared = np.concatenate([[0], np.cumsum(flag[codes])])
+        flag[own] = 0
+        both = shared[ends] - shared[ends - sizes]
+        near = np.flatnonzero(both >= similarity * (sizes + sizes[pivot] - both))
+        parent = _union(parent, np.full(len(near), pivot), near)
+
+
+def _similar(similarity: float):
+    """applyInArrow function: links (a, b) of a cluster's similar texts, as stars."""
+
+    def run(table: pa.Table) -> pa.Table:
+        body = table.column("_body").to_numpy()
+        parent = join_similar([np.frombuffer(x, np.uint64) for x in table.column("_set").to_pylist()], similarity)
+        child = np.flatnonzero(parent != np.arange(len(body)))
+        return pa.table({"a": pa.array(body[child]), "b": pa.array(body[parent[child]])})
 
-def drop_near_duplicates(df: DataFrame, order: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each group: the one with the smallest ``order``, then row hash; exact repeats give one row.
+    return run
+
+
+def drop_near_duplicates(df: DataFrame, order: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
+    """One row of each group: the one with the smallest ``order``, then row keys; exact repeats give one row.
 
     Groups are the components of pairs of at least ``similarity``.  Texts of the same
-    lower-cased words are one; so are texts without words.
+    lower-cased words are one; so are texts without words, null ones among them.  A null
+    ``order`` is never the smallest unless a group has nothing else.  Texts are read whole;
+    an empty table gives none; all columns stay.
     """
-    columns = df.columns
-    keyed = df.withColumn("__row", F.xxhash64(*columns))
-    kind = keyed.schema[order].dataType.simpleString()
-    rows = keyed.select(F.col(order).alias("_order"), "__row", F.col(text).alias("_text"))
-    rows = rows.mapInArrow(_bodies, f"_order {kind}, __row long, _body long, _text string")
-    # The texts that stand for a body: those of its smallest row hash.
-    named = checkpointed(rows.select("_order", "__row", "_body"))
-    chosen = named.groupBy("_body").agg(F.min("__row").alias("__row"))
-    texts = rows.select("__row", "_body", "_text").join(chosen, ["__row", "_body"], "left_semi")
-    buckets = texts.mapInArrow(_buckets, "_body long, _key long").distinct()
-    least = buckets.groupBy("_key").agg(F.min("_body").alias("_least"), F.count("*").alias("_n")).filter("_n > 1")
-    shared = checkpointed(buckets.join(least.drop("_n"), "_key"))
-    involved = checkpointed(shared.select("_body").distinct())
-    sets = checkpointed(texts.join(involved, "_body", "left_semi").mapInArrow(_sets, "_body long, _size int, _set binary").dropDuplicates(["_body"]))
-    first = _links(shared.filter("_body <> _least").select(F.col("_least").alias("a"), F.col("_body").alias("b")), sets, similarity)
-    placed = _roots(shared, first)
-    mixed = placed.groupBy("_key").agg((F.min("_root") < F.max("_root")).alias("_mixed")).filter("_mixed").select("_key")
-    left = checkpointed(placed.join(mixed, "_key", "left_semi"))
-    one = left.select("_key", F.col("_body").alias("a"), F.col("_root").alias("_root_a"), "_least")
-    other = left.select("_key", F.col("_body").alias("b"), F.col("_root").alias("_root_b"))
-    # Pairs with the smallest member are settled.
-    apart = one.join(other, "_key").filter("a < b AND _root_a <> _root_b AND a <> _least").select("a", "b")
-    grouped = checkpointed(_roots(named, first.union(_links(apart, sets, similarity))))
-    best = grouped.groupBy("_root").agg(F.min(F.struct(F.col("_order").isNull(), "_order", "__row")).alias("_best"))
-    best = best.select("_best._order", "_best.__row")
-    kept = keyed.join(best, (keyed["__row"] == best["__row"]) & keyed[order].eqNullSafe(best["_order"]), "left_semi")
-    return kept.dropDuplicates([order, "__row"]).select(*columns)
+    keyed = with_row_keys(df)
+    rows = keyed.select(F.col(order).alias("_order"), "__row", "__also", F.col(text).alias("_text"))
+    schema = T.StructType([f for f in rows.schema if f.name != "_text"]).add("_body", "long").add("_code", "binary")
+    coded = checkpointed(rows.mapInArrow(_coded, schema))
+    codes = coded.groupBy("_body").agg(F.first("_code").alias("_code"), F.min(F.struct("__row", "__also")).alias("_one"))
+    codes = checkpointed(codes.select("_body", "_code", "_one.*"))
+    clusters = connected_components(link_codes(codes, group)).withColumnRenamed("node", "_body").withColumnRenamed("root", "_key")
+    # One text stands for each body of a cluster.
+    chosen = codes.join(clusters, "_body").select("_body", "_key", "__row", "__also")
+    texts = rows.select("__row", "__also", "_text").join(chosen, ["__row", "__also"]).select("_body", "_key", "_text")
+    sets = checkpointed(texts.mapInArrow(_sets, "_body long, _key long, _set binary").dropDuplicates(["_body"]))
+    links = by_bytes(sets, SET_BYTES).groupBy("_key", "_low", "_high").applyInArrow(_similar(similarity), "a long, b long")
+    roots = connected_components(links).withColumnRenamed("node", "_body")
+    grouped = coded.select("_order", "__row", "__also", "_body").join(roots, "_body", "left").withColumn("_root", F.coalesce("root", "_body"))
+    return first_of_groups(keyed, grouped, "_root", "_order").select(*df.columns)
+
+
+def by_bytes(sets: DataFrame, most: int) -> DataFrame:
+    """Clusters in pairs of blocks, as ``in_blocks``, by the bytes of their sets."""
+    sized = sets.groupBy("_key").agg(F.sum(F.octet_length("_set")).alias("_bytes"))
+    blocks = F.greatest(F.ceil(F.col("_bytes") / most), F.lit(1)).cast("int")
+    dealt = sets.join(sized, "_key").withColumn("_own", F.pmod(F.xxhash64("_body"), blocks).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.withColumns({"_low": F.least("_own", "_other"), "_high": F.greatest("_own", "_other")}).drop("_own", "_other", "_bytes")

@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilake.llm.common import checkpointed, text_slices
 
@@ -56,8 +57,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def add_fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     """Replaces ``text`` by ``_fp``, the fingerprint as a signed long; a null text counts as empty."""
     rows = df.withColumn("_text", F.col(text)).drop(*({text, "_fp"} - {"_text"}))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(_fingerprints, f"{fields + ', ' if fields else ''}_fp long")
+    schema = T.StructType([f for f in rows.schema if f.name != "_text"]).add("_fp", "long")
+    return rows.mapInArrow(_fingerprints, schema)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -131,18 +132,41 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = up
 
 
+def join_dense(codes: np.ndarray, k: int) -> np.ndarray:
+    """Sets of what lies within k bits of the member next to all members' majority code.
+
+    A crowd of near copies becomes one set in linear time.
+    """
+    bits = np.unpackbits(codes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    major = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(codes)).view(">u8").astype(np.uint64)
+    pivot = np.bitwise_count(codes ^ major[0]).argmin()
+    near = np.flatnonzero(np.bitwise_count(codes ^ codes[pivot]) <= k)
+    return _union(np.arange(len(codes)), np.full(len(near), pivot), near)
+
+
+def outside_largest(parent: np.ndarray) -> np.ndarray:
+    """Members of all sets but the largest: every pair that is still apart has one of them."""
+    return np.flatnonzero(parent != np.bincount(parent).argmax())
+
+
 def _link_group(k: int):
     """applyInArrow function: links (a, b) that join what lies within k bits in a group, as stars."""
 
     def run(table: pa.Table) -> pa.Table:
         codes = table.column("_fp").to_numpy().view(np.uint64)
         side = table.column("_side").to_numpy()
-        parent = np.arange(len(codes))
-        left, right = (np.flatnonzero(side == s) for s in (0, 1))
-        indexed, asking = (right, left) if len(right) else (left, left)
-        if len(asking):
-            for q, c in GrayIndex(codes[indexed]).search(codes[asking], k):
-                parent = _union(parent, asking[q], indexed[c])
+        parent = join_dense(codes, k)
+        asking = outside_largest(parent)
+        if side.any():
+            # Of two blocks: whoever asks looks among the members of the other one.
+            for own in (0, 1):
+                indexed, mine = np.flatnonzero(side != own), asking[side[asking] == own]
+                if len(mine) and len(indexed):
+                    for q, c in GrayIndex(codes[indexed]).search(codes[mine], k):
+                        parent = _union(parent, mine[q], indexed[c])
+        elif len(asking):
+            for q, c in GrayIndex(codes).search(codes[asking], k):
+                parent = _union(parent, asking[q], c)
         child = np.flatnonzero(parent != np.arange(len(codes)))
         values = codes.view(np.int64)
         return pa.table({"a": pa.array(values[child]), "b": pa.array(values[parent[child]])})
@@ -175,26 +199,30 @@ def link_fingerprints(codes: DataFrame, k: int = DIFFERENCES, group: int = GROUP
     Group keys take as many bits as bring groups to about ``group`` members, so the work
     stays in proportion to the input; beyond one band's width two agreeing bands of k+2 are
     used.  A group of more than ``block`` members is cut into blocks by hash, and every pair
-    of blocks is a task.
+    of blocks is a task; what a block pair has already joined is not compared again.
     """
     count = codes.count()
     bits = max(0, math.ceil(math.log2(max(1, count) / group)))
     agree = 1 if bits <= BITS // (k + 1) else 2
     bits = min(bits, agree * (BITS // (k + agree)))
     dealt = codes.select("_fp", F.explode(_band_keys(F.col("_fp"), k, agree, bits)).alias("_key"))
+    return in_blocks(dealt, block).groupBy("_key", "_low", "_high").applyInArrow(_link_group(k), "a long, b long")
+
+
+def in_blocks(dealt: DataFrame, block: int, member: str = "_fp") -> DataFrame:
+    """Adds _low, _high and _side: groups of ``_key`` in blocks by hash of ``member``, in every pair of which a row stands.
+
+    A group of at most ``block`` rows is one pair; rows of a pair's higher block are on side 1.
+    """
     hot = dealt.groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > block)
     blocks = F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int")
     dealt = dealt.join(hot, "_key", "left").withColumn("_blocks", blocks)
-    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("_fp"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select(
-        "_fp",
-        "_key",
-        F.least("_own", "_other").alias("_low"),
-        F.greatest("_own", "_other").alias("_high"),
-        (F.col("_own") > F.col("_other")).cast("int").alias("_side"),
+    placed = dealt.withColumns(
+        {"_low": F.least("_own", "_other"), "_high": F.greatest("_own", "_other"), "_side": (F.col("_own") > F.col("_other")).cast("int")}
     )
-    return dealt.groupBy("_key", "_low", "_high").applyInArrow(_link_group(k), "a long, b long")
+    return placed.drop("_n", "_blocks", "_own", "_other")
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -244,17 +272,35 @@ def near_duplicate_groups(df: DataFrame, order: str, text: str = "text", k: int
     return rows.join(named, "_fp")
 
 
+def with_row_keys(df: DataFrame) -> DataFrame:
+    """Adds __row and __also, hashes of the whole row (96 bits); maps are hashed as JSON."""
+    whole = [F.to_json(c) if isinstance(df.schema[c].dataType, T.MapType) else F.col(f"`{c}`") for c in df.columns]
+    return df.withColumns({"__row": F.xxhash64(*whole), "__also": F.hash(*whole)})
+
+
+def first_of_groups(keyed: DataFrame, grouped: DataFrame, group: str, order: str) -> DataFrame:
+    """The row of ``keyed`` with the smallest ``order``, then row keys, of each group; exact repeats give one row.
+
+    ``grouped`` has ``group``, ``order`` and the row keys.  Rows are shuffled once, by their keys.
+    """
+    best = grouped.groupBy(group).agg(F.min(F.struct(F.col(order).isNull(), F.col(order), "__row", "__also")).alias("_best"))
+    best = best.select(F.col("_best.__row").alias("__row"), F.col("_best.__also").alias("__also"))
+    return keyed.join(best, ["__row", "__also"], "left_semi").dropDuplicates(["__row", "__also"]).drop("__row", "__also")
+
+
 def drop_near_duplicates(df: DataFrame, order: str = "doc_id", text: str = "text", k: int = DIFFERENCES) -> DataFrame:
     """One row of each group: the one with the smallest ``order``, then row hash; exact repeats give one row."""
-    columns = df.columns
-    keyed = df.withColumn("__row", F.xxhash64(*columns))
-    grouped = near_duplicate_groups(keyed.select(order, "__row", F.col(text).alias("_body")), order, "_body", k)
-    best = grouped.groupBy("_group").agg(F.min(F.struct(F.col(order).isNull(), order, "__row")).alias("_best"))
-    best = best.select(F.col(f"_best.{order}").alias("_order"), F.col("_best.__row").alias("__row"))
-    kept = keyed.join(best, (keyed["__row"] == best["__row"]) & keyed[order].eqNullSafe(best["_order"]), "left_semi")
-    return kept.dropDuplicates([order, "__row"]).select(*columns)
+    keyed = with_row_keys(df)
+    rows = keyed.select(F.col(order).alias("_order"), "__row", "__also", F.col(text).alias("_body"))
+    grouped = near_duplicate_groups(rows, "_order", "_body", k)
+    return first_of_groups(keyed, grouped, "_group", "_order").select(*df.columns)
 
 
 def simhash_digest(df: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every row.
+
+    Null texts, and others without words, have fingerprint zero and are linked like any
+    other; texts are read whole; repeated rows each give a row, an empty table gives none.
+    """
     grouped = near_duplicate_groups(df.select("doc_id", "text"), "doc_id")
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
