@@ -12,13 +12,10 @@ from pyspark.sql import functions as F
 from vigilake.llm import chat, ctw, language, toxicity
 from vigilake.llm import sentencepieces as sp
 
-FOLDS = (6, 5, 5, 5, 5)
-
-
 def contexts(text):
     padded = b"\n" * 5 + text
     for i in range(5, len(padded)):
-        yield tuple(padded[i - d] & ((1 << FOLDS[d - 1]) - 1) for d in range(1, 6)), padded[i]
+        yield tuple(padded[i - d] for d in range(1, 6)), padded[i]
 
 
 def log_kt(a, b):
@@ -37,15 +34,13 @@ def heap(counts):
 class PlainTree:
     """The weighted tree by recursion over dictionaries."""
 
-    def __init__(self, texts, nodes):
+    def __init__(self, texts):
         counts = defaultdict(Counter)
         for t in texts:
             for context, byte in contexts(t):
                 for d in range(6):
                     counts[context[:d]][byte] += 1
-        sizes = [sum(c.values()) for k, c in counts.items() if k]
-        power = next((p for p in range(63) if sum(s >= 2**p for s in sizes) <= nodes))
-        self.nodes = {k for k, c in counts.items() if not k or sum(c.values()) >= 2**power}
+        self.nodes = set(counts)
         below = defaultdict(list)
         for k in self.nodes:
             if k:
@@ -86,9 +81,9 @@ def test_context_tree_and_base_scores_match_recursion(spark):
     texts = [prose(i, 20) for i in range(12)] + [None, "", "é ALPHA  zzz\n"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     train = df.filter("doc_id < 10 OR doc_id = 12")
-    rows = {r.doc_id: r for r in ctw.score_corpus(df, train, nodes=60, top_words=20).collect()}
+    rows = {r.doc_id: r for r in ctw.score_corpus(df, train, top_words=20).collect()}
     seen = [(t or "").encode() for i, t in enumerate(texts) if i < 10 or i == 12]
-    tree = PlainTree(seen, 60)
+    tree = PlainTree(seen)
     counts = Counter(w for t in seen for w in t.lower().split())
     n, v = sum(counts.values()) + len(seen), len(counts) + 1
     for i, text in enumerate(texts):
@@ -100,12 +95,11 @@ def test_context_tree_and_base_scores_match_recursion(spark):
         assert (rows[i].bits_per_byte is None) == (not body)
 
 
-def test_scores_use_whole_bytes_and_every_context(spark, monkeypatch):
-    monkeypatch.setitem(globals(), "FOLDS", (8, 8, 8, 8, 8))
+def test_scores_use_whole_bytes_and_every_context(spark):
     texts = [prose(i, 20) for i in range(12)] + ["Aa! aA! pp00 p0p0 aa!!", None, "A! a0 P\u00e9 \u00e9", "aaaaaaaa" * 9]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     train = df.filter("doc_id < 9 OR doc_id = 12")
-    tree = PlainTree([(t or "").encode() for i, t in enumerate(texts) if i < 9 or i == 12], 10**9)
+    tree = PlainTree([(t or "").encode() for i, t in enumerate(texts) if i < 9 or i == 12])
     for others in (None, df.exceptAll(train)):
         for top_codes in (20, 1 << 20):
             rows = ctw.score_corpus(df, train, top_codes=top_codes, top_words=20, others=others).collect()
@@ -121,6 +115,8 @@ def test_scores_of_odd_rows_and_without_training(spark, odd, none):
     assert ctw.score_digest(none).count() == 0
     blank = ctw.score_corpus(odd.select("doc_id", "text"), none).filter("doc_id = 8").first()
     assert blank.score == pytest.approx(len(prose(1)) * 8 * math.log10(0.5), rel=1e-4) and blank.n_known == 0
+    clashes = odd.select("doc_id", "text", F.struct(F.lit(1).alias("a-b")).alias("s t"), *[F.lit(7).alias(c) for c in ("_n", "_id", "_value", "_known", "_row", "_word", "n.x")])
+    assert ctw.score_corpus(clashes, odd).first()["_value"] == 7 and ctw.score_corpus(odd.select("text"), odd).count() == odd.count()
 
 
 def test_trained_model_beats_uniform_on_held_out_text(spark):

@@ -9,9 +9,6 @@ weights mix the estimates of all depths into log10 P(byte | context).
 Codes (context and byte) are a Spark table.  Nodes of three bytes and more are weighed in
 tasks that hold whole subtrees, shorter ones by a groupBy for each depth; the estimates are
 then mixed from the root on.  Frequent codes go out to every task, the others are joined.
-
-With ``nodes`` set, a bounded tree takes the table's place: a few low bits of each byte
-are kept, and what is rarer than a power of two shares a leaf under its parent.
 """
 
 from __future__ import annotations
@@ -26,11 +23,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilake.llm.common import checkpointed, crc_mod, text_slices
 
-#: Bits of the byte before, the one before that, and so on; low bits kept of them in a bounded tree.
-WHOLE, FOLDS = (8, 8, 8, 8, 8), (6, 5, 5, 5, 5)
+#: Bytes of context.
+DEPTH = 5
 #: Words held by a task before it passes its counts on, and words and codes that go out to every task at most.
 HELD_WORDS, TOP_WORDS, TOP_CODES = 500_000, 1 << 17, 1 << 20
 #: Bytes of context whose subtrees stay in one task; codes that a task weighs at once (more only for one subtree).
@@ -53,13 +51,13 @@ def _padded(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return data, own
 
 
-def context_codes(texts: list[bytes], folds: tuple[int, ...] = WHOLE) -> np.ndarray:
+def context_codes(texts: list[bytes]) -> np.ndarray:
     """context << 8 | byte for every byte of every text, in order; the nearest byte leads the context."""
-    data, own = _padded(texts, len(folds))
+    data, own = _padded(texts, DEPTH)
     code = np.zeros(len(data), np.int64)
-    for back, bits in enumerate(folds, 1):
-        code <<= bits
-        code[back:] |= data[:-back] & ((1 << bits) - 1)
+    for back in range(1, DEPTH + 1):
+        code <<= 8
+        code[back:] |= data[:-back]
     return ((code << 8) | data)[own]
 
 
@@ -70,7 +68,7 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[cuts], np.add.reduceat(counts, cuts) if len(cuts) else counts
 
 
-def _count(folds: tuple[int, ...], held: int, only_codes: bool = False):
+def _count(held: int, only_codes: bool = False):
     """mapInArrow function: (kind, key, n) of words, of byte contexts and of ends, summed within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +94,7 @@ def _count(folds: tuple[int, ...], held: int, only_codes: bool = False):
                 if len(words) > held:
                     yield batch(_WORD, len(words), list(words.values()), keys=list(words.keys()))
                     words.clear()
-            found = np.sort(context_codes(texts, folds))
+            found = np.sort(context_codes(texts))
             cuts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.zeros(0, np.int64)
             codes.append((found[cuts], np.diff(np.append(cuts, len(found)))))
             if len(codes) > 8:
@@ -115,9 +113,9 @@ def _count(folds: tuple[int, ...], held: int, only_codes: bool = False):
     return run
 
 
-def corpus_counts(df: DataFrame, text: str = "text", folds: tuple[int, ...] = WHOLE, held: int = HELD_WORDS) -> DataFrame:
+def corpus_counts(df: DataFrame, text: str = "text", held: int = HELD_WORDS) -> DataFrame:
     """(kind, key, code, n) over all rows: 0 lower-cased words, 1 codes of context and byte, 2 ends of texts."""
-    rows = df.select(F.col(text).alias("_text")).mapInArrow(_count(folds, held), "kind int, key binary, code long, n long")
+    rows = df.select(F.col(text).alias("_text")).mapInArrow(_count(held), "kind int, key binary, code long, n long")
     return rows.groupBy("kind", "key", "code").agg(F.sum("n").alias("n"))
 
 
@@ -141,129 +139,17 @@ def kt_log_probability(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros, _HALVES, 0.5) + _log_gamma(ones, _HALVES, 0.5) - np.log(np.pi) - _log_gamma(zeros + ones, _WHOLES, 1.0)
 
 
-def decision_counts(byte_counts: np.ndarray) -> np.ndarray:
-    """By decision node 1..255 of a byte (bits so far, after a leading 1): counts of 0 and 1, in [..., 256, 2]."""
-    heap = np.zeros((*byte_counts.shape[:-1], 512), np.float64)
-    heap[..., 256:] = byte_counts
-    for level in range(7, -1, -1):
-        span = slice(1 << level, 2 << level)
-        below = heap[..., 2 << level : 4 << level]
-        heap[..., span] = below[..., 0::2] + below[..., 1::2]
-    return heap.reshape(*byte_counts.shape[:-1], 256, 2)
-
-
-@dataclass
-class Subtree:
-    """Nodes under one class of the nearest byte, by depth then context, with their CTW quantities by decision."""
-
-    depth: np.ndarray
-    context: np.ndarray
-    parent: np.ndarray
-    zero: np.ndarray
-    rest_zero: np.ndarray
-    weight: np.ndarray
-    #: ln of the first node's weighted probability, by decision.
-    weighted: np.ndarray
-
-
 def _zero(counts: np.ndarray) -> np.ndarray:
     """KT estimate of the next decision being 0."""
     return (counts[..., 0] + 0.5) / (counts.sum(-1) + 1)
 
 
-def weigh(depth: np.ndarray, context: np.ndarray, byte_counts: np.ndarray, folds: tuple[int, ...]) -> Subtree:
-    """Weights of a subtree: nodes sorted by depth (1 first) and context, byte counts by node.
-
-    Occurrences of a node that belong to none of its children form one more leaf under it.
-    """
-    place = {(int(d), int(c)): i for i, (d, c) in enumerate(zip(depth, context, strict=True))}
-    parent = np.array([place.get((int(d) - 1, int(c) >> folds[int(d) - 1]), -1) for d, c in zip(depth, context, strict=True)], np.int64)
-    rest = byte_counts.copy()
-    below = np.flatnonzero(parent >= 0)
-    np.subtract.at(rest, parent[below], byte_counts[below])
-    counts, left = decision_counts(byte_counts), decision_counts(rest)
-    del rest
-    tree = Subtree(depth, context, parent, *(np.empty((len(depth), 256)) for _ in range(3)), np.empty(256))
-    at_depth = [np.flatnonzero(depth == d) for d in range(len(folds) + 1)]
-    # Decisions do not depend on each other; a few columns at a time keep the arrays small.
-    for begin in range(0, 256, 32):
-        cut = slice(begin, begin + 32)
-        own = kt_log_probability(counts[:, cut, 0], counts[:, cut, 1])
-        children = kt_log_probability(left[:, cut, 0], left[:, cut, 1])
-        weighted, weight = own.copy(), np.ones_like(own)
-        for d in range(len(folds), 0, -1):
-            at = at_depth[d]
-            if d < len(folds):
-                weighted[at] = np.logaddexp(own[at], children[at]) - np.log(2)
-                weight[at] = np.exp(own[at] - np.log(2) - weighted[at])
-            inner = at[parent[at] >= 0]
-            np.add.at(children, parent[inner], weighted[inner])
-        tree.zero[:, cut], tree.rest_zero[:, cut], tree.weight[:, cut] = _zero(counts[:, cut]), _zero(left[:, cut]), weight
-        tree.weighted[cut] = weighted[0]
-    return tree
-
-
-def _byte_logs(zero: np.ndarray) -> np.ndarray:
-    """log10 P(byte) from P(0) by decision."""
-    logs = np.zeros((len(zero), 512))
-    for level in range(8):
-        span = slice(1 << level, 2 << level)
-        logs[:, 2 << level : 4 << level : 2] = logs[:, span] + np.log10(zero[:, span])
-        logs[:, (2 << level) + 1 : 4 << level : 2] = logs[:, span] + np.log10(1 - zero[:, span])
-    return logs[:, 256:].astype(np.float32)
-
-
-def mix(tree: Subtree, root_zero: np.ndarray, root_weight: np.ndarray) -> np.ndarray:
-    """log10 P(byte) at each node for contexts that go no deeper, with the estimates from the root on mixed."""
-    mixed, left = np.empty(tree.zero.shape), np.empty(tree.zero.shape)
-    for i in range(len(tree.depth)):
-        p = tree.parent[i]
-        before, share = (root_weight * root_zero, 1 - root_weight) if p < 0 else (mixed[p], left[p])
-        mixed[i] = before + share * tree.weight[i] * tree.zero[i]
-        left[i] = share * (1 - tree.weight[i])
-    mixed += left * tree.rest_zero
-    del left
-    return np.concatenate([_byte_logs(mixed[i : i + 2048]) for i in range(0, len(mixed), 2048)])
-
-
-def _subtree(table: pa.Table, folds: tuple[int, ...]) -> Subtree:
-    depth, context, byte, n = (table.column(c).to_numpy() for c in ("depth", "context", "byte", "n"))
-    nodes, at = np.unique(np.stack([depth.astype(np.int64), context], 1), axis=0, return_inverse=True)
-    counts = np.zeros((len(nodes), 256))
-    counts[at.ravel(), byte] = n
-    return weigh(nodes[:, 0], nodes[:, 1], counts, folds)
-
-
 def _text_sums(logs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes)
     sums = np.concatenate([[0.0], np.cumsum(logs)])
     return sums[ends] - sums[ends - sizes]
 
 
-@dataclass
-class ContextTree:
-    """Node 0 is the root; ``child[node, folded byte]``, or ``len(logs)`` where there is none."""
-
-    folds: tuple[int, ...]
-    child: np.ndarray
-    logs: np.ndarray
-
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """log10 probability of each text, 0 for an empty one; no codes are left to join."""
-        data, own = _padded(texts, len(self.folds))
-        none, wide = len(self.logs), self.child.shape[1]
-        child = self.child.ravel()
-        at = np.zeros(len(data), np.int32)
-        node = np.zeros(len(data), np.int32)
-        for back, bits in enumerate(self.folds, 1):
-            at = child[at[back if back == 1 else 1 :] * wide + (data[:-back] & ((1 << bits) - 1))]
-            np.copyto(node[back:], at, where=at < none)
-        logs = np.append(self.logs.ravel()[node.astype(np.int64) * 256 + data].astype(np.float64)[own], 0.0)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        none = np.zeros(0, np.int64)
-        return _text_sums(logs, sizes), none, none, none
-
-
 def least_power(spread: list[tuple[int, int]], most: int) -> int:
     """From (power of two, how many have at least that and less than the next): the lowest power that ``most`` allows."""
     power, reached = 63, 0
@@ -274,70 +160,6 @@ def least_power(spread: list[tuple[int, int]], most: int) -> int:
     return power
 
 
-def fit_tree(counts: DataFrame, folds: tuple[int, ...], nodes: int) -> ContextTree:
-    """The bounded tree over ``corpus_counts``.
-
-    Subtrees under the nearest byte's classes are worked out in tasks of their own; at most
-    ``nodes`` rows of 1 kB meet on the driver.
-    """
-    widths = [sum(folds[:d]) for d in range(len(folds) + 1)]
-    whole = widths[-1] + 8
-    depths = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("code", whole - w).alias("context")) for d, w in enumerate(widths)]))
-    each = counts.filter(F.col("kind") == _BYTE).select(depths.alias("_at"), F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n")
-    levels = checkpointed(each.groupBy("_at.depth", "_at.context", "byte").agg(F.sum("n").alias("n")))
-    sizes = levels.filter("depth > 0").groupBy("depth", "context").agg(F.sum("n").alias("size"))
-    spread = sizes.groupBy(F.floor(F.log2("size")).cast("int").alias("power")).agg(F.count("*").alias("k")).collect()
-    power = least_power([(r["power"], r["k"]) for r in spread], nodes)
-    grown = sizes.filter(F.col("size") >= float(2**power)).select("depth", "context")
-    rows = levels.join(F.broadcast(grown), ["depth", "context"])
-    of_depth = F.element_at(F.array(*[F.shiftright("context", w - folds[0]) for w in widths[1:]]), F.col("depth"))
-    grouped = rows.withColumn("_class", of_depth.cast("int")).groupBy("_class")
-
-    def roots(table: pa.Table) -> pa.Table:
-        tree = _subtree(table, folds)
-        byte_counts = np.zeros(256)
-        first = table.filter(pc.equal(table.column("depth"), 1))
-        byte_counts[first.column("byte").to_numpy()] = first.column("n").to_numpy()
-        return pa.table({"weighted": [tree.weighted.tobytes()], "counts": [byte_counts.tobytes()]})
-
-    found = grouped.applyInArrow(roots, "weighted binary, counts binary").collect()
-    total = np.zeros(256)
-    for r in levels.filter("depth = 0").collect():
-        total[r["byte"]] = r["n"]
-    rest = decision_counts(total - sum((np.frombuffer(r["counts"]) for r in found), np.zeros(256)))
-    root = decision_counts(total)
-    own = kt_log_probability(root[:, 0], root[:, 1])
-    children = kt_log_probability(rest[:, 0], rest[:, 1]) + sum((np.frombuffer(r["weighted"]) for r in found), np.zeros(256))
-    weight = np.exp(own - np.logaddexp(own, children))
-    zero = _zero(root)
-
-    def parts(table: pa.Table) -> pa.Table:
-        tree = _subtree(table, folds)
-        logs = mix(tree, zero, weight)
-        return pa.table({"depth": pa.array(tree.depth.astype(np.int32)), "context": pa.array(tree.context), "logs": pa.array([x.tobytes() for x in logs], pa.binary())})
-
-    made = grouped.applyInArrow(parts, "depth int, context long, logs binary").toArrow()
-    depth, context = (made.column(c).to_numpy() for c in ("depth", "context"))
-    order = np.lexsort((context, depth))
-    depth, context = depth[order], context[order]
-    logs = np.empty((len(order) + 1, 256), np.float32)
-    logs[0] = _byte_logs((weight * zero + (1 - weight) * _zero(rest))[None])[0]
-    row_of = np.empty(len(order), np.int64)
-    row_of[order] = np.arange(1, len(order) + 1)
-    begin = 0
-    for chunk in made.column("logs").chunks:
-        logs[row_of[begin : begin + len(chunk)]] = np.frombuffer(b"".join(chunk.to_pylist()), np.float32).reshape(-1, 256)
-        begin += len(chunk)
-    del made
-    none = len(logs)
-    child = np.full((none + 1, 1 << max(folds)), none, np.int32)
-    place = {(0, 0): 0}
-    for i, (d, c) in enumerate(zip(depth.tolist(), context.tolist(), strict=True), 1):
-        place[d, c] = i
-        child[place[d - 1, c >> folds[d - 1]], c & ((1 << folds[d - 1]) - 1)] = i
-    return ContextTree(folds, child, logs)
-
-
 @dataclass
 class Decisions:
     """Decisions of one bit level at one depth, by key: context << level | bits so far."""
@@ -375,7 +197,7 @@ def _weighted(zeros: np.ndarray, ones: np.ndarray, children: np.ndarray) -> tupl
 def weigh_codes(codes: np.ndarray, counts: np.ndarray) -> list[list[Decisions]]:
     """By bit level, deepest contexts first down to ``LOWER`` bytes: weighed decisions of sorted whole subtrees."""
     by_depth = [(codes, counts)]
-    for _ in range(len(WHOLE) - LOWER):
+    for _ in range(DEPTH - LOWER):
         codes, counts = by_depth[-1]
         by_depth.append(_summed(codes >> 16 << 8 | codes & 255, counts))
     out = []
@@ -392,7 +214,7 @@ def weigh_codes(codes: np.ndarray, counts: np.ndarray) -> list[list[Decisions]]:
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """(code, n, m) in pieces of about ``CHUNK`` sorted codes that hold whole subtrees."""
-    shift = 8 * (len(WHOLE) - LOWER + 1)
+    shift = 8 * (DEPTH - LOWER + 1)
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
     for batch in batches:
@@ -475,10 +297,10 @@ def fit_codes(counts: DataFrame, others: DataFrame, text: str = "text", held: in
     the alphabet has pairs, meet on the driver.
     """
     spark = counts.sparkSession
-    asked = others.select(F.col(text).alias("_text")).mapInArrow(_count(WHOLE, held, only_codes=True), "kind int, key binary, code long, n long")
+    asked = others.select(F.col(text).alias("_text")).mapInArrow(_count(held, only_codes=True), "kind int, key binary, code long, n long")
     codes = counts.filter(F.col("kind") == _BYTE).select("code", "n", F.lit(0).cast("long").alias("m"))
     codes = codes.union(asked.select("code", F.lit(0).cast("long"), "n"))
-    codes = codes.withColumn("_subtree", F.shiftright("code", 8 * (len(WHOLE) - LOWER + 1))).repartition("_subtree")
+    codes = codes.withColumn("_subtree", F.shiftright("code", 8 * (DEPTH - LOWER + 1))).repartition("_subtree")
     codes = codes.groupBy("_subtree", "code").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).select("code", "n", "m")
     codes = checkpointed(codes.sortWithinPartitions("code"))
     below = codes.mapInArrow(_lower, "context long, decision int, zeros double, ones double, weighted double")
@@ -508,7 +330,7 @@ class FrequentCodes:
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """Sum of logs by text over the codes held here; text, code and times of the others."""
-        codes = context_codes(texts, WHOLE)
+        codes = context_codes(texts)
         at = self.slots[self._hash(codes)]
         logs = self.logs[at]
         missed = np.flatnonzero(self.codes[at] != codes)
@@ -542,14 +364,14 @@ def _score(tree, top, unigram):
                 times += seldom.values()
             heads = {n: part.column(k) for k, n in enumerate(part.schema.names) if n != "_text"}
             heads |= {
-                "_head": pa.array([True] * len(texts)),
                 "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
                 "n_tokens": pa.array([t for t, _ in n_tokens], pa.int64()),
                 "n_known": pa.array([k for _, k in n_tokens], pa.int64()),
                 "base_score": pa.array(base, pa.float64()),
                 "score": pa.array(scores),
-                "_word": pa.nulls(len(texts), pa.binary()),
-                "_code": pa.nulls(len(texts), pa.int64()),
+                # A key of its own, which nothing joins with, so that heads are dealt out evenly.
+                "_word": pa.array([b""] * len(texts), pa.binary()),
+                "_code": pc.subtract(-2, ids),
                 "_times": pa.nulls(len(texts), pa.int64()),
             }
             yield pa.RecordBatch.from_pydict(heads)
@@ -572,7 +394,6 @@ def score_corpus(
     df: DataFrame,
     train: DataFrame,
     text: str = "text",
-    nodes: int | None = None,
     top_words: int = TOP_WORDS,
     held: int = HELD_WORDS,
     top_codes: int = TOP_CODES,
@@ -586,11 +407,13 @@ def score_corpus(
     uniform over bytes.  Words seen at least as often as a power of two that at most
     ``top_words`` words reach go out to all tasks; the other words of a text are joined with
     their counts.  Codes of context and byte likewise, by ``top_codes``.  ``others``: the
-    rows of ``df`` that are not in ``train``, where known (all of ``df`` otherwise).  With
-    ``nodes`` the score is that of a bounded tree over ``FOLDS``.  Columns of the result's
-    names are replaced.
+    rows of ``df`` that are not in ``train``, where known (all of ``df`` otherwise).
+
+    Texts are scored whole; repeated rows each give a row; an empty table gives none.  Other
+    columns stay whatever their names; those of the result's names are replaced.  Rows are
+    numbered as they are read, so ``df`` has to be read alike twice, as a table is.
     """
-    counts = checkpointed(corpus_counts(train, text, FOLDS if nodes else WHOLE, held))
+    counts = checkpointed(corpus_counts(train, text, held))
     words = counts.filter(F.col("kind") == _WORD)
     spread = words.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
     ends = counts.filter(F.col("kind") == _END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -601,44 +424,46 @@ def score_corpus(
     values = np.log10((often.column("n").to_numpy() + 0.1) / divisor).tolist()
     context = df.sparkSession.sparkContext
     top = context.broadcast(dict(zip(often.column("key").to_pylist(), values, strict=True)))
-    if nodes:
-        tree, rare = context.broadcast(fit_tree(counts, FOLDS, nodes)), None
-    else:
-        logs = fit_codes(counts, df if others is None else others, text, held)
-        reached = logs.groupBy(F.floor(F.log2("seen")).cast("int").alias("power")).agg(F.count("*").alias("codes")).collect()
-        least = float(2 ** least_power([(r["power"], r["codes"]) for r in reached], top_codes))
-        held_here = logs.filter(F.col("seen") >= least).toArrow()
-        tree = context.broadcast(FrequentCodes(*(held_here.column(c).to_numpy() for c in ("code", "seen", "log"))))
-        rare = logs.filter(F.col("seen") < least).select(F.lit(b"").alias("_word"), F.col("code").alias("_code"), F.col("log").alias("_value"), F.lit(True).alias("_known"))
+    logs = fit_codes(counts, df if others is None else others, text, held)
+    reached = logs.groupBy(F.floor(F.log2("seen")).cast("int").alias("power")).agg(F.count("*").alias("codes")).collect()
+    least = float(2 ** least_power([(r["power"], r["codes"]) for r in reached], top_codes))
+    held_here = logs.filter(F.col("seen") >= least).toArrow()
+    tree = context.broadcast(FrequentCodes(*(held_here.column(c).to_numpy() for c in ("code", "seen", "log"))))
     end = (float(np.log10((ends + 0.1) / divisor)), int(ends > 0))
 
-    own = ("n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "_id", "_head", "_word", "_code", "_times")
-    rows = df.select(*[c for c in df.columns if c not in (*own, text)], F.monotonically_increasing_id().alias("_id"), F.col(text).alias("_text"))
-    kept = [f for f in rows.schema if f.name != "_text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    scored = rows.mapInArrow(
-        _score(tree, top, end),
-        f"{fields}, _head boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double, _word binary, _code long, _times long",
-    )
+    results = ("n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    carried = [F.col(f"`{c}`") for c in df.columns if c not in (*results, text)] or [F.lit(True).alias("_none")]
+    rows = df.select(F.struct(*carried).alias("_row"), F.monotonically_increasing_id().alias("_id"), F.col(text).alias("_text"))
+    schema = T.StructType([T.StructField("_row", rows.schema["_row"].dataType), T.StructField("_id", T.LongType())])
+    kinds = {"n_bytes": "long", "n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double"}
+    for name, kind in (kinds | {"_word": "binary", "_code": "long", "_times": "long"}).items():
+        schema = schema.add(name, kind)
+    scored = rows.mapInArrow(_score(tree, top, end), schema)
     log = F.log10((F.col("n") + 0.1) / F.lit(divisor))
-    seldom = words.filter(F.col("n") < float(2**power)).select(F.col("key").alias("_word"), F.lit(-1).cast("long").alias("_code"), log.alias("_value"), F.lit(True).alias("_known"))
-    joined = scored.join(seldom if rare is None else seldom.union(rare), ["_word", "_code"], "left")
+    seldom = words.filter(F.col("n") < float(2**power)).select(F.col("key").alias("_word"), F.lit(-1).cast("long").alias("_code"), log.alias("_value"))
+    rare = logs.filter(F.col("seen") < least).select(F.lit(b"").alias("_word"), F.col("code").alias("_code"), F.col("log").alias("_value"))
+    joined = scored.join(seldom.union(rare), ["_word", "_code"], "left")
     a_word, a_code = F.col("_code") == -1, F.col("_code") >= 0
-    unknown = float(np.log10(0.1 / divisor))
+    known, unknown = F.col("_value").isNotNull(), float(np.log10(0.1 / divisor))
+    total = lambda when, value: F.coalesce(F.sum(F.when(when, value)), F.lit(0))
     merged = joined.groupBy("_id").agg(
-        *[F.first(f"`{f.name}`", ignorenulls=True).alias(f.name) for f in kept if f.name != "_id"],
+        F.first("_row", ignorenulls=True).alias("_row"),
         F.max("n_bytes").alias("n_bytes"),
         F.max("n_tokens").alias("n_tokens"),
-        (F.max("n_known") + F.coalesce(F.sum(F.when(a_word & F.col("_known"), F.col("_times"))), F.lit(0))).alias("n_known"),
+        (F.max("n_known") + total(a_word & known, F.col("_times"))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.max("base_score") + F.coalesce(F.sum(F.when(a_word, F.coalesce("_value", F.lit(unknown)) * F.col("_times"))), F.lit(0.0))).alias("base_score"),
-        (F.max("score") + F.coalesce(F.sum(F.when(a_code, F.col("_value") * F.col("_times"))), F.lit(0.0))).alias("score"),
+        (F.max("base_score") + total(a_word, F.coalesce("_value", F.lit(unknown)) * F.col("_times"))).alias("base_score"),
+        (F.max("score") + total(a_code, F.col("_value") * F.col("_times"))).alias("score"),
     )
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") / float(np.log10(2)) / F.col("n_bytes"))
-    return merged.withColumn("bits_per_byte", bits).drop("_id")
+    return merged.select("_row.*", *results[:-1], bits.alias("bits_per_byte")).drop("_none")
 
 
 def score_digest(df: DataFrame) -> DataFrame:
+    """doc_id, held_out, counts, base_score, score and bits_per_byte of every row, learnt from those not held out.
+
+    Null texts are empty: one token, the end.  An empty table gives no rows.
+    """
     rows = df.select("doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), "text")
     return score_corpus(rows, rows.filter("NOT held_out"), others=rows.filter("held_out")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
