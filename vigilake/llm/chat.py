@@ -6,9 +6,10 @@ way to make a turn sequence legal by merging a turn into the one before, giving
 role, or inserting an empty turn; the repaired sequence is then rendered.
 
 A step's costs between the automaton's states form a small matrix, and matrices multiply
-(with min and plus) in any grouping.  So a conversation may be cut into blocks: blocks are
-summed up as matrices, the matrices of long conversations tell each block where it begins
-and ends, and every block is repaired by itself.
+(with min and plus) in any grouping.  Turns are sorted over all tasks and cut into blocks of
+a bounded number of rows.  A conversation that ends up whole in a block is repaired there;
+otherwise blocks are summed up as matrices, these tell each block where it begins and ends,
+and every block is repaired by itself.
 """
 
 from __future__ import annotations
@@ -18,14 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from vigilake.llm.common import checkpointed
 
 ROLES = ("system", "user", "assistant")
 #: States: at the start, or after a turn of a role.
 START, SYSTEM, USER, ASSISTANT = 0, 1, 2, 3
 STATES = 4
-#: Turns in a block.
+#: Rows in a block.
 BLOCK = 1024
 
 
@@ -73,6 +79,12 @@ class Repairer:
     def __init__(self, costs: Costs):
         self.by_role = {r: _moves(r, costs) for r in (*ROLES, None)}
         self.endings = _endings(costs)
+        self.steps = {}
+        for role, moves in self.by_role.items():
+            step = np.full((STATES, STATES), np.inf)
+            for cost, before, after, *_ in moves:
+                step[before, after] = min(step[before, after], cost)
+            self.steps[role] = step
 
     def moves(self, role: str | None):
         return self.by_role.get(role if role in ROLES else None)
@@ -82,10 +94,7 @@ class Repairer:
         total = np.full((STATES, STATES), np.inf)
         np.fill_diagonal(total, 0)
         for role in roles:
-            new = np.full((STATES, STATES), np.inf)
-            for cost, before, after, *_ in self.moves(role):
-                np.minimum(new[:, after], total[:, before] + cost, out=new[:, after])
-            total = new
+            total = (total[:, :, None] + self.steps[role if role in ROLES else None][None]).min(1)
         return total
 
     def repair(self, roles: list[str | None], begin: int, end: int) -> tuple[float, list[tuple[str, str, tuple[str, ...]]]]:
@@ -109,57 +118,72 @@ class Repairer:
         return best[end], out[::-1]
 
 
-def _prepared(df: DataFrame, conv: str, turn: str, role: str, text: str, block: int) -> DataFrame:
-    """Turns dealt out and sorted by conversation and block; a null turn comes last."""
-    rows = df.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.lower(F.trim(F.col(role))).alias("role"), F.col(text).alias("text"))
-    return rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit((1 << 62) // block)).cast("long"))
+_TURNS = "array<struct<action:string,role:string,text:string,source_turns:array<bigint>,changed:int>>"
+_TURN = pa.struct([("action", pa.string()), ("role", pa.string()), ("text", pa.string()), ("source_turns", pa.list_(pa.int64())), ("changed", pa.int32())])
+_RAW = pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+
+
+def _sorted_turns(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """Turns sorted over all partitions; a null turn comes last, and rows without a conversation stand alone.
+
+    Equal rows are told apart by a hash of their place, so that any number of them is split.
+    """
+    place = F.monotonically_increasing_id()
+    rows = df.select(
+        F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.lower(F.trim(F.col(role))).alias("role"), F.col(text).cast("string").alias("text"), F.xxhash64(place).alias("_tie")
+    )
+    keys = [F.col("conv"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text"), F.col("_tie")]
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, int, list[dict]]]:
-    """(conversation, block, its turns) from sorted batches."""
-    key, held = None, []
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[object, list[dict], bool]]:
+    """(conversation, rows, alone) in order; alone: the whole conversation, certainly."""
+    held: list[dict] = []
+    key, first, cut = None, True, False
     for batch in batches:
         for row in batch.to_pylist():
-            if held and (row["conv"], row["block"]) != key:
-                yield *key, held
-                held = []
-            key = (row["conv"], row["block"])
+            if held and (row["conv"] is None or row["conv"] != key):
+                yield key, held, key is None or not (first or cut)
+                held, first, cut = [], False, False
+            elif len(held) == size:
+                yield key, held, False
+                held, cut = [], True
+            key = row.pop("conv")
             held.append(row)
     if held:
-        yield *key, held
-
-
-def _conv_type(df: DataFrame) -> str:
-    return df.schema["conv"].dataType.simpleString()
-
-
-def repair_conversations(
-    df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", costs: Costs = Costs(), block: int = BLOCK
-) -> DataFrame:
-    """One row for each block of a repaired conversation: conv, block, turns, cost.
-
-    ``turns``: array of (action, role, text, source_turns); actions keep, relabel, insert,
-    and merge for the turns joined to the one before, whose texts are joined by a line feed.
-    A merge over the start of a block is a turn of its own marked ``merge``; rendering joins
-    it.  ``cost`` is the block's share; the last block holds that of the ending.
-    Turns of equal number go by role, then text.  Roles are compared without case; unknown
-    and null ones are relabelled; null texts are empty.  A null conversation id is one
-    conversation.  A conversation of at most ``block`` turn numbers is one row.
-    """
-    fixer = Repairer(costs)
-    rows = _prepared(df, conv, turn, role, text, block)
-    kind = _conv_type(rows)
-    sorted_rows = rows.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "role", "text")
-    counted = rows.select("conv", "block").distinct().groupBy("conv").agg(F.count("*").alias("n"), F.max("block").alias("last")).filter("n > 1")
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)
-    if arrow_kind is None:
-        raise ValueError(f"conversation ids of type {kind} are not supported; cast them to a string")
-
-    def matrices(batches):
-        out = [(c, b, fixer.matrix([t["role"] for t in turns]).ravel().tolist()) for c, b, turns in _runs(batches)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], arrow_kind), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.float64()))], ["conv", "block", "m"])
-
-    def states(table: pa.Table) -> pa.Table:
+        yield key, held, key is None
+
+
+def _repaired(fixer: Repairer, rows: list[dict], begin: int, end: int | None) -> tuple[list[dict], float]:
+    """Turns of a block between two states, and their cost; without ``end``, of a whole conversation."""
+    roles = [t["role"] for t in rows]
+    final = end is None
+    if final:
+        end = int(np.argmin(fixer.matrix(roles)[begin] + np.array([x for x, _ in fixer.endings])))
+    cost, moves = fixer.repair(roles, begin, end)
+    out: list[dict] = []
+    inserted = lambda r: {"action": "insert", "role": r, "text": [], "source_turns": [], "changed": 0}
+    for t, (action, new, before) in zip(rows, moves, strict=True):
+        out += [inserted(r) for r in before]
+        changed = int(new != t["role"])
+        if action == "merge" and out and out[-1]["action"] != "insert":
+            out[-1]["text"].append(t["text"] or "")
+            out[-1]["source_turns"].append(t["turn"])
+            out[-1]["changed"] += changed
+        else:
+            out.append({"action": action, "role": new, "text": [t["text"] or ""], "source_turns": [t["turn"]], "changed": changed})
+    if final:
+        cost += fixer.endings[end][0]
+        out += [inserted(r) for r in fixer.endings[end][1]]
+    for t in out:
+        t["text"] = "\n".join(t["text"])
+    return out, cost
+
+
+def _place_blocks(fixer: Repairer):
+    """applyInArrow function: the states between which each block of a conversation runs."""
+
+    def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         steps = [np.array(m).reshape(STATES, STATES) for m in table.column("m").to_pylist()]
         best = np.array([0.0] + [np.inf] * (STATES - 1))
@@ -174,81 +198,115 @@ def repair_conversations(
             ends.append(state)
             state = int(via[state])
             begins.append(state)
-        return pa.table({"conv": table.column("conv"), "block": table.column("block"), "begin": pa.array(begins[::-1], pa.int32()), "end": pa.array(ends[::-1], pa.int32()), "final": pa.array([i == len(steps) - 1 for i in range(len(steps))])})
+        final = [i == len(steps) - 1 for i in range(len(steps))]
+        return pa.table({"block": table.column("block"), "begin": pa.array(begins[::-1], pa.int32()), "end": pa.array(ends[::-1], pa.int32()), "final": pa.array(final)})
 
-    # Only conversations of several blocks need their matrices; others begin and end by themselves.
-    long_rows = rows.join(counted.select("conv"), rows["conv"].eqNullSafe(counted["conv"]), "left_semi").drop("text")
-    long_rows = long_rows.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "role")
-    placed = long_rows.mapInArrow(matrices, f"conv {kind}, block long, m array<double>").groupBy("conv").applyInArrow(states, f"conv {kind}, block long, begin int, end int, final boolean")
-    joined = sorted_rows.join(placed.withColumnRenamed("block", "_b").withColumnRenamed("conv", "_c"), F.col("conv").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")), "left").drop("_b", "_c")
-    joined = joined.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "role", "text")
-    turn_type = pa.struct([("action", pa.string()), ("role", pa.string()), ("text", pa.string()), ("source_turns", pa.list_(pa.int64()))])
+    return run
 
-    def repair(batches):
+
+def _joined(fixer: Repairer, kind: pa.DataType):
+    """applyInArrow function: the blocks of one conversation as one row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        out: list[dict] = []
+        for turns in table.column("turns").to_pylist():
+            if out and turns and turns[0]["action"] == "merge":
+                more = turns.pop(0)
+                out[-1]["text"].append(more["text"])
+                out[-1]["source_turns"] += more["source_turns"]
+                out[-1]["changed"] += more["changed"]
+            out += [t | {"text": [t["text"]]} for t in turns]
+        ending = fixer.endings[table.column("end")[-1].as_py()]
+        for t in out:
+            t["text"] = "\n".join(t["text"])
+        out += [{"action": "insert", "role": r, "text": "", "source_turns": [], "changed": 0} for r in ending[1]]
+        cost = sum(table.column("cost").to_pylist()) + ending[0]
+        return pa.table({"conv": table.column("conv").slice(0, 1).cast(kind), "turns": pa.array([out], pa.list_(_TURN)), "cost": pa.array([cost], pa.float64())})
+
+    return run
+
+
+def repair_conversations(
+    df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", costs: Costs = Costs(), block: int = BLOCK
+) -> DataFrame:
+    """One row for each conversation, whatever its length: conv, turns, cost.
+
+    ``turns``: array of (action, role, text, source_turns, changed); actions keep, relabel,
+    insert; turns merged into one have their texts joined by a line feed, and ``changed`` counts
+    the source turns whose role was changed.  Turns of equal number go by role, then text; null
+    numbers come last.  Roles are compared without case; unknown and null ones are relabelled;
+    null texts are empty.  Repeated rows are turns of their own.  A row without a conversation id
+    is a conversation of its own.  An empty table gives none; other columns are not read.
+
+    ``block`` bounds the rows that a task repairs at once and does not change the result.
+    Only the finished row of a conversation of several blocks is put together in one place.
+    """
+    fixer = Repairer(costs)
+    rows = _sorted_turns(df, conv, turn, role, text)
+    kind = rows.schema["conv"].dataType
+    if not isinstance(kind, (T.StringType, T.LongType, T.IntegerType)):
+        raise ValueError(f"conversation ids of type {kind.simpleString()} are not supported; cast them to a string")
+    arrow_kind = to_arrow_type(kind)
+
+    def first_pass(batches):
+        part = TaskContext.get().partitionId()
         held: list[tuple] = []
 
         def batch():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in held], arrow_kind), pa.array([x[1] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.list_(turn_type)), pa.array([x[3] for x in held], pa.float64())],
-                ["conv", "block", "turns", "cost"],
-            )
-
-        for c, b, turns in _runs(batches):
-            roles = [t["role"] for t in turns]
-            begin, end, final = turns[0]["begin"], turns[0]["end"], turns[0]["final"]
-            if begin is None:
-                begin, final = START, True
-                m = fixer.matrix(roles)[START]
-                end = int(np.argmin(m + np.array([x for x, _ in fixer.endings])))
-            cost, moves = fixer.repair(roles, begin, end)
-            out = []
-            for t, (action, new, before) in zip(turns, moves, strict=True):
-                out += [{"action": "insert", "role": r, "text": "", "source_turns": []} for r in before]
-                body = t["text"] or ""
-                if action == "merge" and out and out[-1]["action"] != "insert":
-                    out[-1]["text"].append(body)
-                    out[-1]["source_turns"].append(t["turn"])
-                else:
-                    out.append({"action": action, "role": new, "text": [body], "source_turns": [t["turn"]]})
-            if final:
-                ending = fixer.endings[end]
-                cost += ending[0]
-                out += [{"action": "insert", "role": r, "text": "", "source_turns": []} for r in ending[1]]
-            for t in out:
-                t["text"] = "\n".join(t["text"]) if t["text"] else ""
-            held.append((c, b, out, cost))
-            if len(held) >= 1000:
+            types = [arrow_kind, pa.int64(), pa.list_(_TURN), pa.float64(), pa.list_(_RAW), pa.list_(pa.float64())]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in held], t) for i, t in enumerate(types)], ["conv", "block", "turns", "cost", "raw", "m"])
+
+        size = 0
+        for number, (key, turns, alone) in enumerate(_blocks(batches, block)):
+            place = (part << 40) + number
+            if alone:
+                held.append((key, place, *_repaired(fixer, turns, START, None), None, None))
+            else:
+                held.append((key, place, None, None, turns, fixer.matrix([t["role"] for t in turns]).ravel().tolist()))
+            size += len(turns)
+            if size >= 4 * BLOCK:
                 yield batch()
-                held = []
+                held, size = [], 0
         if held:
             yield batch()
 
-    return joined.mapInArrow(repair, f"conv {kind}, block long, turns array<struct<action:string,role:string,text:string,source_turns:array<long>>>, cost double")
+    def second_pass(batches):
+        for found in batches:
+            for i in range(found.num_rows):
+                row = found.slice(i, 1).to_pylist()[0]
+                turns, cost = _repaired(fixer, row["raw"], row["begin"], row["end"])
+                values = [(row["conv"], arrow_kind), (row["block"], pa.int64()), (turns, pa.list_(_TURN)), (cost, pa.float64()), (row["end"], pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], ["conv", "block", "turns", "cost", "end"])
+
+    head = T.StructType().add("conv", kind)
+    turn_type = rows.sparkSession.sql(f"SELECT CAST(NULL AS {_TURNS}) t").schema["t"].dataType
+    raw_type = T.ArrayType(T.StructType().add("turn", "long").add("role", "string").add("text", "string"))
+    made = T.StructType([*head]).add("block", "long").add("turns", turn_type).add("cost", "double")
+    blocks = checkpointed(rows.mapInArrow(first_pass, T.StructType([*made]).add("raw", raw_type).add("m", T.ArrayType(T.DoubleType()))))
+    apart = blocks.filter("raw IS NOT NULL").select("conv", "block", "raw", "m")
+    placed = apart.select("conv", "block", "m").groupBy("conv").applyInArrow(_place_blocks(fixer), "block long, begin int, end int, final boolean")
+    pieces = apart.drop("m").join(placed.drop("final"), "block").mapInArrow(second_pass, T.StructType([*made]).add("end", "integer"))
+    whole = pieces.groupBy("conv").applyInArrow(_joined(fixer, arrow_kind), T.StructType([*head]).add("turns", turn_type).add("cost", "double"))
+    return blocks.filter("raw IS NULL").select("conv", "turns", "cost").union(whole)
 
 
 def render(repaired: DataFrame, begin: str = "<|im_start|>", end: str = "<|im_end|>") -> DataFrame:
-    """Adds ``rendered``: each turn as begin, role, line feed, text, end, line feed.
-
-    A turn merged over the start of a block continues the text before it.
-    """
-    piece = lambda t, i: F.when((i == 0) & (t["action"] == "merge"), F.concat(F.lit("\n"), t["text"], F.lit(f"{end}\n"))).otherwise(
-        F.concat(F.lit(begin), t["role"], F.lit("\n"), t["text"], F.lit(f"{end}\n"))
-    )
+    """Adds ``rendered``: each turn as begin, role, line feed, text, end, line feed."""
+    piece = lambda t: F.concat(F.lit(begin), t["role"], F.lit("\n"), t["text"], F.lit(f"{end}\n"))
     return repaired.withColumn("rendered", F.array_join(F.transform("turns", piece), ""))
 
 
 def chat_digest(df: DataFrame) -> DataFrame:
-    """One row for each block (a whole conversation up to 1024 turns): counts of actions, cost and the rendered text."""
+    """One row for each conversation: counts of turns and actions, cost and the rendered text."""
     done = render(repair_conversations(df))
-    count = lambda action: F.size(F.filter("turns", lambda t: t["action"] == action)).cast("long")
-    merged = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + F.greatest(F.size(t["source_turns"]) - 1, F.lit(0)))
+    total = lambda value: F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + value(t))
     return done.select(
         F.col("conv").alias("conv_id"),
-        "block",
         F.size("turns").cast("long").alias("n_turns"),
-        count("relabel").alias("n_relabelled"),
-        count("insert").alias("n_inserted"),
-        (merged + count("merge")).alias("n_merged"),
+        total(lambda t: t["changed"]).alias("n_relabelled"),
+        total(lambda t: (t["action"] == "insert").cast("int")).alias("n_inserted"),
+        total(lambda t: F.greatest(F.size(t["source_turns"]) - 1, F.lit(0))).alias("n_merged"),
         "cost",
         "rendered",
     )
