@@ -134,6 +134,10 @@ def test_jump_shards(spark, odd, none):
     texts = {i: (t or "").encode() for i, t in enumerate(ODD_TEXTS)}
     assert all((r.size, r.text_crc32) == (len(texts[r.doc_id]) + 16, zlib.crc32(texts[r.doc_id])) for r in digest if r.doc_id is not None)
     assert sharding.shard_rows(odd, 5).columns.count("shard") == 1
+    clashes = odd.select("doc_id", *[F.lit(7).alias(c) for c in ("_offset", "_jump", "_block", "_row", "_j", "a.b")])
+    assert set(sharding.shard_rows(clashes, 5).first()[:]) >= {7} and set(clashes.columns) <= set(sharding.shard_rows(clashes, 5).columns)
+    one = sharding.shard_rows(spark.range(4000).selectExpr("1L doc_id", "id"), 3, slot_blocks=8).collect()
+    assert sorted(r.slot for r in one) == list(range(4000)) and len({r.shard for r in one}) == 1
     assert sharding.shard_digest(none).count() == 0
 
 

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 from conftest import ODD_TEXTS, prose
+from pyspark.sql import functions as F
 
 from vigilake.llm import decontamination as dc
 from vigilake.llm import near, simhash
@@ -75,11 +76,29 @@ def test_match_places_and_lengths(spark):
     assert [r.doc_id for r in dc.decontaminate(df, bench).collect()] == [2]
 
 
+def test_windows_that_repeat_in_items_and_documents(spark):
+    """Each distinct window is searched once; long copies, repeats within a text, and bounded pairs."""
+    shared = [f"s{i}" for i in range(12)]
+    items = [(i, " ".join([f"a{i}", *shared, f"b{i}", *shared[: i % 5]])) for i in range(40)] + [(None, "s0 s1 s2")]
+    long = [f"q{i % 700}" for i in range(5000)]
+    bench = spark.createDataFrame([*items, (99, " ".join(long))], "item_id long, text string")
+    docs = [" ".join(shared * 30), " ".join(["x", *shared, "b7", "y"]), " ".join(long[100:4100]), " ".join(shared[:9])]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in dc.find_contamination(df, bench).collect()}
+    for i, text in enumerate(docs):
+        n, covered, hit = brute(text, [x for x in [*items, (99, " ".join(long))] if x[0] is not None])
+        assert (rows[i].n_words, rows[i].n_hit, {m.item for m in rows[i].matches}) == (n, covered, set(map(str, hit)))
+    assert {m.item: m.words for m in rows[1].matches}["7"] == 13 and {m.item: m.words for m in rows[1].matches}["8"] == 12
+    assert [tuple(m)[1:] for m in rows[2].matches] == [(0, 100, 4000)]
+    bench_of = dc.Benchmark.build([(i, t.encode()) for i, t in items if i is not None])
+    assert len(bench_of.length) < len(bench_of.starts)
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(6)
     for vocabulary in (2, 5, 5000):
         tokens = np.concatenate([rng.integers(0, vocabulary, 300), np.zeros(65, np.int64)]).astype(np.int32)
-        array = dc.suffix_array(tokens, vocabulary)
+        array = dc.suffix_array(tokens, vocabulary, 64)
         key = lambda p, t=tokens: next((t[p : p + i + 1].tolist() for i in range(64) if t[p + i] == 0), t[p : p + 64].tolist())
         keys = [key(p) for p in array]
         assert sorted(array) == np.flatnonzero(tokens).tolist() and keys == sorted(keys)
@@ -92,6 +111,8 @@ def test_empty_inputs_and_clashing_columns(spark, odd, none):
     assert dc.contamination_digest(odd, bench.limit(0)).filter("contaminated").count() == 0
     assert dc.contamination_digest(none, bench).count() == 0
     assert "matches" in dc.find_contamination(odd, bench).columns
+    clashes = odd.select("doc_id", "text", F.struct(F.lit(1).alias("a-b")).alias("s t"), *[F.lit(7).alias(c) for c in ("_at", "_row", "_covered", "_n_words")])
+    assert dc.find_contamination(clashes, bench, block_bytes=60).first()["_at"] == 7
 
 
 def plain_fingerprint(text):

@@ -20,24 +20,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder that executors share.
-
-    It is the session's ``spark.checkpoint.dir``; a temporary one is set only
-    where the session names none (local tests).
-    """
-    spark = df.sparkSession
-    shared_folder(spark)
+    """Cut the lineage through the folder that executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints, which all executors see."""
+    """The folder for checkpoints, which all executors see: the session's ``spark.checkpoint.dir``.
+
+    Only a local session, whose executors are this machine, may go without: it gets a folder
+    of its own.  On a cluster a missing setting is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes not to be a column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def stage_folder(spark: SparkSession) -> str:
     """A new path under the shared folder for tables of one run."""
     return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"

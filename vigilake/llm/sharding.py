@@ -12,9 +12,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigilake.llm.common import unused
+
 #: Multipliers: the generator's, and another one (2**64 over the golden ratio) that deals keys into blocks.
 GENERATOR, SPREAD = 2862933555777941757, 11400714819323198485
 _MASK = 0xFFFFFFFF
+#: Blocks of slots in a shard.
+SLOT_BLOCKS = 2048
 #: A walk to n shards takes ln(n) steps on average; one of more than this many steps is an error.
 MOST_STEPS = 256
 
@@ -64,46 +68,48 @@ def jump_hash(key: Column, *counts: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(min(most, MOST_STEPS))), start, step, done)
 
 
-def shard_rows(df: DataFrame, n_shards: int, key: str = "doc_id", slot_blocks: int = 256) -> DataFrame:
+def shard_rows(df: DataFrame, n_shards: int, key: str = "doc_id", slot_blocks: int = SLOT_BLOCKS, deal: Column | None = None) -> DataFrame:
     """Adds shard, grown_shard (with one more shard) and slot (gapless from 0 in a shard).
 
     An integer key is used as it is; any other by its xxhash64; null is the key 0.  Equal
     keys share a shard; repeated rows get slots of their own.  Slots are dealt in
-    ``slot_blocks`` blocks a shard: blocks are counted first, so no shard is sorted in one
-    task.  The block counts (at most n_shards * slot_blocks rows) are broadcast while that
-    product is below 100,000, else joined.  Columns of these names are replaced.
+    ``slot_blocks`` blocks a shard, by the key and ``deal`` (a number below 2**32 of the row; by default
+    a hash of the other columns), so that neither a shard nor the rows of one key are sorted in
+    one task; blocks are counted first.  The block counts (at most n_shards * slot_blocks rows)
+    are broadcast while that product is below 100,000, else joined.  An empty table gives no
+    rows.  Columns of these names are replaced, others stay whatever their names.
     """
     integral = isinstance(df.schema[key].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
     long_key = F.coalesce(F.col(key).cast("long") if integral else F.xxhash64(key), _long(0))
-    df = df.withColumn("_j", jump_hash(long_key, n_shards, n_shards + 1))
-    df = df.withColumns(
+    df = df.drop("shard", "grown_shard", "slot")
+    others = sorted(c for c in df.columns if c != key and not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)))
+    quoted = [F.col(f"`{c}`") for c in others]
+    deal = F.xxhash64(F.lit(0), *quoted).bitwiseAND(_long(_MASK)) if deal is None else deal
+    jump, block, row, offset, size = unused(df, "_jump", "_block", "_row", "_offset", "_size")
+    place = (_times(*_halves(long_key), SPREAD, 0)[0] + deal).bitwiseAND(_long(_MASK))
+    df = df.withColumn(jump, jump_hash(long_key, n_shards, n_shards + 1)).withColumns(
         {
-            "shard": F.col(f"_j.at{n_shards}"),
-            "grown_shard": F.col(f"_j.at{n_shards + 1}"),
-            "_block": F.floor(_times(*_halves(long_key), SPREAD, 0)[0] * slot_blocks / float(1 << 32)).cast("int"),
+            "shard": F.col(f"{jump}.at{n_shards}"),
+            "grown_shard": F.col(f"{jump}.at{n_shards + 1}"),
+            block: F.floor(place * slot_blocks / float(1 << 32)).cast("int"),
         }
-    ).drop("_j")
-    counts = df.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    )
+    df = df.drop(jump)
+    counts = df.groupBy("shard", block).agg(F.count("*").alias(size))
+    before = Window.partitionBy("shard").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", block, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(offset))
     if n_shards * slot_blocks < 100_000:
         offsets = F.broadcast(offsets)
-    others = sorted(c for c in df.columns if c not in ("shard", "grown_shard", "_block", key) and not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)))
-    order = Window.partitionBy("shard", "_block").orderBy(key, *others)
-    return (
-        df.withColumn("_row", F.row_number().over(order))
-        .join(offsets, ["shard", "_block"])
-        .withColumn("slot", F.col("_offset") + F.col("_row") - 1)
-        .drop("_block", "_row", "_offset")
-    )
+    order = Window.partitionBy("shard", block).orderBy(key, *quoted)
+    return df.withColumn(row, F.row_number().over(order)).join(offsets, ["shard", block]).withColumn("slot", F.col(offset) + F.col(row) - 1).drop(block, row, offset)
 
 
 def shard_digest(df: DataFrame, n_shards: int = 40) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard; a null text is an empty one."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; a null text is an empty one, a null doc_id the key 0."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     sized = df.select(
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32")
     )
-    return shard_rows(sized, n_shards).select(
+    return shard_rows(sized, n_shards, deal=F.col("text_crc32")).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard"
     )

@@ -65,7 +65,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN cover USING (rid) LEFT JOIN named USING (rid)"""
 
 
-def jump_sharding(n: int = 40, blocks: int = 256) -> str:
+def jump_sharding(n: int = 40, blocks: int = sharding.SLOT_BLOCKS) -> str:
     """crc32 by a table of 256 values made from its polynomial; the walk as a recursion."""
     return f"""WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS tab FROM (
   SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i))),
@@ -80,6 +80,6 @@ walk(rid, k, jump, a, b) AS (
   FROM (SELECT *, (k * {sharding.GENERATOR}::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT AS nk FROM walk WHERE jump < {n + 1})),
 done AS (SELECT rid, CAST(a AS INT) AS shard, CAST(b AS INT) AS grown_shard FROM walk WHERE jump >= {n + 1}),
 dealt AS (SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, shard, grown_shard,
-  floor(((k * {sharding.SPREAD}::UHUGEINT) % 18446744073709551616::UHUGEINT // 4294967296::UHUGEINT)::DOUBLE * {blocks} / 4294967296::DOUBLE) AS block
+  floor((((k * {sharding.SPREAD}::UHUGEINT) % 18446744073709551616::UHUGEINT // 4294967296::UHUGEINT + crc::UHUGEINT) % 4294967296::UHUGEINT)::DOUBLE * {blocks} / 4294967296::DOUBLE) AS block
   FROM d JOIN summed USING (rid) JOIN done USING (rid))
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY block, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM dealt"""
