@@ -243,6 +243,20 @@ def test_every_byte_is_labelled_and_padding_changes_nothing():
     sums = network.word_sums(words)
     assert sums.sum(1) == pytest.approx([1, 5, 100], rel=1e-4)
     assert network.word_sums(words, rows=1) == pytest.approx(sums, rel=1e-4)
+    # A long run is read in pieces with the bytes around them: by hand.
+    long, total = bytes(range(97, 122)) * 5, np.zeros(2)
+    for k in range(0, len(long), language.PIECE):
+        begin = max(0, k - language.MARGIN)
+        data, mask = language.padded([long[begin : k + language.PIECE + language.MARGIN]])
+        total += network.label(data, mask)[0, k - begin : min(k + language.PIECE, len(long)) - begin].sum(0)
+    assert network.word_sums([long])[0] == pytest.approx(total, rel=1e-4)
+
+
+def test_runs_without_spaces_are_learnt_whole(spark):
+    rows = [(i, ("ab" if i % 2 else "ÀÉ") * 300, "xx" if i % 2 else "yy") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = language.draw_words(df, "text", "lang", "doc_id")
+    assert set(drawn) == {(b"ab" * 8, "xx"), (b"ab" * 4, "xx"), (("ÀÉ" * 8).encode(), "yy"), (("ÀÉ" * 4).encode(), "yy")}
 
 
 def toxic_corpus(spark):

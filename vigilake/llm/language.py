@@ -1,30 +1,36 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a word's bytes (A-Z in lower case) in both directions and labels every
-byte; a document's probabilities are the mean over all of its bytes.  It is trained in
-numpy, by backpropagation through time, on words drawn from a bounded sample of labelled
-documents.  Words repeat, so a task labels each distinct one once.
+The network reads the bytes of a text (A-Z in lower case) run by run between white space, in
+both directions, and labels every byte; a document's probabilities are the mean over all
+labelled bytes.  The state starts anew at white space.  A run longer than a piece is read in
+overlapping pieces: each is read with the bytes around it, which are labelled by their own
+pieces.  Runs repeat, so a task labels each distinct one once.  The network is trained in
+numpy, by backpropagation through time, on runs (long ones in all their pieces) drawn from a
+bounded sample of labelled documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import types as T
 
 from vigilake.llm.common import WHITESPACE, crc_mod, text_slices
 
 #: Labelled documents and words drawn from them by language: the bound of what training sees.
 DOCUMENTS, WORDS = 300, 4000
-#: Languages at most; their sampling rates go out to every task.
-LANGUAGES = 10_000
-#: Bytes read at once; a longer word is read in pieces of this length.
-PIECE, HIDDEN, EPOCHS, BATCH = 48, 16, 8, 256
+#: Languages at most: a network has an output for each, and their sampling rates go out to every task.
+LANGUAGES = 1000
+#: Bytes of a piece, and bytes read (not labelled) on either side of it; characters of a training piece.
+PIECE, MARGIN, DRAWN = 48, 12, 16
+HIDDEN, EPOCHS, BATCH = 16, 8, 256
 UNKNOWN = "und"
 
 
@@ -114,18 +120,27 @@ class ByteNetwork:
 
     def word_sums(self, words: list[bytes], rows: int = 4096) -> np.ndarray:
         """Sums over each word's bytes of their probabilities, [words, languages]."""
-        pieces, owner = [], []
+        pieces, owner, inner = [], [], []
         for i, w in enumerate(words):
+            if len(w) <= PIECE:
+                pieces.append(w)
+                owner.append(i)
+                inner.append((0, len(w)))
+                continue
             for k in range(0, len(w), PIECE):
-                pieces.append(w[k : k + PIECE])
+                begin = max(0, k - MARGIN)
+                pieces.append(w[begin : k + PIECE + MARGIN])
                 owner.append(i)
-        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+                inner.append((k - begin, min(k + PIECE, len(w)) - begin))
+        owner, inner = np.array(owner), np.array(inner).reshape(-1, 2)
+        order = np.argsort([len(p) for p in pieces], kind="stable")
         sums = np.zeros((len(words), len(self.languages)), np.float32)
         for begin in range(0, len(order), rows):
             chosen = order[begin : begin + rows]
             data, mask = padded([pieces[i] for i in chosen])
-            part = (self.label(data, mask) * mask[:, :, None]).sum(1)
-            np.add.at(sums, np.array([owner[i] for i in chosen]), part)
+            place = np.arange(data.shape[1])
+            counted = (place >= inner[chosen, 0, None]) & (place < inner[chosen, 1, None])
+            np.add.at(sums, owner[chosen], (self.label(data, mask) * counted[:, :, None]).sum(1))
         return sums
 
 
@@ -140,7 +155,7 @@ def train(examples: list[tuple[bytes, str]], hidden: int = HIDDEN, epochs: int =
     languages = sorted({lang for _, lang in examples})
     network = ByteNetwork.start(languages, hidden, seed)
     number = {lang: i for i, lang in enumerate(languages)}
-    examples = sorted((w[:PIECE], number[lang]) for w, lang in examples)
+    examples = sorted((w, number[lang]) for w, lang in examples)
     rng = np.random.default_rng(seed)
     first = {k: np.zeros_like(x) for k, x in network.weights.items()}
     second = {k: np.zeros_like(x) for k, x in network.weights.items()}
@@ -165,20 +180,23 @@ def train(examples: list[tuple[bytes, str]], hidden: int = HIDDEN, epochs: int =
 def draw_words(labelled: DataFrame, text: str, lang: str, key: str, documents: int = DOCUMENTS, words: int = WORDS) -> list[tuple[bytes, str]]:
     """(word, language): up to ``words`` distinct words by language, frequent ones more likely, from about ``documents`` texts each.
 
-    Documents are drawn by hash of ``key`` with each language's rate, so that no more than
-    the sample is cut into words.
+    Documents are drawn by hash of ``key`` and text with each language's rate, so that no more
+    than the sample is cut into words; a word of over PIECE bytes gives all its pieces of DRAWN
+    characters.
     """
     rates = labelled.groupBy(lang).agg((F.lit(float(documents)) / F.count("*")).alias("_rate"))
     if rates.count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    chance = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.join(F.broadcast(rates), lang).filter(chance < F.col("_rate"))
-    cut = F.explode(F.split(F.lower(F.trim(F.col(text), F.lit(WHITESPACE))), "[\\x20\\x09-\\x0D]+")).alias("word")
-    counted = sample.select(F.col(lang).alias("lang"), cut).filter("word rlike '\\\\p{L}'").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    lowered = F.translate(F.trim(F.col(text), F.lit(WHITESPACE)), ascii_uppercase, ascii_lowercase)
+    runs = sample.select(F.col(lang).alias("lang"), F.explode(F.split(lowered, "[\\x20\\x09-\\x0D]+")).alias("run"))
+    pieces = F.when(F.octet_length("run") <= PIECE, F.array("run")).otherwise(F.regexp_extract_all("run", F.lit(f"(?s).{{1,{DRAWN}}}"), F.lit(0)))
+    counted = runs.select("lang", F.explode(pieces).alias("word")).filter("word rlike '\\\\p{L}'").groupBy("lang", "word").agg(F.count("*").alias("n"))
     even = (F.pmod(F.xxhash64("word", F.lit(11)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(-F.ln(even) / F.col("n"), "word"))
     rows = counted.withColumn("place", place).filter(F.col("place") <= words).select("word", "lang").collect()
-    return [(r["word"].encode().lower(), r["lang"]) for r in rows]
+    return [(r["word"].encode(), r["lang"]) for r in rows]
 
 
 def _identify(shared, held: int):
@@ -217,19 +235,24 @@ def identify_languages(df: DataFrame, network: ByteNetwork | None, text: str = "
     """``df`` without ``text``, with lang_pred and score (mean probability of it over all bytes, 0 to 1).
 
     ``und`` with score 0: null texts, texts without a letter, and any text if there is no
-    network.  Of equal probabilities the first language in order wins.  Columns of the
-    result's names are replaced.
+    network.  Of equal probabilities the first language in order wins.  Texts are read whole,
+    repeated rows each give a row, an empty table gives none.  Columns of the result's names
+    are replaced.
     """
     rows = df.select(*[c for c in df.columns if c not in ("lang_pred", "score", "_text", "_letter", text)], F.col(text).alias("_text"))
     rows = rows.withColumn("_letter", F.coalesce(F.col("_text").rlike("\\p{L}"), F.lit(False)))
     if network is None:
         return rows.drop("_text", "_letter").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name not in ("_text", "_letter"))
+    schema = T.StructType([f for f in rows.schema if f.name not in ("_text", "_letter")]).add("lang_pred", "string").add("score", "double")
     shared = df.sparkSession.sparkContext.broadcast(network)
-    return rows.mapInArrow(_identify(shared, held), f"{fields}lang_pred string, score double")
+    return rows.mapInArrow(_identify(shared, held), schema)
 
 
 def language_digest(df: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row; ``und`` for null texts and texts without a letter.
+
+    Learns from labelled rows that are not held out; without any, every text is ``und``.
+    """
     rows = df.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "text", "lang")
     examples = draw_words(rows.filter("NOT held_out AND lang IS NOT NULL"), "text", "lang", "doc_id")
     network = train(examples) if examples else None

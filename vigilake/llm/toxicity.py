@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilake.llm.common import crc_mod, text_slices
 from vigilake.llm.decontamination import words
@@ -199,18 +200,24 @@ def _grade(shared):
 def grade_toxicity(df: DataFrame, model: OrdinalModel, text: str = "text", least: float = 0.5) -> DataFrame:
     """``df`` without ``text``, with expected_severity, severity (likeliest grade), toxic_probability and toxic.
 
-    A null text counts as empty.  Columns of the result's names are replaced.
+    A null text counts as empty and has the grade of no features.  Texts are graded whole,
+    repeated rows each give a row, an empty table gives none.  Columns of the result's names
+    are replaced.
     """
     results = ("expected_severity", "severity", "toxic_probability", "toxic", "_text")
     rows = df.select(*[c for c in df.columns if c not in (*results, text)], F.col(text).alias("_text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_text")
+    schema = T.StructType([f for f in rows.schema if f.name != "_text"])
+    schema = schema.add("expected_severity", "double").add("severity", "integer").add("toxic_probability", "double")
     shared = df.sparkSession.sparkContext.broadcast(model)
-    graded = rows.mapInArrow(_grade(shared), f"{fields}expected_severity double, severity int, toxic_probability double")
+    graded = rows.mapInArrow(_grade(shared), schema)
     return graded.withColumn("toxic", F.col("toxic_probability") >= least)
 
 
 def toxicity_digest(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """Trained on labelled documents whose crc32(doc_id) mod 4 is not 2."""
+    """Grades of every row, from a model of labelled documents whose crc32(doc_id) mod 4 is not 2.
+
+    Null texts are empty; without labels nothing is toxic; columns beside doc_id and text are not read.
+    """
     held_out = (crc_mod("doc_id", 4) == 2).alias("held_out")
     drawn = draw_labelled(df, labels.filter(crc_mod("doc_id", 4) != 2), "doc_id", "text")
     model = fit_ordinal(drawn, severity_grades(drawn))
