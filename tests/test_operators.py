@@ -147,6 +147,34 @@ def test_objects(spark):
     decided = objects.decide(objects.match_objects(seen, registry), registry)
     assert {r.detection_id: (r.action, r.distance) for r in decided.collect()} == {1: ("log", 3), 2: ("register", None), 3: ("flag", 1), 4: ("register", None)}
     assert objects.register_new(decided).count() == 2 and objects.sightings(decided).filter("flagged").count() == 1
+    rng = np.random.default_rng(3)
+    bases = rng.integers(0, 2**63, 20)
+    codes = [int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 16), replace=False)) for b in bases for _ in range(6)]
+    known = spark.createDataFrame([(i, int(b), "cam_a", t) for i, b in enumerate(bases)], registry.schema)
+    found = objects.match_objects(spark.createDataFrame([(i, c, "cam_a", t) for i, c in enumerate(codes)], seen.schema), known)
+    for r in found.collect():
+        best = min(((codes[r.detection_id] ^ int(b)).bit_count(), i) for i, b in enumerate(bases))
+        assert (r.distance, r.object_id) == (best if best[0] <= 10 else (None, None))
+
+
+def test_scenes_of_one_name_in_two_categories(spark):
+    clips = spark.createDataFrame([("a", "park", 3), ("b", "park", 4)], "category string, scene string, n int")
+    rois = spark.createDataFrame([("a", "park", [5, 10]), ("b", "park", [7, 9])], "category string, scene string, temporal_roi array<int>")
+    assert {(r.category, r.temporal_roi[0]) for r in scenes.attach_roi(clips, rois).collect()} == {("a", 5), ("b", 7)}
+    sizes = spark.createDataFrame([("a", "park", 600, 100, 50), ("b", "park", 800, 100, 50)], "category string, scene string, original_bytes long, baseline_bytes long, selective_bytes long")
+    tiers = spark.createDataFrame([(c, "park", "KNN", 1.0, True, 20) for c in "ab"], "category string, scene string, method string, avg_coverage_pct double, has_targets boolean, crf_used int")
+    assert {(r.category, r.selective_ratio) for r in scorecard.scorecard(sizes, tiers).collect()} == {("a", 12.0), ("b", 16.0)}
+
+
+def test_pictures_with_alpha(spark, tmp_path):
+    folder = tmp_path / "baseline" / "park" / "input"
+    folder.mkdir(parents=True)
+    bgr = np.random.default_rng(1).integers(0, 256, (4, 5, 3)).astype(np.uint8)
+    rows = b"".join(b"\0" + np.dstack([row[None, :, ::-1], np.full((1, 5, 1), 200, np.uint8)]).tobytes() for row in bgr)
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", 5, 4, 8, 6, 0, 0, 0)
+    (folder / "in000001.png").write_bytes(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b""))
+    assert [bytes(r.px) for r in sources.read_frames(spark, str(tmp_path)).collect()] == [bgr.tobytes()]
 
 
 def clip(n=12, h=40, w=56, seed=0, step=3):
@@ -245,7 +273,8 @@ def test_standard_manifest_and_plans(spark):
     assert scenes.missing_scenes(known, found).count() == 46 - 8
     summary = scenes.run_summary(known, found, known.filter("scene = 'library' OR scene = 'highway'")).first()
     assert tuple(summary) == (46, 38, 1, 7)
-    rois = spark.createDataFrame([("park", (3, 9))], "scene string, temporal_roi struct<start:int,end:int>")
+    place = known.filter("scene = 'park'").first().category
+    rois = spark.createDataFrame([(place, "park", (3, 9)), ("other", "park", (1, 2))], "category string, scene string, temporal_roi struct<start:int,end:int>")
     assert scenes.attach_roi(known, rois).filter("temporal_roi.end = 9").count() == 1
 
 

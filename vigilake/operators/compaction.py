@@ -6,13 +6,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilake.operators.background import frame_array, packed_rows, rows_of
 from vigilake.pixels import metrics
 from vigilake.pixels.packing import Packer
 
 
-def pack_frames(frames: DataFrame, keys: tuple[str, ...] = ("scene", "segment_no"), keep_decoded: bool = True) -> DataFrame:
+def pack_frames(frames: DataFrame, keys: tuple[str, ...] = ("category", "scene", "segment_no"), keep_decoded: bool = True) -> DataFrame:
     """By frame (with a column ``crf``): bytes it packs into, and the frame as it comes back.
 
     Frames of a segment pass through one task in order; a change of size within a segment is
@@ -38,11 +39,11 @@ def pack_frames(frames: DataFrame, keys: tuple[str, ...] = ("scene", "segment_no
         yield from packed_rows(results(), schema)
 
     ordered = frames.select(*keys, "frame_idx", "width", "height", "crf", "px").repartition(*keys).sortWithinPartitions(*keys, "frame_idx")
-    fields = ", ".join(f"`{k}` {simple[k]}" for k in keys)
-    return ordered.mapInArrow(run, f"{fields}, frame_idx long, width int, height int, bytes long, decoded binary")
+    result = T.StructType([frames.schema[k] for k in keys]).add("frame_idx", "long").add("width", "integer").add("height", "integer")
+    return ordered.mapInArrow(run, result.add("bytes", "long").add("decoded", "binary"))
 
 
-def segment_sizes(packed: DataFrame, keys: tuple[str, ...] = ("scene", "segment_no")) -> DataFrame:
+def segment_sizes(packed: DataFrame, keys: tuple[str, ...] = ("category", "scene", "segment_no")) -> DataFrame:
     return packed.groupBy(*keys).agg(F.sum("bytes").alias("file_size"), F.count("*").alias("n_frames"))
 
 
@@ -65,10 +66,10 @@ def frame_scores(pairs: DataFrame) -> DataFrame:
 
     kept = [f for f in pairs.schema if f.name not in ("px", "decoded", "psnr", "ssim")]
     ordered = pairs.select(*[f.name for f in kept], "px", "decoded")
-    return ordered.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "psnr double, ssim double"]))
+    return ordered.mapInArrow(run, T.StructType([*kept]).add("psnr", "double").add("ssim", "double"))
 
 
-def sampled_quality(original: DataFrame, packed: DataFrame, keys: tuple[str, ...] = ("scene",), k: int = 30) -> DataFrame:
+def sampled_quality(original: DataFrame, packed: DataFrame, keys: tuple[str, ...] = ("category", "scene"), k: int = 30) -> DataFrame:
     """Mean PSNR and SSIM of up to k evenly spaced frames of each clip; zeros where none pairs."""
     from vigilake.functions.columns import rounded
     from vigilake.operators.scorecard import even_samples

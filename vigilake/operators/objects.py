@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations, pairwise
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 64
+BITS, AGREE = 64, 2
+
+
+def _bands(code: str, bits: int, agree: int = AGREE) -> Column:
+    """Array of (choice, value): for each choice of ``agree`` of bits + agree bands, their bits.
+
+    Codes within ``bits`` differ in that many bands at most, so they share at least one value.
+    """
+    n = bits + agree
+    edges = [round(i * BITS / n) for i in range(n + 1)]
+    width = [b - a for a, b in pairwise(edges)]
+    part = [F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << w) - 1).cast("long")) for a, w in zip(edges, width, strict=False)]
 
+    def joined(chosen: tuple[int, ...]) -> Column:
+        value = part[chosen[0]]
+        for band in chosen[1:]:
+            value = F.shiftleft(value, width[band]).bitwiseOR(part[band])
+        return value
 
-def _bands(code: str, bits: int):
-    """(number, value) of distance + 1 bands; codes within the distance share at least one."""
-    edges = [round(i * BITS / (bits + 1)) for i in range(bits + 2)]
-    parts = [
-        F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value"))
-        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))
-    ]
-    return F.explode(F.array(*parts))
+    return F.array(*[F.struct(F.lit(i).alias("choice"), joined(c).alias("value")) for i, c in enumerate(combinations(range(n), agree))])
 
 
 def match_objects(detections: DataFrame, registry: DataFrame, bits: int = 10) -> DataFrame:
     """Detections (detection_id, hash) with the nearest registered object within ``bits``; null without one.
 
-    Distinct hashes meet on equal bands, so equal detections are compared once.  Of equal
+    Distinct hashes meet where two bands agree, so equal detections are compared once; a
+    value that many hashes share is left to Spark's splitting of skewed joins.  Of equal
     distances the smaller object_id wins.
     """
-    left = detections.select("hash").distinct().select("hash", _bands("hash", bits).alias("b"))
+    left = detections.select("hash").distinct().select("hash", F.explode(_bands("hash", bits)).alias("b"))
     right = registry.groupBy(F.col("hash").alias("known_hash")).agg(F.min("object_id").alias("object_id"))
-    right = right.select("known_hash", "object_id", _bands("known_hash", bits).alias("b"))
+    right = right.select("known_hash", "object_id", F.explode(_bands("known_hash", bits)).alias("b"))
     near = left.join(right, "b").withColumn("distance", F.bit_count(F.col("hash").bitwiseXOR(F.col("known_hash"))))
     best = near.filter(F.col("distance") <= bits).groupBy("hash").agg(F.min(F.struct("distance", "object_id")).alias("m"))
     found = best.select("hash", F.col("m.object_id").alias("object_id"), F.col("m.distance").alias("distance"))

@@ -16,8 +16,8 @@ def attach_manifest(frames: DataFrame, manifest: DataFrame, how: str = "inner")
 
 
 def attach_roi(frames: DataFrame, rois: DataFrame) -> DataFrame:
-    """Adds each clip's region of time where it has one."""
-    return frames.join(rois.select("scene", "temporal_roi"), "scene", "left")
+    """Adds each clip's region of time where it has one; a clip is a scene of its category."""
+    return frames.join(rois.select(*SCENE, "temporal_roi"), SCENE, "left")
 
 
 def skip_categories(rows: DataFrame, skip: tuple[str, ...]) -> DataFrame:

@@ -29,7 +29,7 @@ def even_samples(clips: DataFrame, total: str = "total_frames", k: int = 30) ->
     return clips.filter((F.col(total) > 0) & F.lit(k > 0)).withColumn("frame_idx", F.explode(F.array_distinct(spaced)))
 
 
-def quality(original: DataFrame, compressed: DataFrame, keys: tuple[str, ...] = ("scene",), k: int = 30, ssim: Column | None = None) -> DataFrame:
+def quality(original: DataFrame, compressed: DataFrame, keys: tuple[str, ...] = ("category", "scene"), k: int = 30, ssim: Column | None = None) -> DataFrame:
     """Mean PSNR (and SSIM, from columns ``px`` and ``px2``) of evenly spaced frames of both variants.
 
     Both have ``frame_idx`` and ``px`` (an array).  Frames pair up to the shorter variant;
@@ -50,26 +50,26 @@ def quality(original: DataFrame, compressed: DataFrame, keys: tuple[str, ...] =
     )
 
 
-def variant_sizes(files: DataFrame, keys: tuple[str, ...] = ("scene",)) -> DataFrame:
+def variant_sizes(files: DataFrame, keys: tuple[str, ...] = ("category", "scene")) -> DataFrame:
     """Bytes of the original, baseline and selective variants side by side; 0 where one is missing."""
     side = lambda v: F.coalesce(F.sum(F.when(F.col("variant") == v, F.col("bytes"))), F.lit(0)).alias(f"{v}_bytes")
     return files.groupBy(*keys).agg(*[side(v) for v in ("original", "baseline", "selective")])
 
 
-def scorecard(sizes: DataFrame, tiers: DataFrame, scores: DataFrame | None = None, target: float = TARGET_RATIO) -> DataFrame:
-    """By scene and method: sizes in MB, ratios, their improvement, quality and tier, and whether the target is met.
+def scorecard(sizes: DataFrame, tiers: DataFrame, scores: DataFrame | None = None, target: float = TARGET_RATIO, keys: tuple[str, ...] = ("category", "scene")) -> DataFrame:
+    """By clip (``keys``) and method: sizes in MB, ratios, their improvement, quality and tier, and whether the target is met.
 
     The improvement is that of the unrounded ratios, the baseline's taken as 0.001 at least.
     """
-    rows = tiers.join(sizes, "scene", "left")
+    rows = tiers.join(sizes, list(keys), "left")
     if scores is not None:
-        rows = rows.join(scores, "scene", "left")
+        rows = rows.join(scores, list(keys), "left")
     part = lambda c: F.coalesce(F.col(c), F.lit(0))
     ratio = lambda c: part("original_bytes") / F.greatest(part(c), F.lit(1))
     base, selective = ratio("baseline_bytes"), ratio("selective_bytes")
     quality_columns = [c for c in ("psnr", "ssim") if c in rows.columns]
     return rows.select(
-        "scene",
+        *keys,
         "method",
         C.megabytes(part("original_bytes")).alias("original_mb"),
         C.megabytes(part("baseline_bytes")).alias("baseline_mb"),

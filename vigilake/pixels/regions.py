@@ -61,10 +61,12 @@ def regions(mask: np.ndarray, min_area: float = 500, pad: int = 20) -> list[tupl
     h, w = mask.shape
     labels, n = label_runs(mask)
     out, inner = [], set()
-    boxes = []
-    for k in range(1, n + 1):
-        ys, xs = np.nonzero(labels == k)
-        boxes.append((xs.min(), ys.min(), xs.max() + 1, ys.max() + 1))
+    ys, xs = np.nonzero(labels)
+    number = labels[ys, xs] - 1
+    corners = np.full((n, 4), [w, h, 0, 0])
+    for column, place, end in ((0, xs, 0), (1, ys, 0), (2, xs, 1), (3, ys, 1)):
+        (np.maximum if end else np.minimum).at(corners[:, column], number, place + end)
+    boxes = corners.tolist()
     order = sorted(range(n), key=lambda k: -(boxes[k][2] - boxes[k][0]) * (boxes[k][3] - boxes[k][1]))
     for k in order:
         if k in inner:

@@ -1,28 +1,38 @@
 """Whole workloads for spark-submit.
 
-python -m vigilake.plans.jobs study FRAMES OUT [--warmup N] [--night] [--tile N]
+python -m vigilake.plans.jobs import IMAGES FRAMES
+python -m vigilake.plans.jobs study FRAMES OUT [--warmup N] [--rois IMAGES] [--night] [--tile N]
+python -m vigilake.plans.jobs compress FRAMES OUT [--warmup N]
 python -m vigilake.plans.jobs index FRAMES INDEX --start TIME [--fps F] [--seconds S]
-python -m vigilake.plans.jobs recent INDEX CAMERA [--hours N] [--now TIME]
-python -m vigilake.plans.jobs daily INDEX
+python -m vigilake.plans.jobs recent INDEX CAMERA [--hours N] [--now TIME] [--out PATH]
+python -m vigilake.plans.jobs daily INDEX [--out PATH]
 """
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.operators import background, compaction, coverage, scorecard, segments
+from vigilake.functions import columns as C
+from vigilake.operators import background, compaction, coverage, scenes, scorecard, segments
 from vigilake.sources import frames as sources
 from vigilake.sources import sinks
 
 
-def coverage_study(frames: DataFrame, out: str, warmup: int = 120, **options) -> None:
-    """Frame activity, clip statistics, category means and the methods side by side, as tables below ``out``."""
+def coverage_study(frames: DataFrame, out: str, warmup: int = 120, rois: DataFrame | None = None, **options) -> None:
+    """Frame activity, clip statistics, category means and the methods side by side, as tables below ``out``.
+
+    With ``rois`` (category, scene, temporal_roi) a clip's warm-up ends where its region of time
+    begins; clips without one have ``warmup``.
+    """
     background.subtract_background(frames, **options).write.mode("overwrite").parquet(f"{out}/activity")
     activity = frames.sparkSession.read.parquet(f"{out}/activity")
-    coverage.clip_coverage(activity, warmup=warmup).write.mode("overwrite").parquet(f"{out}/clips")
+    start: Column | int = warmup
+    if rois is not None:
+        activity, start = scenes.attach_roi(activity, rois), C.warmup_frames("temporal_roi", warmup)
+    coverage.clip_coverage(activity, warmup=start).write.mode("overwrite").parquet(f"{out}/clips")
     stats = frames.sparkSession.read.parquet(f"{out}/clips")
     coverage.coverage_report(stats).write.mode("overwrite").parquet(f"{out}/report")
     coverage.compare_methods(stats).write.mode("overwrite").parquet(f"{out}/methods")
@@ -37,13 +47,19 @@ def index_feed(frames: DataFrame, index: str, start: str, fps: float = 30.0, sec
     spark, work = frames.sparkSession, f"{index.rstrip('/')}.work"
     background.subtract_background(frames, methods=(method,), **options).write.mode("overwrite").parquet(work)
     activity = spark.read.parquet(work)
-    built = segments.build_segments(activity, fps, seconds, warmup, camera="scene")
+    names = frames.select("category", "scene").distinct().groupBy("scene").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = {r["scene"] for r in names.collect()}
+    # A scene name that two categories share names a camera only together with its category.
+    shared = F.col("scene").isin(*repeated) if repeated else F.lit(False)
+    camera = F.when(shared, F.concat_ws("_", "category", "scene")).otherwise(F.col("scene"))
+    built = segments.build_segments(activity.withColumn("camera", camera), fps, seconds, warmup, camera="camera")
     numbered = segments.number_segments(frames, max(1, int(fps * seconds)), warmup)
-    packed = compaction.pack_frames(numbered.join(built.select("scene", "segment_no", "crf"), ["scene", "segment_no"]), keep_decoded=False)
-    sized = built.join(compaction.segment_sizes(packed).select("scene", "segment_no", "file_size"), ["scene", "segment_no"], "left")
+    numbered = numbered.withColumn("camera", camera)
+    packed = compaction.pack_frames(numbered.join(built.select("camera", "segment_no", "crf"), ["camera", "segment_no"]), ("camera", "segment_no"), keep_decoded=False)
+    sized = built.join(compaction.segment_sizes(packed, ("camera", "segment_no")).select("camera", "segment_no", "file_size"), ["camera", "segment_no"], "left")
     seconds_in = (F.lit(warmup) + (F.col("segment_no") - 1) * max(1, int(fps * seconds))) / fps
     began = F.timestamp_seconds(F.unix_timestamp(F.lit(start).cast("timestamp")) + seconds_in)
-    sinks.append_segments(segments.index_rows(sized, began, F.col("file_size"), camera="scene"), index)
+    sinks.append_segments(segments.index_rows(sized, began, F.col("file_size"), camera="camera"), index)
 
 
 def compression_study(frames: DataFrame, out: str, method: str = "MOG2", warmup: int = 120, baseline: int = 23, fps: float = 30.0, seconds: float = 60, **options) -> None:
@@ -52,11 +68,11 @@ def compression_study(frames: DataFrame, out: str, method: str = "MOG2", warmup:
     background.subtract_background(frames, methods=(method,), **options).write.mode("overwrite").parquet(f"{out}/activity")
     tiers = scorecard.tier_plan(spark.read.parquet(f"{out}/activity"), warmup=warmup)
     numbered = segments.number_segments(frames, max(1, int(fps * seconds)), 0)
-    for variant, rows in (("baseline", numbered.withColumn("crf", F.lit(baseline))), ("selective", numbered.join(tiers.select("scene", F.col("crf_used").alias("crf")), "scene"))):
+    for variant, rows in (("baseline", numbered.withColumn("crf", F.lit(baseline))), ("selective", numbered.join(tiers.select("category", "scene", F.col("crf_used").alias("crf")), ["category", "scene"]))):
         compaction.pack_frames(rows).write.mode("overwrite").parquet(f"{out}/{variant}")
-    sizes = frames.groupBy("scene").agg(F.sum(F.length("px")).alias("bytes")).withColumn("variant", F.lit("original"))
+    sizes = frames.groupBy("category", "scene").agg(F.sum(F.length("px")).alias("bytes")).withColumn("variant", F.lit("original"))
     for variant in ("baseline", "selective"):
-        packed = spark.read.parquet(f"{out}/{variant}").groupBy("scene").agg(F.sum("bytes").alias("bytes"))
+        packed = spark.read.parquet(f"{out}/{variant}").groupBy("category", "scene").agg(F.sum("bytes").alias("bytes"))
         sizes = sizes.unionByName(packed.withColumn("variant", F.lit(variant)))
     quality = compaction.sampled_quality(frames, spark.read.parquet(f"{out}/selective"))
     card = scorecard.scorecard(scorecard.variant_sizes(sizes), tiers, quality)
@@ -67,7 +83,15 @@ def compression_study(frames: DataFrame, out: str, method: str = "MOG2", warmup:
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     jobs = parser.add_subparsers(dest="job", required=True)
+    images = jobs.add_parser("import")
+    images.add_argument("images")
+    images.add_argument("frames")
+    compress = jobs.add_parser("compress")
+    compress.add_argument("frames")
+    compress.add_argument("out")
+    compress.add_argument("--warmup", type=int, default=120)
     study = jobs.add_parser("study")
+    study.add_argument("--rois")
     study.add_argument("frames")
     study.add_argument("out")
     study.add_argument("--warmup", type=int, default=120)
@@ -84,17 +108,35 @@ def main(arguments: list[str] | None = None) -> None:
     recent.add_argument("camera")
     recent.add_argument("--hours", type=float, default=24)
     recent.add_argument("--now")
-    jobs.add_parser("daily").add_argument("index")
+    recent.add_argument("--out")
+    daily = jobs.add_parser("daily")
+    daily.add_argument("index")
+    daily.add_argument("--out")
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    if given.job == "study":
-        coverage_study(sources.read_frame_table(spark, given.frames), given.out, given.warmup, night_mode=given.night, tile=given.tile)
+    if given.job == "import":
+        sources.compact_frames(sources.read_frames(spark, given.images), given.frames)
+    elif given.job == "study":
+        rois = sources.read_temporal_roi(spark, given.rois) if given.rois else None
+        coverage_study(sources.read_frame_table(spark, given.frames), given.out, given.warmup, rois, night_mode=given.night, tile=given.tile)
+    elif given.job == "compress":
+        compression_study(sources.read_frame_table(spark, given.frames), given.out, warmup=given.warmup)
     elif given.job == "index":
         index_feed(sources.read_frame_table(spark, given.frames), given.index, given.start, given.fps, given.seconds)
     elif given.job == "recent":
-        segments.recent_targets(sources.open_index(spark, given.index), stored_name(given.camera), given.hours, given.now).show(100, truncate=False)
+        deliver(segments.recent_targets(sources.open_index(spark, given.index), stored_name(given.camera), given.hours, given.now), given.out)
     else:
-        segments.daily_storage(sources.open_index(spark, given.index)).show(100, truncate=False)
+        deliver(segments.daily_storage(sources.open_index(spark, given.index)), given.out)
+
+
+def deliver(rows: DataFrame, out: str | None) -> None:
+    """All rows: as CSV files below ``out``, or printed one by one."""
+    if out:
+        rows.write.mode("overwrite").option("header", True).csv(out)
+        return
+    print(*rows.columns, sep="\t")
+    for row in rows.toLocalIterator():
+        print(*row, sep="\t")
 
 
 def stored_name(name: str) -> str:

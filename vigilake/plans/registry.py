@@ -235,7 +235,7 @@ VARIANTS_SQL = (
 def _variants(spark, d):
     kind = F.element_at(F.array(F.lit("original"), F.lit("baseline"), F.lit("selective")), (F.col("l_linenumber") % 3 + 1).cast("int"))
     rows = V.sizes(spark, d).withColumn("variant", kind)
-    return scorecard.variant_sizes(rows.withColumn("bytes", F.when(F.col("variant") == "original", F.col("original_bytes")).otherwise(F.col("compressed_bytes"))))
+    return scorecard.variant_sizes(rows.withColumn("bytes", F.when(F.col("variant") == "original", F.col("original_bytes")).otherwise(F.col("compressed_bytes"))), ("scene",))
 
 
 @query("variant_sizes", f"WITH {VARIANTS_SQL} SELECT * FROM sizes")
@@ -252,7 +252,7 @@ def _(spark, d):
       avg_coverage_pct, has_targets, crf_used, sel >= 6.0 AS meets_target FROM r""",
 )
 def _(spark, d):
-    return scorecard.scorecard(_variants(spark, d), scorecard.tier_plan(V.frame_coverage(spark, d)))
+    return scorecard.scorecard(_variants(spark, d), scorecard.tier_plan(V.frame_coverage(spark, d)), keys=("scene",))
 
 
 @query(
@@ -295,7 +295,7 @@ def _(spark, d):
 def _(spark, d):
     frames = V.tiny_frames(spark, d)
     packed = frames.withColumn("px", F.transform("px", lambda x: (F.floor(x / 16) * 16).cast("int")))
-    return scorecard.quality(frames, packed)
+    return scorecard.quality(frames, packed, ("scene",))
 
 
 @query(
@@ -465,23 +465,58 @@ def _(spark, d):
     return scenes.file_sizes(V.table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path")), listing)
 
 
-@query(
-    "object_matches",
-    """WITH det AS (SELECT event_id AS detection_id, ((event_id * 2654435761) % 65536) * 281474976710 + user_id AS hash, concat('cam_', CAST(user_id % 16 AS VARCHAR)) AS camera_id FROM events),
-    reg AS (SELECT event_id AS object_id, ((event_id * 2654435761) % 65536) * 281474976710 + user_id AS hash, concat('cam_', CAST(event_id % 16 AS VARCHAR)) AS camera_id FROM events WHERE event_id % 97 = 0),
-    near AS (SELECT d.hash, min((CAST(bit_count(xor(d.hash, r.hash)) AS INT), object_id)) AS m FROM (SELECT DISTINCT hash FROM det) d, reg r WHERE bit_count(xor(d.hash, r.hash)) <= 4 GROUP BY d.hash)
-    SELECT detection_id, d.camera_id, m[2] AS object_id, m[1] AS distance,
+OBJECTS_SQL = f"""{V.OBJECTS_SQL},
+    near AS (SELECT d.hash, min((CAST(bit_count(xor(d.hash, r.hash)) AS INT), object_id)) AS m FROM (SELECT DISTINCT hash FROM det) d, reg r WHERE bit_count(xor(d.hash, r.hash)) <= 10 GROUP BY d.hash),
+    decided AS (SELECT detection_id, d.hash, d.ts, d.camera_id, m[2] AS object_id, m[1] AS distance,
       CASE WHEN m IS NULL THEN 'register' WHEN d.camera_id = r.camera_id THEN 'log' ELSE 'flag' END AS action
-    FROM det d LEFT JOIN near USING (hash) LEFT JOIN reg r ON r.object_id = m[2]""",
+      FROM det d LEFT JOIN near USING (hash) LEFT JOIN reg r ON r.object_id = m[2])"""
+
+
+def _decided(spark, d):
+    detections, registry = V.detections(spark, d)
+    return objects.decide(objects.match_objects(detections, registry), registry)
+
+
+@query("object_matches", f"WITH {OBJECTS_SQL} SELECT detection_id, camera_id, object_id, distance, action FROM decided")
+def _(spark, d):
+    return _decided(spark, d).select("detection_id", "camera_id", "object_id", "distance", "action")
+
+
+@query(
+    "object_sightings",
+    f"WITH {OBJECTS_SQL} SELECT object_id, camera_id, ts, distance, action = 'flag' AS flagged FROM decided WHERE action <> 'register'",
 )
 def _(spark, d):
-    code = ((F.col("event_id") * 2654435761) % 65536) * 281474976710 + F.col("user_id")
-    events = V.table(spark, d, "events")
-    detections = events.select(F.col("event_id").alias("detection_id"), code.alias("hash"), F.concat(F.lit("cam_"), (F.col("user_id") % 16).cast("string")).alias("camera_id"))
-    registry = events.filter("event_id % 97 = 0").select(
-        F.col("event_id").alias("object_id"), code.alias("hash"), F.concat(F.lit("cam_"), (F.col("event_id") % 16).cast("string")).alias("camera_id"), F.col("ts").alias("first_seen")
-    )
-    return objects.decide(objects.match_objects(detections, registry, bits=4), registry).select("detection_id", "camera_id", "object_id", "distance", "action")
+    return objects.sightings(_decided(spark, d))
+
+
+@query(
+    "new_objects",
+    f"""WITH {OBJECTS_SQL} SELECT hash, min(ts) AS first_seen, max(ts) AS last_seen, min((ts, camera_id))[2] AS camera_id, count(*) AS sighting_count
+      FROM decided WHERE action = 'register' GROUP BY hash""",
+)
+def _(spark, d):
+    return objects.register_new(_decided(spark, d)).drop("object_id")
+
+
+@query(
+    "clip_regions_of_time",
+    f"""WITH {V.MANIFEST_SQL}, rois AS (SELECT category, scene, [ord, ord + 100] AS roi FROM manifest WHERE ord % 3 = 0),
+      cust AS (SELECT r_name AS category, n_name AS scene, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)
+    SELECT category, scene, n, roi[1] AS roi_start, roi[2] AS roi_end FROM cust LEFT JOIN rois USING (category, scene)""",
+)
+def _(spark, d):
+    known = V.manifest(spark, d)
+    clips = V.table(spark, d, "customer").join(known, F.col("c_nationkey") == F.col("ord")).groupBy("category", "scene").agg(F.count("*").alias("n"))
+    rois = known.filter("ord % 3 = 0").withColumn("temporal_roi", F.array("ord", F.col("ord") + 100))
+    found = scenes.attach_roi(clips, rois)
+    return found.select("category", "scene", "n", F.get("temporal_roi", F.lit(0)).alias("roi_start"), F.get("temporal_roi", F.lit(1)).alias("roi_end"))
+
+
+@query("box_corners", f"WITH {V.BOXES_SQL} SELECT l_orderkey, l_linenumber, x AS c0, y AS c1, w AS c2, h AS c3 FROM boxes")
+def _(spark, d):
+    corners = V.boxes(spark, d).select("l_orderkey", "l_linenumber", C.box_corners(F.col("box")).alias("c"))
+    return corners.select("l_orderkey", "l_linenumber", *[F.col("c")[i].alias(f"c{i}") for i in range(4)])
 
 
 # Pixel jobs have no SQL form; the tests compare them with plain loops.
@@ -525,7 +560,7 @@ def _(spark, d):
     activity = background.subtract_background(frames, min_area=1, pad=1, history=50)
     tiers = scorecard.tier_plan(activity, warmup=20)
     packed = _packed(spark, d)
-    chosen = packed.groupBy("scene").agg(F.sum("bytes").alias("bytes")).withColumn("variant", F.lit("selective"))
-    original = frames.groupBy("scene").agg(F.sum(F.length("px")).alias("bytes")).withColumn("variant", F.lit("original"))
+    chosen = packed.groupBy("category", "scene").agg(F.sum("bytes").alias("bytes")).withColumn("variant", F.lit("selective"))
+    original = frames.groupBy("category", "scene").agg(F.sum(F.length("px")).alias("bytes")).withColumn("variant", F.lit("original"))
     sizes = scorecard.variant_sizes(chosen.unionByName(original))
     return scorecard.scorecard(sizes, tiers, compaction.sampled_quality(frames, packed))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -165,3 +167,28 @@ def tiny_clips(spark: SparkSession, d: str) -> DataFrame:
         F.lit(8).alias("height"),
         F.unhex(grey).alias("px"),
     )
+
+
+#: Multiplier of the stand-in hashes.
+_SPREAD = 11400714819323198485
+
+
+def detections(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Events as detections (a user's hash with up to 14 bits changed), every 97th as a registered object."""
+    spread = (F.col("user_id").cast("decimal(18,0)") * F.lit(Decimal(_SPREAD))) % F.lit(Decimal(1 << 63))
+    flips = F.pmod(F.col("event_id") * 2654435761, F.lit(16384))
+    changed = (flips % 128) * 8 + F.floor(flips / 128) * (1 << 40)
+    code = spread.cast("long").bitwiseXOR(changed.cast("long"))
+    events = table(spark, d, "events").withColumn("hash", code)
+    camera = lambda c: F.concat(F.lit("cam_"), (F.col(c) % 16).cast("string")).alias("camera_id")
+    return (
+        events.select(F.col("event_id").alias("detection_id"), "hash", camera("user_id"), "ts"),
+        events.filter("event_id % 97 = 0").select(F.col("event_id").alias("object_id"), "hash", camera("event_id"), F.col("ts").alias("first_seen")),
+    )
+
+
+OBJECTS_SQL = f"""hashed AS (SELECT *, (event_id * 2654435761) % 16384 AS flips FROM events),
+  coded AS (SELECT *, xor(CAST((user_id::HUGEINT * {_SPREAD}::HUGEINT) % 9223372036854775808::HUGEINT AS BIGINT),
+    CAST((flips % 128) * 8 + (flips // 128) * 1099511627776 AS BIGINT)) AS hash FROM hashed),
+  det AS (SELECT event_id AS detection_id, hash, concat('cam_', CAST(user_id % 16 AS VARCHAR)) AS camera_id, ts FROM coded),
+  reg AS (SELECT event_id AS object_id, hash, concat('cam_', CAST(event_id % 16 AS VARCHAR)) AS camera_id FROM coded WHERE event_id % 97 = 0)"""

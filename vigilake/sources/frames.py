@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilake.functions import columns as C
-from vigilake.operators.scenes import clip_info, truncate_at_bad
+from vigilake.operators.scenes import attach_roi, clip_info, truncate_at_bad
 from vigilake.schemas import FRAMES, SEGMENTS
 
 _IMAGE = "(?i)\\.(jpe?g|png|bmp)$"
@@ -33,7 +33,7 @@ def read_frames(spark: SparkSession, path: str, on_bad: str = "truncate") -> Dat
     """Frames of image sequences in path order; a clip ends before its first undecodable frame.
 
     Indices come from the paths alone and are joined back, so pixels are not sorted for
-    them.  Raises ValueError if there is no image.
+    them.  Grey pictures become BGR; of pictures with transparency the alpha is dropped.  Raises ValueError if there is no image.
     """
     names = list_files(spark, path).filter(F.col("path").rlike(_IMAGE)).select(F.col("path").alias("origin"))
     if names.isEmpty():
@@ -57,7 +57,8 @@ def read_frames(spark: SparkSession, path: str, on_bad: str = "truncate") -> Dat
         ((F.col("height") <= 0) | (F.length("data") == 0)).alias("_undecodable"),
     )
     grey = F.when(F.col("nChannels") == 1, F.unhex(F.regexp_replace(F.hex("data"), "(..)", "$1$1$1")))
-    frames = frames.withColumn("px", F.coalesce("px", grey)).drop("nChannels", "data")
+    opaque = F.when(F.col("nChannels") == 4, F.unhex(F.regexp_replace(F.hex("data"), "(.{6})..", "$1")))
+    frames = frames.withColumn("px", F.coalesce("px", grey, opaque)).drop("nChannels", "data")
     kept = truncate_at_bad(frames, F.col("_undecodable"), on_bad)
     return kept.select(*[f.name for f in FRAMES])
 
@@ -73,14 +74,18 @@ def read_temporal_roi(spark: SparkSession, path: str) -> DataFrame:
 
 def clips(frames: DataFrame, rois: DataFrame, fallback: int = 120) -> DataFrame:
     """Clip facts with the region of time and the warm-up that follows."""
-    joined = clip_info(frames).join(rois.select("scene", "temporal_roi"), "scene", "left")
+    joined = attach_roi(clip_info(frames), rois)
     return joined.withColumn("warmup", C.warmup_frames("temporal_roi", fallback))
 
 
 def compact_frames(frames: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Writes frames once as large sorted files by category, instead of many small images."""
-    dealt = frames.repartition(partitions, "category", "scene") if partitions else frames.repartition("category", "scene")
-    dealt.sortWithinPartitions("category", "scene", "frame_idx").write.partitionBy("category").parquet(path)
+    """Writes frames once as large sorted files by category, instead of many small images.
+
+    Frames are dealt out by ranges of (category, scene, frame), so that a long clip is split.
+    """
+    order = ["category", "scene", "frame_idx"]
+    dealt = frames.repartitionByRange(partitions, *order) if partitions else frames.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).write.partitionBy("category").parquet(path)
 
 
 def read_frame_table(spark: SparkSession, path: str) -> DataFrame:

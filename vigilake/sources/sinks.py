@@ -9,9 +9,13 @@ from vigilake.schemas import SEGMENTS
 
 
 def append_segments(segments: DataFrame, path: str) -> None:
-    """Appends index rows by day, sorted by camera and time so that files prune; nothing is de-duplicated."""
+    """Appends index rows by day, sorted by camera and time so that files prune; nothing is de-duplicated.
+
+    Rows are dealt out by ranges, so that a day with many rows is split.
+    """
+    order = ["date", "camera_id", "timestamp"]
     rows = segments.select(*[f.name for f in SEGMENTS]).withColumn("date", C.day_key("timestamp"))
-    rows.repartition("date").sortWithinPartitions("date", "camera_id", "timestamp").write.mode("append").partitionBy("date").parquet(path)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("date").parquet(path)
 
 
 def save_csv(rows: DataFrame, path: str) -> bool:
