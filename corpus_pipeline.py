@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet
 and read again as the next stage's docs.
+
+In every stage null and empty texts, very long ones, repeated rows and nulls in other
+columns are rows like any others: null and empty texts have no words and go with the first
+stage; exact repeats are one row after the second; no stage cuts a text.  Columns beside
+those of documents are not carried.  An empty table passes through as an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +26,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of 5-word Jaccard similarity 0.8 or more: the smallest doc_id."""
+    """One document of each group of 5-word Jaccard similarity 0.8 or more: the smallest doc_id.
+
+    Candidates come from SimHash bits through the Gray-order index; shingle sets decide.
+    """
     return near.drop_near_duplicates(docs.select(*COLUMNS))
 
 
