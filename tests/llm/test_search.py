@@ -229,7 +229,7 @@ def test_tables_of_bits_find_similar_texts(spark):
     codes = [near.wide_code(near.shingle_set(t.encode())).tobytes() for t in texts]
     df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(codes)], "_body long, _code binary")
     for options in ({"group": 16}, {"group": 512, "block": 100}):
-        found = {r.node: r.root for r in simhash.connected_components(near.link_codes(df, **options)).collect()}
+        found = {r.node: r.root for r in near.candidate_clusters(df, **options).collect()}
         together = [found.get(a, a) == found.get(b, b) for a, b in pairs]
         assert sum(together) >= 0.97 * len(together) > 50
     assert len(near.tables_for(10**7)) > len(near.tables_for(10**5)) > 1 == len(near.tables_for(100))

@@ -74,8 +74,8 @@ def tables_for(count: int, group: int = GROUP) -> np.ndarray:
     return np.array([rng.choice(BITS, bits, replace=False) for _ in range(tables)], np.int64).reshape(tables, bits)
 
 
-def _dealt(places: np.ndarray):
-    """mapInArrow function: a row for each table, with its key and the two halves of the compared bits."""
+def _dealt(places: np.ndarray, first: int):
+    """mapInArrow function: a row for each table (numbered from ``first``), with its key, the compared bits and ``_root``."""
     tables, bits = places.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,19 +84,21 @@ def _dealt(places: np.ndarray):
                 part = batch.slice(begin, 1024)
                 raw = np.frombuffer(b"".join(part.column("_code").to_pylist()), np.uint8).reshape(part.num_rows, BITS // 8)
                 flags = np.unpackbits(raw, axis=1)
-                keys = (flags[:, places].astype(np.int64) << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
-                first, second = (np.ascontiguousarray(raw[:, i : i + 8]).view(np.int64).ravel() for i in (0, 8))
-                columns = [keys.ravel(), *(np.repeat(x, tables) for x in (part.column("_body").to_numpy(), first, second))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["_key", "_body", "_first", "_second"])
+                keys = (flags[:, places].astype(np.int64) << np.arange(bits)).sum(2) + (np.arange(first, first + tables) << bits)
+                halves = [np.ascontiguousarray(raw[:, i : i + 8]).view(np.int64).ravel() for i in (0, 8)]
+                columns = [keys.ravel(), *(np.repeat(x, tables) for x in (part.column("_body").to_numpy(), part.column("_root").to_numpy(), *halves))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["_key", "_body", "_root", "_first", "_second"])
 
     return run
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """applyInArrow function: links (a, b) that join the texts whose codes are near, as stars."""
+    """applyInArrow function: links (a, b) that join the roots of texts whose codes are near, as stars."""
     first, second = (table.column(c).to_numpy().view(np.uint64) for c in ("_first", "_second"))
-    body, side = table.column("_body").to_numpy(), table.column("_side").to_numpy()
-    parent = join_dense(first, NEAR // 2)
+    root, side = table.column("_root").to_numpy(), table.column("_side").to_numpy()
+    # Texts that are together already are not compared again.
+    _, place, of = np.unique(root, return_index=True, return_inverse=True)
+    parent = join_dense(first, NEAR // 2, place[of])
     asking = outside_largest(parent)
     for own in (0, 1) if side.any() else (0,):
         indexed = np.flatnonzero(side != own) if side.any() else np.arange(len(first))
@@ -108,15 +110,30 @@ def _candidates(table: pa.Table) -> pa.Table:
             differ = np.bitwise_count(first[q] ^ first[c]).astype(np.int16) + np.bitwise_count(second[q] ^ second[c])
             near = differ <= NEAR_BOTH
             parent = _union(parent, q[near], c[near])
-    child = np.flatnonzero(parent != np.arange(len(body)))
-    return pa.table({"a": pa.array(body[child]), "b": pa.array(body[parent[child]])})
+    links = np.unique(np.stack([root, root[parent]], 1), axis=0)
+    links = links[links[:, 0] != links[:, 1]]
+    return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1])})
 
 
-def link_codes(codes: DataFrame, group: int = GROUP, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between values of ``_body`` that connect all candidates; ``_body`` is distinct."""
+def candidate_clusters(codes: DataFrame, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+    """(node, root) of the clusters that near codes form; ``_body`` is distinct.
+
+    A fifth of the tables goes first; the others, told what that has put together, add only
+    links between clusters, so that a crowd is not linked anew in every table.
+    """
     places = tables_for(codes.count(), group)
-    dealt = codes.select("_body", "_code").mapInArrow(_dealt(places), "_key long, _body long, _first long, _second long")
-    return in_blocks(dealt, block, "_body").groupBy("_key", "_low", "_high").applyInArrow(_candidates, "a long, b long")
+    early = -(-len(places) // 5)
+
+    def linked(rows: DataFrame, begin: int, end: int) -> DataFrame:
+        dealt = rows.select("_body", "_code", "_root").mapInArrow(_dealt(places[begin:end], begin), "_key long, _body long, _root long, _first long, _second long")
+        return in_blocks(dealt, block, "_body").groupBy("_key", "_low", "_high").applyInArrow(_candidates, "a long, b long")
+
+    found = connected_components(linked(codes.withColumn("_root", F.col("_body")), 0, early))
+    if early == len(places):
+        return found
+    rooted = codes.join(found.withColumnRenamed("node", "_body"), "_body", "left").withColumn("_root", F.coalesce("root", "_body"))
+    more = linked(rooted, early, len(places))
+    return connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +174,7 @@ def _similar(similarity: float):
     """applyInArrow function: links (a, b) of a cluster's similar texts, as stars."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_body")
         body = table.column("_body").to_numpy()
         parent = join_similar([np.frombuffer(x, np.uint64) for x in table.column("_set").to_pylist()], similarity)
         child = np.flatnonzero(parent != np.arange(len(body)))
@@ -179,7 +197,7 @@ def drop_near_duplicates(df: DataFrame, order: str = "doc_id", text: str = "text
     coded = checkpointed(rows.mapInArrow(_coded, schema))
     codes = coded.groupBy("_body").agg(F.first("_code").alias("_code"), F.min(F.struct("__row", "__also")).alias("_one"))
     codes = checkpointed(codes.select("_body", "_code", "_one.*"))
-    clusters = connected_components(link_codes(codes, group)).withColumnRenamed("node", "_body").withColumnRenamed("root", "_key")
+    clusters = candidate_clusters(codes, group).withColumnRenamed("node", "_body").withColumnRenamed("root", "_key")
     # One text stands for each body of a cluster.
     chosen = codes.join(clusters, "_body").select("_body", "_key", "__row", "__also")
     texts = rows.select("__row", "__also", "_text").join(chosen, ["__row", "__also"]).select("_body", "_key", "_text")

@@ -132,16 +132,20 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def join_dense(codes: np.ndarray, k: int) -> np.ndarray:
-    """Sets of what lies within k bits of the member next to all members' majority code.
+def majority(codes: np.ndarray) -> np.uint64:
+    """The code of the bits that over half of the codes have set."""
+    bits = np.unpackbits(codes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return np.packbits(2 * bits.sum(0, dtype=np.int64) > len(codes)).view(">u8").astype(np.uint64)[0]
+
+
+def join_dense(codes: np.ndarray, k: int, parent: np.ndarray | None = None) -> np.ndarray:
+    """Sets, beyond those known, of what lies within k bits of the member next to all members' majority code.
 
     A crowd of near copies becomes one set in linear time.
     """
-    bits = np.unpackbits(codes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    major = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(codes)).view(">u8").astype(np.uint64)
-    pivot = np.bitwise_count(codes ^ major[0]).argmin()
+    pivot = np.bitwise_count(codes ^ majority(codes)).argmin()
     near = np.flatnonzero(np.bitwise_count(codes ^ codes[pivot]) <= k)
-    return _union(np.arange(len(codes)), np.full(len(near), pivot), near)
+    return _union(np.arange(len(codes)) if parent is None else parent, np.full(len(near), pivot), near)
 
 
 def outside_largest(parent: np.ndarray) -> np.ndarray:
@@ -153,6 +157,8 @@ def _link_group(k: int):
     """applyInArrow function: links (a, b) that join what lies within k bits in a group, as stars."""
 
     def run(table: pa.Table) -> pa.Table:
+        # A star's centre is its smallest code, so that groups agree on most links of a crowd.
+        table = table.sort_by("_fp")
         codes = table.column("_fp").to_numpy().view(np.uint64)
         side = table.column("_side").to_numpy()
         parent = join_dense(codes, k)
