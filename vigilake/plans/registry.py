@@ -519,7 +519,47 @@ def _(spark, d):
     return corners.select("l_orderkey", "l_linenumber", *[F.col("c")[i].alias(f"c{i}") for i in range(4)])
 
 
-# Pixel jobs have no SQL form; the tests compare them with plain loops.
+# Whole-frame samples are kept in slots by the frame's number, so the nearest-sample model is a
+# join of each pixel with the frames alive before it: 8 by 8 frames, history 50, 21 slots.
+SAMPLES_SQL = f"""WITH {V.TINY_SQL},
+  pixel AS (SELECT scene, frame_idx AS t, i AS p, px[i] AS v FROM fr, range(1, 65) r(i)),
+  paced AS (SELECT scene, frame_idx AS s, ((frame_idx + 1) * 2654435761) % 4294967296 AS turn, (1.0::DOUBLE / least(2 * (frame_idx + 1), 50)) * 21 AS pace FROM fr),
+  stored AS (SELECT scene, s, CASE WHEN s < 21 THEN s ELSE (turn // 128) % 21 END AS slot FROM paced WHERE s < 21 OR turn / 4294967296.0::DOUBLE < pace),
+  until AS (SELECT scene, s, lead(s) OVER (PARTITION BY scene, slot ORDER BY s) AS gone FROM stored),
+  alive AS (SELECT f.scene, f.frame_idx AS t, u.s FROM fr f JOIN until u ON u.scene = f.scene AND u.s < f.frame_idx AND (u.gone IS NULL OR u.gone >= f.frame_idx)),
+  pairs AS (SELECT a.scene, a.t, a.s, x.p, x.v, m.v AS m, 3 * (x.v - m.v) * (x.v - m.v) < 400 AS near
+    FROM alive a JOIN pixel x ON x.scene = a.scene AND x.t = a.t JOIN pixel m ON m.scene = a.scene AND m.t = a.s AND m.p = x.p),
+  familiar AS (SELECT scene, t AS s, p, count(*) FILTER (WHERE near) >= 2 OR t <= 1 AS counts FROM pairs GROUP BY scene, t, p
+    UNION ALL SELECT scene, t, p, TRUE FROM pixel WHERE t = 0),
+  judged AS (SELECT q.scene, q.t, q.p, count(*) FILTER (WHERE near AND counts) >= least(2, q.t) AS background, bool_or(counts AND m > 0 AND v <= m AND 2 * v >= m) AS shadow
+    FROM pairs q JOIN familiar USING (scene, s, p) GROUP BY q.scene, q.t, q.p),
+  raw AS (SELECT scene, t, p, NOT background AND NOT shadow AS on_ FROM judged UNION ALL SELECT scene, t, p, TRUE FROM pixel WHERE t = 0),
+  beside AS (SELECT a.p, b.p AS q FROM range(1, 65) a(p), range(1, 65) b(p), LATERAL (SELECT abs((a.p - 1) // 8 - (b.p - 1) // 8) AS dy, abs((a.p - 1) % 8 - (b.p - 1) % 8) AS dx)
+    WHERE (dy <= 1 AND dx <= 2) OR (dy = 2 AND dx = 0)),
+  grown AS (SELECT scene, t, beside.p, bool_or(on_) AS on_ FROM raw r JOIN beside ON r.p = beside.q GROUP BY ALL),
+  closed AS (SELECT scene, t, beside.p, bool_and(on_) AS on_ FROM grown r JOIN beside ON r.p = beside.q GROUP BY ALL),
+  shrunk AS (SELECT scene, t, beside.p, bool_and(on_) AS on_ FROM closed r JOIN beside ON r.p = beside.q GROUP BY ALL),
+  opened AS (SELECT scene, t, beside.p, bool_or(on_) AS on_ FROM shrunk r JOIN beside ON r.p = beside.q GROUP BY ALL)
+  SELECT 'vectors' AS category, concat('label_', CAST(scene AS VARCHAR)) AS scene, 'KNN' AS method, t AS frame_idx, count(*) FILTER (WHERE on_) / CAST(64 AS DOUBLE) AS coverage
+  FROM opened GROUP BY ALL"""
+
+
+def _sample_coverage(spark, d, tile=None):
+    found = background.subtract_background(V.tiny_clips(spark, d), methods=("KNN",), min_area=1, pad=1, history=50, tile=tile)
+    return found.select("category", "scene", "method", "frame_idx", "coverage")
+
+
+@query("nearest_sample_coverage", SAMPLES_SQL)
+def _(spark, d):
+    return _sample_coverage(spark, d)
+
+
+@query("tiled_nearest_sample_coverage", SAMPLES_SQL)
+def _(spark, d):
+    return _sample_coverage(spark, d, tile=4)
+
+
+# The other pixel jobs have no SQL form; the tests compare them with plain loops.
 
 
 @query("background_activity")
@@ -549,7 +589,17 @@ def _(spark, d):
     return compaction.segment_sizes(_packed(spark, d))
 
 
-@query("packed_quality")
+@query(
+    "packed_quality",
+    f"""WITH {V.TINY_SQL}, {EVEN_SQL}, shown AS (SELECT scene, frame_idx, px, CASE WHEN (frame_idx // 10 + 1) % 2 = 0 THEN 1 ELSE 13 END AS step FROM fr JOIN chosen USING (scene, frame_idx)),
+    pair AS (SELECT scene, frame_idx, (i - 1) // 8 AS y, (i - 1) % 8 AS x, CAST(px[i] AS DOUBLE) AS a, CAST(least(255, px[i] // step * step + step // 2) AS DOUBLE) AS b FROM shown, range(1, 65) r(i)),
+    error AS (SELECT scene, frame_idx, avg((a - b) * (a - b)) AS mse FROM pair GROUP BY ALL),
+    win AS (SELECT scene, frame_idx, oy, ox, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS vab
+      FROM pair, range(2) t(oy), range(2) u(ox) WHERE y BETWEEN oy AND oy + 6 AND x BETWEEN ox AND ox + 6 GROUP BY ALL),
+    alike AS (SELECT scene, frame_idx, avg((2 * ma * mb + 6.5025) * (2 * vab + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))) AS ssim FROM win GROUP BY ALL),
+    mean AS (SELECT scene, avg(10 * log10(65025.0 / mse)) FILTER (WHERE mse > 0) AS p, bool_or(mse = 0) AS exact, avg(ssim) AS s, count(*) AS n FROM error JOIN alike USING (scene, frame_idx) GROUP BY scene)
+    SELECT 'vectors' AS category, concat('label_', CAST(scene AS VARCHAR)) AS scene, CASE WHEN exact THEN CAST('inf' AS DOUBLE) ELSE round(p, 2) END AS psnr, round(s, 4) AS ssim, n AS samples_used FROM mean""",
+)
 def _(spark, d):
     return compaction.sampled_quality(V.tiny_clips(spark, d), _packed(spark, d))
 
