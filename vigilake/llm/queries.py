@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilake.llm import chat, ctw, decontamination, language, quality, secrets, sentencepieces, sharding, simhash, sql, toxicity
+from vigilake.llm import chat, collocations, ctw, decontamination, language, permuterm, pivots, quality, secrets, sentencepieces, sharding, simhash, sql, toxicity
 from vigilake.llm.common import read_table
 
 QUERIES = {
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_chat_repair": lambda spark, d: chat.chat_digest(read_table(spark, d, "conversations")),
     "op9_quality_votes": lambda spark, d: quality.quality_digest(read_table(spark, d, "documents")),
     "op10_toxicity_grades": lambda spark, d: toxicity.toxicity_digest(read_table(spark, d, "documents"), read_table(spark, d, "labels")),
+    "op11_collocations": lambda spark, d: collocations.collocations(read_table(spark, d, "documents")),
+    "op12_spelling_variants": lambda spark, d: permuterm.variant_groups(read_table(spark, d, "documents")),
+    "op13_exact_top_k": lambda spark, d: pivots.top_k(read_table(spark, d, "embeddings")),
 }
 
 #: The others hash, train or repair, which SQL cannot express; the tests hold them against brute force.
@@ -25,4 +28,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_secret_scans": sql.secret_scans(),
     "op2_jump_sharding": sql.jump_sharding(),
     "op3_decontamination": sql.decontamination(),
+    "op11_collocations": sql.collocation_ranks(),
+    "op12_spelling_variants": sql.spelling_variants(),
+    "op13_exact_top_k": sql.exact_top_k(),
 }

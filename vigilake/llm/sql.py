@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from vigilake.llm import secrets, sharding
+from vigilake.llm import collocations, permuterm, pivots, secrets, sharding
 from vigilake.llm.decontamination import WINDOW
 
 
@@ -83,3 +83,56 @@ dealt AS (SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, shard,
   floor((((k * {sharding.SPREAD}::UHUGEINT) % 18446744073709551616::UHUGEINT // 4294967296::UHUGEINT + crc::UHUGEINT) % 4294967296::UHUGEINT)::DOUBLE * {blocks} / 4294967296::DOUBLE) AS block
   FROM d JOIN summed USING (rid) JOIN done USING (rid))
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY block, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM dealt"""
+
+
+_A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def collocation_ranks(least: int = collocations.LEAST, best: int = collocations.BEST) -> str:
+    """All phrases of one to five words counted one by one."""
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_A_TO_Z}) AS t FROM documents),
+pieces AS (SELECT rid, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM places, range(1, {collocations.LONGEST + 1}) t(m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, m, phrase, count(*) AS c FROM grams GROUP BY ALL HAVING count(*) >= {least}),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+longer AS (SELECT lang, m - j AS m, array_to_string(w[i:i + m - j - 1], ' ') AS phrase, max(c) AS most FROM (SELECT *, unnest(range(1, j + 2)) AS i FROM cand, range(1, 4) t(j) WHERE m - j > 1) GROUP BY ALL),
+kept AS (SELECT cand.* FROM cand LEFT JOIN longer USING (lang, m, phrase) WHERE most IS NULL OR 100 * most < 100 * c),
+cuts AS (SELECT lang, phrase, c AS a, k, array_to_string(w[1:k], ' ') AS lw, array_to_string(w[k + 1:m], ' ') AS rw FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, k, x.c AS l, y.c AS r, n, (1000::HUGEINT * a * n) // (x.c::HUGEINT * y.c) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lw JOIN f y ON y.lang = cuts.lang AND y.phrase = rw JOIN totals ON totals.lang = cuts.lang),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= {best}"""
+
+
+def spelling_variants() -> str:
+    """Near words through words with a hole and words with a letter less; forms followed by a recursion."""
+    least_length, least_count, noise = permuterm.LEAST_LENGTH, permuterm.LEAST_COUNT, permuterm.NOISE
+    return f"""WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i))),
+runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run))), '..'),
+  lambda x: CAST(concat('0x', x) AS BIGINT))), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM runs, crc),
+changed AS (SELECT CASE WHEN h % {noise} = 0 THEN concat(substr(run, 1, CAST(h % len(run) AS BIGINT)), substr(run, CAST(h % len(run) AS BIGINT) + 2)) ELSE run END AS word, c FROM hashed),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM changed WHERE len(word) >= {least_length} GROUP BY word HAVING sum(c) >= {least_count}),
+holes AS (SELECT word, n, i, substr(word, 1, i - 1) AS x, substr(word, i + 1) AS y FROM (SELECT *, unnest(range(1, len(word) + 1)) AS i FROM w)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.i = b.i AND a.x = b.x AND a.y = b.y AND a.word <> b.word
+  UNION SELECT w.word, holes.word, holes.n FROM holes JOIN w ON w.word = concat(x, y)
+  UNION SELECT holes.word, w.word, w.n FROM holes JOIN w ON w.word = concat(x, y)),
+best AS (SELECT word, near, near_n, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS nth, count(*) OVER (PARTITION BY word) AS n_near FROM pairs),
+formed AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM w LEFT JOIN best ON best.word = w.word AND nth = 1),
+walk(word, at, next) AS (SELECT word, word, form FROM formed UNION ALL SELECT walk.word, formed.word, formed.form FROM walk JOIN formed ON formed.word = walk.next)
+SELECT formed.word, form, at AS root, n, n_near, form_n FROM formed JOIN walk ON walk.word = formed.word AND walk.next IS NULL"""
+
+
+def exact_top_k(k: int = pivots.TOP, every: int = pivots.EVERY, scale: int = pivots.SCALE) -> str:
+    """Every query against every row."""
+    return f"""WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS DOUBLE)) AS vec FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.rid, q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.vec, v.vec) AS BIGINT) AS score FROM v q JOIN v ON q.rid <> v.rid WHERE q.vec_id % {every} = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank <= {k}"""
