@@ -35,7 +35,7 @@ SALTS = 64
 UNKNOWN = "und"
 _STOPS = re.compile(rb"[.,;:!?\n-\r]+")
 #: Most words read at once, so that three local numbers fit into 63 bits.
-_SPAN = 1 << 20
+SPAN = 1 << 20
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -52,7 +52,7 @@ class _Words(dict):
         return number
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[bytes, bytes]], np.ndarray, int]]:
+def _numbered(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[list[tuple[bytes, bytes]], np.ndarray, int]]:
     """(lang, word) by number, the numbers of a slice's texts, 0 between pieces, and how many of them are to be counted.
 
     What follows the counted numbers of a very long text is read again with the next part.
@@ -63,17 +63,17 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[by
         size = 0
         for lang, text in zip(langs, texts, strict=True):
             words = _STOPS.sub(b" . ", text.lower()).split()
-            if size + len(words) > _SPAN and held:
-                yield from _spans(held)
+            if size + len(words) > span and held:
+                yield from _spans(held, span)
                 held, size = [], 0
             held.append((lang, words))
             size += len(words) + 1
         if held:
-            yield from _spans(held)
+            yield from _spans(held, span)
 
 
-def _spans(held: list[tuple[bytes, list[bytes]]]) -> Iterator[tuple[list[tuple[bytes, bytes]], np.ndarray, int]]:
-    if len(held) > 1 or len(held[0][1]) <= _SPAN:
+def _spans(held: list[tuple[bytes, list[bytes]]], span: int) -> Iterator[tuple[list[tuple[bytes, bytes]], np.ndarray, int]]:
+    if len(held) > 1 or len(held[0][1]) <= span:
         seen, tables, numbers = [(b"", b".")], {}, []
         for lang, words in held:
             table = tables.get(lang) or tables.setdefault(lang, _Words(lang, seen))
@@ -82,10 +82,10 @@ def _spans(held: list[tuple[bytes, list[bytes]]]) -> Iterator[tuple[list[tuple[b
         yield seen, np.array(numbers, np.int64), len(numbers)
         return
     (lang, words), = held
-    for begin in range(0, len(words), _SPAN):
+    for begin in range(0, len(words), span):
         seen = [(b"", b".")]
-        numbers = np.fromiter(map(_Words(lang, seen).__getitem__, words[begin : begin + _SPAN + LONGEST - 1]), np.int64)
-        yield seen, np.append(numbers, 0), min(_SPAN, len(words) - begin)
+        numbers = np.fromiter(map(_Words(lang, seen).__getitem__, words[begin : begin + span + LONGEST - 1]), np.int64)
+        yield seen, np.append(numbers, 0), min(span, len(words) - begin)
 
 
 def _hashes(seen: list[tuple[bytes, bytes]]) -> np.ndarray:
@@ -100,20 +100,25 @@ def _pair_counter(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (((first * _MIX2 ^ (second >> np.uint64(7)) ^ second) * _MIX) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
-def _count_hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for seen, numbers, counted in _numbered(batches):
-        hashes = _hashes(seen)
-        words = np.bincount(numbers[:counted], minlength=len(seen))[1:]
-        both = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
-        both = both[both < counted]
-        pairs, n = np.unique(numbers[both] << 32 | numbers[both + 1], return_counts=True)
-        counters = np.concatenate([_word_counter(hashes[1:]), _pair_counter(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF])])
-        yield pa.RecordBatch.from_arrays([pa.array(counters), pa.array(np.concatenate([words, n]).astype(np.int64))], ["counter", "n"])
+def _count_hashed(span: int):
+    """mapInArrow function: (counter, n) of the words and pairs of neighbours, by slice."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seen, numbers, counted in _numbered(batches, span):
+            hashes = _hashes(seen)
+            words = np.bincount(numbers[:counted], minlength=len(seen))[1:]
+            both = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
+            both = both[both < counted]
+            pairs, n = np.unique(numbers[both] << 32 | numbers[both + 1], return_counts=True)
+            counters = np.concatenate([_word_counter(hashes[1:]), _pair_counter(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF])])
+            yield pa.RecordBatch.from_arrays([pa.array(counters), pa.array(np.concatenate([words, n]).astype(np.int64))], ["counter", "n"])
+
+    return run
 
-def frequent_bits(texts: DataFrame, least: int) -> np.ndarray:
+
+def frequent_bits(texts: DataFrame, least: int, span: int = SPAN) -> np.ndarray:
     """One bit for each counter, as bytes: have the words and pairs of that hash ``least`` occurrences together?"""
-    sums = texts.mapInArrow(_count_hashed, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    sums = texts.mapInArrow(_count_hashed(span), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     # Positions start at 1, so that a map of 32,768 bits begins at a whole byte.
     place = F.col("counter") + 1
     maps = sums.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
@@ -128,11 +133,11 @@ def _has(bits: np.ndarray, counter: np.ndarray) -> np.ndarray:
     return (bits[counter >> 3] >> (counter & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _grams(bits: np.ndarray):
+def _grams(bits: np.ndarray, span: int):
     """mapInArrow function: (lang, m, gram, n), the grams that words open, counted within a slice; m = 0 counts the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seen, numbers, counted in _numbered(batches):
+        for seen, numbers, counted in _numbered(batches, span):
             hashes = _hashes(seen)
             linked = np.append((numbers[:-1] > 0) & (numbers[1:] > 0), False)
             at = np.flatnonzero(linked)
@@ -183,7 +188,7 @@ def _rest(gram: str, k: Column | int) -> Column:
     return F.substring(F.col(gram), F.length(_first(gram, k)) + 2, F.length(gram))
 
 
-def phrase_counts(df: DataFrame, least: int = LEAST, text: str = "text", lang: str = "lang") -> DataFrame:
+def phrase_counts(df: DataFrame, least: int = LEAST, text: str = "text", lang: str = "lang", span: int = SPAN) -> DataFrame:
     """(lang, m, gram, n) of every phrase of one to five words with ``least`` occurrences, and all words' number as m = 0.
 
     Texts are lower-cased (A-Z), cut at stops and line ends into pieces and at blanks and
@@ -191,7 +196,7 @@ def phrase_counts(df: DataFrame, least: int = LEAST, text: str = "text", lang: s
     each; an empty table gives no rows; texts of any length are read whole.
     """
     texts = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-    grams = texts.mapInArrow(_grams(frequent_bits(texts, least)), "lang string, m int, gram string, n long")
+    grams = texts.mapInArrow(_grams(frequent_bits(texts, least, span), span), "lang string, m int, gram string, n long")
     grams = checkpointed(grams.groupBy("lang", "m", "gram").agg(F.sum("n").alias("n")))
     level = grams.filter(F.col("m") == LONGEST).select("lang", "gram", "n")
     counts = level.withColumn("m", F.lit(LONGEST))
@@ -232,7 +237,11 @@ def repeated_passages(counts: DataFrame) -> DataFrame:
     return paths.select("lang", F.concat(F.slice(F.split("first", " "), 1, LONGEST - 1), F.col("steps.word")).alias("words"), "n")
 
 
-def collocations(df: DataFrame, least: int = LEAST, best: int = BEST, text: str = "text", lang: str = "lang") -> DataFrame:
+#: floor(1000 * a * n / (l * r)) in whole decimals of 38 digits.
+SCORE = "CAST(1000 AS DECIMAL(4,0)) * (CAST(a AS DECIMAL(19,0)) * CAST(n AS DECIMAL(18,0))) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(18,0)))"
+
+
+def collocations(df: DataFrame, least: int = LEAST, best: int = BEST, text: str = "text", lang: str = "lang", span: int = SPAN) -> DataFrame:
     """Each language's ``best`` phrases: lang, rank, phrase, a, l, r, n, score.
 
     Scores are exact while a * n stays below 10^35.  A phrase is dropped if a longer one that
@@ -240,7 +249,7 @@ def collocations(df: DataFrame, least: int = LEAST, best: int = BEST, text: str
     Ties go to the more frequent phrase, then by bytes.  Ranking takes each language's rows
     in parts first, so that no task ranks a whole language.
     """
-    counts = phrase_counts(df, least, text, lang)
+    counts = phrase_counts(df, least, text, lang, span)
     paths = repeated_passages(counts)
     places = F.sequence(F.lit(1), F.size("words") - (LONGEST - 1))
     edges = paths.select("lang", "n", "words", F.explode(places).alias("i")).select("lang", F.lit(LONGEST).alias("m"), F.array_join(F.slice("words", F.col("i"), LONGEST), " ").alias("gram"), "n")
@@ -255,8 +264,7 @@ def collocations(df: DataFrame, least: int = LEAST, best: int = BEST, text: str
     cuts = cuts.join(known.select("lang", F.col("gram").alias("_right"), F.col("n").alias("r")), ["lang", "_right"])
     totals = counts.filter("m = 0").select("lang", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
     cuts = cuts.join(totals, ["lang", "_salt"])
-    score = F.expr("CAST(1000 AS DECIMAL(4,0)) * (CAST(a AS DECIMAL(19,0)) * CAST(n AS DECIMAL(18,0))) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(18,0)))")
-    lowest = cuts.withColumn("score", score).groupBy("lang", "phrase", "_salt").agg(F.min(F.struct("score", "k", "l", "r")).alias("_cut"), F.first("a").alias("a"), F.first("n").alias("n"))
+    lowest = cuts.withColumn("score", F.expr(SCORE)).groupBy("lang", "phrase", "_salt").agg(F.min(F.struct("score", "k", "l", "r")).alias("_cut"), F.first("a").alias("a"), F.first("n").alias("n"))
     scored = lowest.select("lang", "phrase", "_salt", "a", "_cut.l", "_cut.r", "n", "_cut.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))

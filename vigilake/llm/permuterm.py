@@ -24,6 +24,10 @@ from vigilake.llm.common import checkpointed, text_slices
 LEAST_LENGTH, LEAST_COUNT, NOISE = 5, 3, 97
 #: Ends a word in its rotations; no letter.
 END = "$"
+#: Rotations of longer words are hashed; by these two bases and this prime.
+SPELT, _BASES, _PRIME = 64, (1_000_003, 998_244_353), (1 << 61) - 1
+#: Kinds of rotations; the last two add up to a sum that no other two kinds have.
+_SKIPS, _ENDS_RUN, _WHOLE = 0, 1, 3
 _RUN = re.compile("[a-zÀ-ÿ]+")
 
 
@@ -56,52 +60,86 @@ def count_words(df: DataFrame, least_length: int = LEAST_LENGTH, least_count: in
     return found.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
 
 
+def _rotation_keys(word: str) -> tuple[list[str], list[str]]:
+    """For every letter the rotation behind it without that letter, and all whole rotations."""
+    size, ring = len(word), word + END + word
+    if size <= SPELT:
+        return [ring[i + 1 : i + 1 + size] for i in range(size)], [ring[i : i + size + 1] for i in range(size + 1)]
+    hashes = []
+    for base in _BASES:
+        summed, power = [0], [1]
+        for c in map(ord, ring):
+            summed.append((summed[-1] * base + c) % _PRIME)
+            power.append(power[-1] * base % _PRIME)
+        hashes.append((summed, power))
+    key = lambda a, b: END + " ".join(str((h[b] - h[a] * w[b - a]) % _PRIME) for h, w in hashes) + f" {b - a}"
+    return [key(i + 1, i + 1 + size) for i in range(size)], [key(i, i + size + 1) for i in range(size + 1)]
+
+
+def _rotations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Three kinds of rows (key, kind, id): a letter is skipped, so is the last of its run of equal letters, none is."""
+    for batch in batches:
+        keys, kinds, ids = [], [], []
+        for word, number in zip(batch.column("word").to_pylist(), batch.column("id").to_pylist(), strict=True):
+            skipping, whole = _rotation_keys(word)
+            keys += skipping
+            kinds += [_ENDS_RUN if i + 1 == len(word) or word[i] != word[i + 1] else _SKIPS for i in range(len(word))]
+            keys += whole
+            kinds += [_WHOLE] * len(whole)
+            ids += [number] * (len(skipping) + len(whole))
+            if len(keys) > 1 << 16:
+                yield _rotation_rows(keys, kinds, ids)
+                keys, kinds, ids = [], [], []
+        yield _rotation_rows(keys, kinds, ids)
+
+
+def _rotation_rows(keys: list[str], kinds: list[int], ids: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(kinds, pa.int32()), pa.array(ids, pa.int64())], ["key", "kind", "id"])
+
+
 def near_words(words: DataFrame) -> DataFrame:
-    """(word, n_near, near, near_n): how many words of ``words`` (word, n; distinct) are one edit away, and their most frequent.
+    """(id, n_near, near): how many of ``words`` (distinct word, id) are one edit away, and the smallest id of those.
 
-    Ties go to the smallest in code-point order; words without near ones are absent.
+    Words without near ones are absent.  Rotations of words over SPELT code points are
+    compared by two 61-bit hashes, which take time in proportion to the word.
     """
-    size = F.length("word")
-    turned = lambda start, stop: F.concat(F.substring(F.col("word"), start, size), F.lit(END), F.substring(F.col("word"), F.lit(1), stop))
-    letter = lambda i: F.substring(F.col("word"), i, F.lit(1))
-    kinds = "array<struct<key: string, skips: boolean, ends_run: boolean>>"
-    row = lambda key, skips, ends: F.struct(key.alias("key"), skips.alias("skips"), ends.alias("ends_run"))
-    skipping = F.transform(F.sequence(F.lit(1), size), lambda i: row(turned(i + 1, i - 1), F.lit(True), (i == size) | (letter(i) != letter(i + 1))))
-    whole = F.transform(F.sequence(F.lit(1), size + 1), lambda i: row(turned(i, i - 1), F.lit(False), F.lit(False)))
-    rotated = words.select("word", "n", F.explode(F.concat(skipping.cast(kinds), whole.cast(kinds))).alias("r")).select("r.*", "word", "n")
+    rotated = words.select("word", "id").mapInArrow(_rotations, "key string, kind int, id long")
     # A group holds a word for each letter of the alphabet at most, and the one without that letter.
-    groups = rotated.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("rank"), "word", "skips", "ends_run"))).alias("found"))
-    groups = groups.filter(F.size("found") > 1)
+    groups = rotated.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "kind"))).alias("found")).filter(F.size("found") > 1)
 
-    def neighbours(own):
-        near = lambda x: (x["word"] != own["word"]) & ((own["skips"] & x["skips"]) | (own["ends_run"] & ~x["skips"]) | (~own["skips"] & x["ends_run"]))
-        return F.filter("found", near)
+    def near(own, x):
+        both_skip = (own["kind"] != _WHOLE) & (x["kind"] != _WHOLE)
+        return (x["id"] != own["id"]) & (both_skip | (own["kind"] + x["kind"] == _ENDS_RUN + _WHOLE))
 
-    each = groups.select(F.explode(F.transform("found", lambda own: F.struct(own["word"].alias("word"), neighbours(own).alias("near")))).alias("x"))
-    each = each.select("x.word", F.size("x.near").cast("long").alias("n_near"), F.get("x.near", F.lit(0)).alias("first")).filter("n_near > 0")
-    best = F.min(F.struct("first.rank", "first.word"))
-    summed = each.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best"))
-    return summed.select("word", "n_near", F.col("best.word").alias("near"), (-F.col("best.rank")).alias("near_n"))
+    each = groups.select(F.explode(F.transform("found", lambda own: F.struct(own["id"].alias("id"), F.filter("found", lambda x: near(own, x))["id"].alias("near")))).alias("x"))
+    each = each.select("x.id", F.size("x.near").cast("long").alias("n_near"), F.get("x.near", F.lit(0)).alias("near")).filter("n_near > 0")
+    return each.groupBy("id").agg(F.sum("n_near").alias("n_near"), F.min("near").alias("near"))
 
 
 def variant_groups(df: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT, times: int = 2) -> DataFrame:
     """Every word with its form and root: word, form, root, n, n_near, form_n.
 
-    The form is the most frequent near word, if it is ``times`` as frequent; the root is where
-    forms lead.  Counts at least double along the way, so that pointer jumping ends after
-    six rounds at most.  An empty table gives no rows; repeated rows count each.
+    The form is the most frequent near word, if it is ``times`` as frequent (2 or more); ties
+    go to the smallest in code-point order.  The root is where forms lead: counts at least
+    double along the way, so that pointer jumping ends after some six rounds.  An empty
+    table gives no rows; repeated rows count each; words of any length take part.
     """
-    words = checkpointed(count_words(df, least_length, least_count))
-    far = words.join(near_words(words), "word", "left")
+    # Sorted by count and word, so that the smallest id is the best near word.
+    words = checkpointed(count_words(df, least_length, least_count).orderBy(F.desc("n"), "word").withColumn("id", F.monotonically_increasing_id()))
+    far = words.join(near_words(words), "id", "left")
+    other = words.select(F.col("id").alias("near"), F.col("word").alias("near_word"), F.col("n").alias("near_n"))
     taken = F.col("near_n") >= times * F.col("n")
     formed = checkpointed(
-        far.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(taken, F.col("near")).alias("form"), F.when(taken, F.col("near_n")).alias("form_n"))
+        far.join(other, "near", "left").select(
+            "id", "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), *(F.when(taken, F.col(c)).alias(d) for c, d in (("near", "up"), ("near_word", "form"), ("near_n", "form_n")))
+        )
     )
-    rooted = formed.filter("form IS NOT NULL").select("word", F.col("form").alias("root"))
+    rooted = formed.filter("up IS NOT NULL").select("id", F.col("up").alias("root"))
     going = True
     while going:
-        further = rooted.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        jumped = checkpointed(rooted.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        further = rooted.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        jumped = checkpointed(rooted.join(further, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         going = not jumped.filter("moved").isEmpty()
-        rooted = jumped.select("word", "root")
-    return formed.join(rooted, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+        rooted = jumped.select("id", "root")
+    named = rooted.join(words.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
+    return formed.join(named, "id", "left").select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")

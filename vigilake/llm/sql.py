@@ -91,8 +91,8 @@ _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 def collocation_ranks(least: int = collocations.LEAST, best: int = collocations.BEST) -> str:
     """All phrases of one to five words counted one by one."""
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_A_TO_Z}) AS t FROM documents),
-pieces AS (SELECT rid, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
-words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+pieces AS (SELECT rid, lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
 places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
 grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM places, range(1, {collocations.LONGEST + 1}) t(m) WHERE i + m - 1 <= len(w)),
 f AS (SELECT lang, m, phrase, count(*) AS c FROM grams GROUP BY ALL HAVING count(*) >= {least}),
@@ -113,7 +113,7 @@ def spelling_variants() -> str:
     least_length, least_count, noise = permuterm.LEAST_LENGTH, permuterm.LEAST_COUNT, permuterm.NOISE
     return f"""WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS tab FROM (
   SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i))),
-runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
 hashed AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run))), '..'),
   lambda x: CAST(concat('0x', x) AS BIGINT))), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM runs, crc),
 changed AS (SELECT CASE WHEN h % {noise} = 0 THEN concat(substr(run, 1, CAST(h % len(run) AS BIGINT)), substr(run, CAST(h % len(run) AS BIGINT) + 2)) ELSE run END AS word, c FROM hashed),
@@ -125,8 +125,8 @@ pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b
 best AS (SELECT word, near, near_n, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS nth, count(*) OVER (PARTITION BY word) AS n_near FROM pairs),
 formed AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
   FROM w LEFT JOIN best ON best.word = w.word AND nth = 1),
-walk(word, at, next) AS (SELECT word, word, form FROM formed UNION ALL SELECT walk.word, formed.word, formed.form FROM walk JOIN formed ON formed.word = walk.next)
-SELECT formed.word, form, at AS root, n, n_near, form_n FROM formed JOIN walk ON walk.word = formed.word AND walk.next IS NULL"""
+walk(word, reached, onward) AS (SELECT word, word, form FROM formed UNION ALL SELECT walk.word, formed.word, formed.form FROM walk JOIN formed ON formed.word = walk.onward)
+SELECT formed.word, form, reached AS root, n, n_near, form_n FROM formed JOIN walk ON walk.word = formed.word AND walk.onward IS NULL"""
 
 
 def exact_top_k(k: int = pivots.TOP, every: int = pivots.EVERY, scale: int = pivots.SCALE) -> str:
