@@ -54,7 +54,133 @@ def test_frozen_model_does_not_absorb_and_a_fast_one_does():
 
 def test_unknown_method_is_an_error():
     with pytest.raises(ValueError):
-        models.background_model("GMG", 4, 4)
+        models.background_model("MOG", 4, 4)
+
+
+def moving_clip(h, w, n, seed=1, noise=9):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(30, 220, (h, w, 3))
+    for i in range(n):
+        frame = base + rng.normal(0, noise, (h, w, 3))
+        frame[h // 4 : h // 2, (3 * i) % w :][:, :6] = 210 if i % 5 else rng.integers(0, 255, 3)
+        frame[h // 2 :, :4] *= 0.7
+        yield np.clip(frame, 0, 255).astype(np.uint8)
+
+
+def plain_mixture(frames, history, threshold):
+    """Zivkovic's mixture, pixel by pixel and mode by mode."""
+    one = np.float32
+    modes = {}
+    for t, frame in enumerate(frames, 1):
+        rate = one(1 / min(2 * t, history))
+        out = np.zeros(frame.shape[:2], np.uint8)
+        for place in np.ndindex(*frame.shape[:2]):
+            x = frame[place].astype(np.float32)
+            held = modes.setdefault(place, [])
+            background, dark, total, fit = False, False, one(0), None
+            for mode in held:
+                w, v, m = mode
+                off = x - m
+                far = off[0] * off[0] + off[1] * off[1] + off[2] * off[2]
+                total += w
+                if total - w < one(0.9):
+                    background |= bool(far < threshold * v)
+                    dot, square = x[0] * m[0] + x[1] * m[1] + x[2] * m[2], m[0] * m[0] + m[1] * m[1] + m[2] * m[2]
+                    if square > 0 and 0.5 * square <= dot <= square:
+                        share = dot / square
+                        d = share * m - x
+                        dark |= bool(d[0] * d[0] + d[1] * d[1] + d[2] * d[2] < one(threshold) * v * share * share)
+                if fit is None and far < one(9) * v:
+                    fit = mode
+            out[place] = 0 if background else 127 if dark else 255
+            for mode in held:
+                mode[0] = mode[0] * (1 - rate) - rate * 0.05 + (rate if mode is fit else one(0))
+            held[:] = [m for m in held if m[0] >= rate * 0.05]
+            if fit is not None:
+                off = x - fit[2]
+                far, pace = off[0] * off[0] + off[1] * off[1] + off[2] * off[2], rate / fit[0]
+                fit[1] = np.clip(fit[1] + pace * (far - fit[1]), one(4), one(75))
+                fit[2] = fit[2] + pace * off
+            else:
+                if len(held) == 5:
+                    held.pop(min(range(5), key=lambda i: held[i][0]))
+                left = sum((m[0] for m in held), one(0))
+                for mode in held:
+                    mode[0] = mode[0] * ((1 - rate) / left)
+                held.append([rate if held else one(1), one(15), x])
+            total = sum((m[0] for m in held), one(0))
+            for mode in held:
+                mode[0] = mode[0] / total
+            held.sort(key=lambda m: -m[0])
+        yield out
+
+
+@pytest.mark.parametrize("threshold", [5.0, 16.0])
+def test_mixture_equals_a_plain_loop(threshold):
+    clip = list(moving_clip(9, 11, 50))
+    model = models.Mixture(9, 11, history=30, threshold=threshold)
+    assert all((model.apply(f) == m).all() for f, m in zip(clip, plain_mixture(clip, 30, threshold), strict=True))
+
+
+def test_samples_equal_a_plain_loop():
+    clip = list(moving_clip(9, 11, 60, noise=6))
+    model, stored, seen = models.Samples(9, 11, history=40), [], 0
+    for frame in clip:
+        seen += 1
+        x = frame.astype(np.int64)
+        near = [((x - s) ** 2).sum(-1) < 400 for s, _ in stored]
+        counted = sum((n & c).astype(int) for n, (_, c) in zip(near, stored, strict=True)) if stored else np.zeros((9, 11))
+        background = (counted >= min(2, max(1, len(stored)))) & bool(stored)
+        dark = np.zeros((9, 11), bool)
+        for s, c in stored:
+            dot, square = (x * s).sum(-1), (s * s).sum(-1)
+            share = np.divide(dot, square, out=np.zeros((9, 11)), where=square > 0)
+            dark |= c & (square > 0) & (dot <= square) & (2 * dot >= square) & (((share[..., None] * s - x) ** 2).sum(-1) < 400 * share * share)
+        want = np.where(background, 0, np.where(dark, 127, 255))
+        assert (model.apply(frame) == want).mean() > 0.995  # a shadow at the very edge may round otherwise
+        familiar = sum(n.astype(int) for n in near) >= 2 if near else np.zeros((9, 11), bool)
+        turn = (seen * 2654435761) & 0xFFFFFFFF
+        if len(stored) < 21:
+            stored.append((x, familiar | (len(stored) < 2)))
+        elif turn / 2**32 < min(1.0, 21 / min(2 * seen, 40)):
+            stored[(turn >> 7) % 21] = (x, familiar)
+
+
+def test_histograms_equal_a_plain_loop():
+    clip = list(moving_clip(7, 9, 80, noise=20))
+    model = models.Histograms(7, 9, start=12)
+    held = {place: {} for place in np.ndindex(7, 9)}
+    for t, frame in enumerate(clip, 1):
+        got = model.apply(frame)
+        for place, shares in held.items():
+            colour = tuple(int(c) // 16 for c in frame[place])
+            if t <= 12:
+                assert got[place] == 0
+                shares[colour] = shares.get(colour, 0) + 1
+            else:
+                p = shares.get(colour, 0.0)
+                posterior = 1 - p * 0.8 / (p * 0.8 + (1 - p) * 0.2)
+                assert abs(posterior - 0.8) < 1e-4 or (got[place] == 255) == (posterior > 0.8)
+                for c in shares:
+                    shares[c] *= 1 - 0.025
+                if colour not in shares and len(shares) == 64:
+                    del shares[min(shares, key=shares.get)]
+                shares[colour] = shares.get(colour, 0) + 0.025
+            if t >= 12:
+                total = sum(shares.values())
+                for c in shares:
+                    shares[c] /= total
+
+
+@pytest.mark.parametrize("method", models.ALL_METHODS)
+def test_a_restored_model_goes_on_alike(method):
+    clip = list(moving_clip(20, 30, 150))
+    model = models.background_model(method, 20, 30, history=50)
+    for frame in clip[:130]:
+        model.apply(frame)
+    other = models.background_model(method, 20, 30, history=50)
+    other.restore({k: v.copy() for k, v in model.state().items()})
+    assert all((model.apply(f) == other.apply(f)).all() for f in clip[130:])
 
 
 def test_night_threshold_and_explicit_one():

@@ -17,30 +17,33 @@ def ellipse(size: int = 5) -> np.ndarray:
     return np.abs(np.arange(size) - r)[None, :] <= half[:, None]
 
 
-def _shifted(mask: np.ndarray, dy: int, dx: int, fill: bool) -> np.ndarray:
-    out = np.full_like(mask, fill)
+def _add_shifted(out: np.ndarray, mask: np.ndarray, dy: int, dx: int) -> None:
+    """out |= mask moved by (dy, dx); what leaves the picture is lost."""
     h, w = mask.shape
     if abs(dy) < h and abs(dx) < w:
-        out[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)] = mask[max(0, dy) : h - max(0, -dy), max(0, dx) : w - max(0, -dx)]
-    return out
+        out[max(0, dy) : h - max(0, -dy), max(0, dx) : w - max(0, -dx)] |= mask[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)]
 
 
 def dilate(mask: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """Union over the kernel; nothing beyond the border."""
+    """Union over the kernel, whose rows are centred runs; nothing beyond the border.
+
+    The mask is widened step by step, and each row of the kernel takes the width it needs.
+    """
     r = kernel.shape[0] // 2
-    out = np.zeros_like(mask)
-    for y, x in np.argwhere(kernel) - r:
-        out |= _shifted(mask, y, x, False)
+    half = kernel.sum(1) // 2
+    out, wide = np.zeros_like(mask), mask.copy()
+    for reach in range(int(half.max()) + 1):
+        if reach:
+            _add_shifted(wide, mask, 0, reach)
+            _add_shifted(wide, mask, 0, -reach)
+        for dy in np.flatnonzero((half == reach) & kernel[:, r]) - r:
+            _add_shifted(out, wide, int(dy), 0)
     return out
 
 
 def erode(mask: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     """Intersection over the kernel; the border counts as set."""
-    r = kernel.shape[0] // 2
-    out = np.ones_like(mask)
-    for y, x in np.argwhere(kernel) - r:
-        out &= _shifted(mask, y, x, True)
-    return out
+    return ~dilate(~mask, kernel)
 
 
 def clean(raw: np.ndarray, kernel_size: int = 5) -> np.ndarray:
