@@ -1,4 +1,6 @@
 import datetime as dt
+import os
+import re
 import struct
 import zlib
 
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilake.functions import columns as C
-from vigilake.operators import background, compaction, coverage, objects, scenes, scorecard, segments
+from vigilake.operators import background, compaction, coverage, objects, resume, scenes, scorecard, segments
 from vigilake.pixels import masks, models, regions
 from vigilake.schemas import FRAMES, SEGMENTS
 from vigilake.sources import frames as sources
@@ -60,7 +62,7 @@ def test_index_on_disk(spark, index, tmp_path):
     sinks.append_segments(index, path)
     sinks.append_segments(index, path)
     back = sources.open_index(spark, path)
-    assert back.count() == 6 and back.schema.names == [*SEGMENTS.names, "date"]
+    assert back.count() == 6 and back.schema.names == [*SEGMENTS.names, "date", "batch"]
     assert not sinks.save_csv(index.filter("id > 99"), str(tmp_path / "none"))
     assert sinks.save_csv(index, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
@@ -215,7 +217,7 @@ def test_background_jobs_equal_a_plain_loop_however_they_are_cut(spark):
     night = as_set(background.subtract_background(table, night_mode=True, **options))
     assert night == as_set(background.subtract_background(table, night_mode=True, tile=20, **options))
     with pytest.raises(ValueError):
-        background.subtract_background(table, methods=("GMG",))
+        background.subtract_background(table, methods=("MOG",))
 
 
 def test_packing_and_quality(spark):
@@ -292,3 +294,87 @@ def test_ratios_of_files(spark, tmp_path):
     assert sorted(r.compression_ratio for r in scenes.file_ratios(pairs, listing).collect()) == [6.0, 6000.0]
     with pytest.raises(Exception, match="no such file"):
         scenes.file_ratios(spark.createDataFrame([("x", "y")], "original string, compressed string"), listing).collect()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def many_days(spark, days=12):
+    rows = [(d, f"202601{d + 1:02d}T120000Z", f"cam_{d % 2}", 1, 1, 100, 60.0, f"f{d}") for d in range(days)]
+    return spark.createDataFrame(rows, SEGMENTS)
+
+
+def test_look_backs_open_only_their_days(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = many_days(spark)
+    sinks.append_segments(rows, path)
+    index = sources.open_index(spark, path)
+    for ask in (lambda x: segments.recent_targets(x, "cam_1", 48, "2026-01-12 13:00:00"), lambda x: segments.retained(x, 3, "2026-01-12 13:00:00")):
+        plan = plan_of(ask(index))
+        assert re.search(r"PartitionFilters: \[.*date#\d+ >= 202601(09|10)", plan)
+        assert sorted(r.id for r in ask(index).collect()) == sorted(r.id for r in ask(rows).collect())
+    assert "camera_id,cam_1" in plan_of(segments.recent_targets(index, "cam_1", 48, "2026-01-12 13:00:00"))
+    days = segments.daily_storage(index)
+    assert "timestamp" not in re.search("ReadSchema.*", plan_of(days))[0] and days.count() == 12
+
+
+def test_a_batch_written_twice_is_there_once(spark, tmp_path):
+    path = str(tmp_path / "index")
+    for _ in range(2):
+        sinks.append_segments(many_days(spark), path, "feed-1")
+        sinks.append_segments(many_days(spark, 3), path, "feed-2")
+    found = sources.open_index(spark, path)
+    assert found.count() == 15 and {r.batch for r in found.select("batch").distinct().collect()} == {"feed-1", "feed-2"}
+
+
+def test_retention_hides_days_and_then_removes_them(spark, tmp_path):
+    path = str(tmp_path / "index")
+    sinks.append_segments(many_days(spark), path)
+    before = sources.open_index(spark, path)
+    now = dt.datetime(2026, 1, 12, 13)
+    assert sinks.expire_segments(spark, path, 5, now) == []
+    assert sources.open_index(spark, path).agg(F.min("date")).first()[0] == "20260107" and before.count() == 12
+    assert sinks.expire_segments(spark, path, 3, now + dt.timedelta(hours=12)) == []
+    assert sinks.expire_segments(spark, path, 3, now + dt.timedelta(hours=25)) == [f"202601{d:02d}" for d in range(1, 7)]
+    assert not (tmp_path / "index" / "date=20260106").exists() and (tmp_path / "index" / "date=20260107").exists()
+    assert sources.open_index(spark, path).agg(F.min("date")).first()[0] == "20260110"
+
+
+def noisy_scene(n, seed=0, h=36, w=44):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(40, 200, (h, w, 3))
+    for i in range(n):
+        frame = base + rng.normal(0, 3, base.shape)
+        frame[8:24, (3 * i) % (w - 12) :][:, :12] = 230
+        yield np.clip(frame, 0, 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("tile", [None, 16])
+def test_steps_give_what_one_run_gives(spark, tmp_path, tile):
+    table = frame_table(spark, {"one": list(noisy_scene(23)), "two": list(noisy_scene(9, 1))})
+    options = {"methods": models.ALL_METHODS, "min_area": 10, "pad": 2, "history": 30, "tile": tile}
+    want = as_set(background.subtract_background(table, **options))
+    folder = str(tmp_path / "steps")
+    # A day's frames, then the rest; the last step is lost after its files were begun.
+    first = resume.run(table.filter("frame_idx < 10"), folder, every=7, **options)
+    assert first.count() == 3 * 19
+    os.remove(tmp_path / "steps" / f"step={resume.finished_steps(spark, folder)[-1]}" / "_SUCCESS")
+    whole = resume.run(table, folder, every=7, **options)
+    assert as_set(whole) == want
+    assert len(resume.finished_steps(spark, folder)) >= 4
+    assert sum(n.startswith("kind=state") for s in (tmp_path / "steps").iterdir() for n in os.listdir(s)) <= 2
+    assert not resume.advance(table, folder, 7, background.Options(**options))
+
+
+def test_a_broken_scene_does_not_end_the_job(spark, tmp_path):
+    table = frame_table(spark, {"good": list(noisy_scene(6)), "bad": list(noisy_scene(6, 1))})
+    broken = table.withColumn("px", F.when((F.col("scene") == "bad") & (F.col("frame_idx") == 3), F.lit(b"xx")).otherwise(F.col("px")))
+    for tile in (None, 16):
+        folder = str(tmp_path / f"t{tile}")
+        found = resume.run(broken, folder, every=4, methods=("MOG2",), min_area=10, tile=tile)
+        assert {(r.scene, r["count"]) for r in found.groupBy("scene").count().collect()} >= {("good", 6)}
+        (bad,) = resume.stored_rejects(spark, folder).collect()
+        assert (bad.scene, bad.frame_idx) == ("bad", 3) and "reshape" in bad.reason
+    with pytest.raises(Exception, match="reshape"):
+        background.subtract_background(broken, methods=("MOG2",)).count()

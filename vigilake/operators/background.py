@@ -3,24 +3,98 @@
 A pixel's model depends on its own past only, so a clip may be cut into tiles as well as
 cameras: tiles are the unit of work and of skew.  Frames of a (scene, tile) come to one
 task in order and stream through it in Arrow batches; only model state is held.
+
+What a fold gives is one table of three kinds of rows: frames, states (a model's arrays
+after a key's last frame, when asked for) and rejects (a key that failed, and why).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vigilake.pixels import enhance, masks, models, regions
+from vigilake.schemas import FRAME_ACTIVITY, REGIONS
 
 #: Pixels around a tile that its cleaned mask depends on (close and open, radius 2 each way).
 HALO = 8
-_REGION = pa.list_(pa.struct([(n, pa.int32()) for n in ("x", "y", "w", "h", "area")]))
-_KEYS = "category string, scene string"
-_OUT = f"{_KEYS}, method string, frame_idx long, width int, height int, coverage double, regions array<struct<x:int,y:int,w:int,h:int,area:int>>"
+FRAME, STATE, REJECT = "frame", "state", "reject"
+#: Part of both tables: which tile of which frame, and where it stands.
+_PLACE = [
+    *((n, T.StringType()) for n in ("category", "scene", "method")),
+    ("frame_idx", T.LongType()),
+    ("night", T.BooleanType()),
+    *((n, T.IntegerType()) for n in ("width", "height", "tx", "ty", "x0", "y0", "w", "h")),
+    *((n, T.StringType()) for n in ("name", "dtype", "reason")),
+    ("shape", T.ArrayType(T.IntegerType())),
+]
+#: What goes into a fold: a tile's pixels, or one array of a model (``name``, ``dtype``, ``shape``) before all frames.
+_IN = T.StructType([T.StructField(*f) for f in [*_PLACE, ("px", T.BinaryType())]])
+ROWS = T.StructType([T.StructField(*f) for f in [("kind", T.StringType()), *_PLACE, ("coverage", T.DoubleType()), ("regions", REGIONS), ("mask", T.BinaryType()), ("data", T.BinaryType())]])
+_KEY = ("category", "scene", "tx", "ty")
+
+
+@dataclass(frozen=True)
+class Options:
+    """How models run; ``tile`` is a side in pixels, ``strict`` lets a bad frame fail the job instead of its scene."""
+
+    methods: tuple[str, ...] = models.METHODS
+    night_mode: bool = False
+    use_clahe: bool = False
+    min_area: int = 500
+    pad: int = 20
+    history: int = 500
+    learning_rate: float = -1
+    var_threshold: float | None = None
+    kernel_size: int = 5
+    clahe_clip: float = 2.0
+    clahe_tiles: int = 8
+    tile: int | None = None
+    partitions: int | None = None
+    strict: bool = True
+
+    def prepared(self, row: dict) -> np.ndarray:
+        frame = frame_array(row)
+        return enhance.enhance(frame, self.clahe_clip, self.clahe_tiles) if row["night"] or self.use_clahe else frame
+
+    def model(self, method: str, height: int, width: int, night: bool):
+        return models.background_model(method, height, width, night=night, var_threshold=self.var_threshold, history=self.history, learning_rate=self.learning_rate)
+
+    @property
+    def halo(self) -> int:
+        return 4 * (self.kernel_size // 2)
+
+    def tiles(self, height: int, width: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(tx, ty, x0, y0, w, h): each tile's corner, and where its part with the border begins and how large that is."""
+        side = self.tile or max(height, width, 1)
+        for ty in range(0, height, side):
+            for tx in range(0, width, side):
+                y0, x0 = max(0, ty - self.halo), max(0, tx - self.halo)
+                yield tx, ty, x0, y0, min(width, tx + side + self.halo) - x0, min(height, ty + side + self.halo) - y0
+
+    def own(self, mask: np.ndarray, row: dict) -> np.ndarray:
+        """The tile without its border."""
+        y, x = row["ty"] - row["y0"], row["tx"] - row["x0"]
+        return mask[y : y + min(self.tile, row["height"] - row["ty"]), x : x + min(self.tile, row["width"] - row["tx"])]
+
+    def assembled(self, height: int, width: int, tiles: list[dict]) -> np.ndarray:
+        mask = np.zeros((height, width), bool)
+        for t in tiles:
+            h, w = min(self.tile, height - t["ty"]), min(self.tile, width - t["tx"])
+            mask[t["ty"] : t["ty"] + h, t["tx"] : t["tx"] + w] = masks.unpack(t["mask"], h, w)
+        return mask
+
+    def measured(self, mask: np.ndarray) -> dict:
+        names = ("x", "y", "w", "h", "area")
+        found = regions.regions(mask, self.min_area, self.pad)
+        return {"coverage": masks.coverage(mask), "regions": [dict(zip(names, map(int, r), strict=True)) for r in found]}
 
 
 def frame_array(row: dict) -> np.ndarray:
@@ -33,145 +107,166 @@ def rows_of(batches: Iterator[pa.RecordBatch], at_once: int = 16) -> Iterator[di
             yield from batch.slice(begin, at_once).to_pylist()
 
 
-def packed_rows(rows: Iterator[dict], schema: pa.Schema, at_once: int = 64) -> Iterator[pa.RecordBatch]:
+def packed_rows(rows: Iterator[dict], schema: pa.Schema, at_once: int = 64, most_bytes: int = 64 << 20) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
+    size = 0
     for row in rows:
         held.append(row)
-        if len(held) >= at_once:
+        size += sum(len(v) for v in row.values() if isinstance(v, bytes))
+        if len(held) >= at_once or size >= most_bytes:
             yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
+            held, size = [], 0
     if held:
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-_ACTIVITY = pa.schema(
-    [("category", pa.string()), ("scene", pa.string()), ("method", pa.string()), ("frame_idx", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("coverage", pa.float64()), ("regions", _REGION)]
-)
-
-
-def _result(row: dict, method: str, mask: np.ndarray, min_area: int, pad: int) -> dict:
-    names = ("x", "y", "w", "h", "area")
-    return {
-        **{k: row[k] for k in ("category", "scene", "frame_idx", "width", "height")},
-        "method": method,
-        "coverage": masks.coverage(mask),
-        "regions": [dict(zip(names, map(int, r), strict=True)) for r in regions.regions(mask, min_area, pad)],
-    }
-
-
-def subtract_background(
-    frames: DataFrame,
-    methods: tuple[str, ...] = models.METHODS,
-    night_mode: bool = False,
-    use_clahe: bool = False,
-    min_area: int = 500,
-    pad: int = 20,
-    history: int = 500,
-    learning_rate: float = -1,
-    var_threshold: float | None = None,
-    kernel_size: int = 5,
-    clahe_clip: float = 2.0,
-    clahe_tiles: int = 8,
-    tile: int | None = None,
-    partitions: int | None = None,
-) -> DataFrame:
-    """Coverage and regions of every frame by method; all methods see a frame in one pass.
+def state_rows(model) -> Iterator[dict]:
+    """A model's state, an array a row."""
+    for name, value in model.state().items():
+        yield {"name": name, "dtype": str(value.dtype), "shape": list(value.shape), "data": value.tobytes()}
 
-    ``tile`` (a side in pixels) cuts frames up for large pictures or few cameras; results
-    are those of whole frames.  A column ``night`` of the frames goes before ``night_mode``.
-    Undecodable frames (null ``px``) are skipped.  A change of a scene's picture size starts
-    its models anew.
-    """
-    for method in methods:
-        models.background_model(method, 1, 1)
-    if "night" not in frames.columns:
-        frames = frames.withColumn("night", F.lit(night_mode))
-    rows = frames.select("category", "scene", "frame_idx", "width", "height", F.coalesce("night", F.lit(night_mode)).alias("night"), "px").filter("px IS NOT NULL")
 
-    def prepared(row: dict) -> np.ndarray:
-        frame = frame_array(row)
-        return enhance.enhance(frame, clahe_clip, clahe_tiles) if row["night"] or use_clahe else frame
+def state_arrays(rows: list[dict]) -> dict[str, np.ndarray]:
+    return {r["name"]: np.frombuffer(r["data"], r["dtype"]).reshape(r["shape"]) for r in rows}
 
-    def fresh(row: dict, shape: tuple[int, int]):
-        options = {"history": history, "learning_rate": learning_rate}
-        return {m: models.background_model(m, *shape, night=row["night"], var_threshold=var_threshold, **options) for m in methods}
 
-    def whole(batches):
-        def results():
-            key, state = None, {}
+def _cut(options: Options):
+    """mapInArrow function: the parts of every frame; a frame that cannot be read is one part without pixels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts():
             for row in rows_of(batches):
-                now = (row["category"], row["scene"], row["height"], row["width"])
-                if now != key:
-                    key, state = now, fresh(row, now[2:])
-                frame = prepared(row)
-                for method, model in state.items():
-                    yield _result(row, method, masks.clean(model.apply(frame), kernel_size), min_area, pad)
+                kept = {k: row[k] for k in ("category", "scene", "frame_idx", "width", "height", "night")}
+                try:
+                    frame = options.prepared(row)
+                except Exception as error:
+                    if options.strict:
+                        raise
+                    yield {**kept, "tx": 0, "ty": 0, "reason": _reason(error)}
+                    continue
+                for tx, ty, x0, y0, w, h in options.tiles(*frame.shape[:2]):
+                    yield {**kept, "tx": tx, "ty": ty, "x0": x0, "y0": y0, "w": w, "h": h, "px": frame[y0 : y0 + h, x0 : x0 + w].tobytes()}
 
-        yield from packed_rows(results(), _ACTIVITY)
+        yield from packed_rows(parts(), to_arrow_schema(_IN))
 
-    def dealt(df: DataFrame, *keys: str) -> DataFrame:
-        df = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
-        return df.sortWithinPartitions(*keys, "frame_idx")
+    return run
 
-    if tile is None:
-        return dealt(rows, "category", "scene").mapInArrow(whole, _OUT)
 
-    halo = 4 * (kernel_size // 2)
-    cut_schema = pa.schema(
-        [("category", pa.string()), ("scene", pa.string()), ("frame_idx", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("night", pa.bool_())]
-        + [(n, pa.int32()) for n in ("tx", "ty", "x0", "y0", "w", "h")]
-        + [("px", pa.binary())]
-    )
+def _reason(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"
 
-    def cut(batches):
-        def parts():
-            for row in rows_of(batches):
-                frame = prepared(row)
-                h, w = frame.shape[:2]
-                for ty in range(0, h, tile):
-                    for tx in range(0, w, tile):
-                        y0, x0 = max(0, ty - halo), max(0, tx - halo)
-                        part = frame[y0 : min(h, ty + tile + halo), x0 : min(w, tx + tile + halo)]
-                        yield {**{k: row[k] for k in ("category", "scene", "frame_idx", "width", "height", "night")}, "tx": tx, "ty": ty, "x0": x0, "y0": y0, "w": part.shape[1], "h": part.shape[0], "px": part.tobytes()}
 
-        yield from packed_rows(parts(), cut_schema)
+def _fold(options: Options, keep_states: bool):
+    """mapInArrow function over a key's states and then its frames, in order."""
 
-    mask_schema = pa.schema(
-        [("category", pa.string()), ("scene", pa.string()), ("method", pa.string()), ("frame_idx", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("tx", pa.int32()), ("ty", pa.int32()), ("mask", pa.binary())]
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def states(last: dict, held: dict):
+            if keep_states and last is not None:
+                for method, model in held.items():
+                    for array in state_rows(model):
+                        yield {**last, **array, "kind": STATE, "method": method}
 
-    def model_tiles(batches):
         def results():
-            key, state = None, {}
+            key, size, held, last, given, failed = None, None, {}, None, {}, False
             for row in rows_of(batches):
-                now = (row["category"], row["scene"], row["tx"], row["ty"], row["height"], row["width"])
+                now = tuple(row[k] for k in _KEY)
                 if now != key:
-                    key, state = now, fresh(row, (row["h"], row["w"]))
-                frame = np.frombuffer(row["px"], np.uint8).reshape(row["h"], row["w"], 3)
-                for method, model in state.items():
-                    mask = masks.clean(model.apply(frame), kernel_size)
-                    y, x = row["ty"] - row["y0"], row["tx"] - row["x0"]
-                    own = mask[y : y + min(tile, row["height"] - row["ty"]), x : x + min(tile, row["width"] - row["tx"])]
-                    yield {**{k: row[k] for k in ("category", "scene", "frame_idx", "width", "height", "tx", "ty")}, "method": method, "mask": masks.pack(own)}
-
-        yield from packed_rows(results(), mask_schema)
+                    yield from states(last, held)
+                    key, size, held, last, given, failed = now, None, {}, None, {}, False
+                if row["name"] is not None:
+                    given.setdefault(row["method"], []).append({**row, "data": row["px"]})
+                    continue
+                if failed:
+                    continue
+                kept = {k: row[k] for k in ("category", "scene", "frame_idx", "width", "height", "night", "tx", "ty", "x0", "y0", "w", "h")}
+                try:
+                    if row["reason"]:
+                        raise ValueError(row["reason"])
+                    # A picture of another size starts the models anew.
+                    if (row["height"], row["width"]) != size:
+                        size = row["height"], row["width"]
+                        held = {m: options.model(m, row["h"], row["w"], row["night"]) for m in options.methods}
+                        for method, arrays in given.items():
+                            if method in held and (arrays[0]["height"], arrays[0]["width"]) == size:
+                                held[method].restore(state_arrays(arrays))
+                        given = {}
+                    part = np.frombuffer(row["px"], np.uint8).reshape(row["h"], row["w"], 3)
+                    made = []
+                    for method, model in held.items():
+                        mask = masks.clean(model.apply(part), options.kernel_size)
+                        whole = options.tile is None
+                        made.append({**kept, "kind": FRAME, "method": method} | (options.measured(mask) if whole else {"mask": masks.pack(options.own(mask, row))}))
+                except Exception as error:
+                    if options.strict:
+                        raise
+                    failed, last = True, None
+                    yield {**kept, "kind": REJECT, "reason": row["reason"] or _reason(error)}
+                    continue
+                last = kept
+                yield from made
+            yield from states(last, held)
+
+        yield from packed_rows(results(), to_arrow_schema(ROWS))
+
+    return run
+
+
+def fold_frames(frames: DataFrame, options: Options, states: DataFrame | None = None, keep_states: bool = False) -> DataFrame:
+    """Rows of all kinds; models start from ``states`` (rows of that kind) where a key has some.
+
+    A column ``night`` of the frames goes before ``night_mode``.  Undecodable frames (null
+    ``px``) are skipped.  A failed key gives its frames so far, one reject, and no state.
+    """
+    for method in options.methods:
+        models.background_model(method, 1, 1)
+    if "night" not in frames.columns:
+        frames = frames.withColumn("night", F.lit(options.night_mode))
+    rows = frames.select("category", "scene", "frame_idx", "width", "height", F.coalesce("night", F.lit(options.night_mode)).alias("night"), "px").filter("px IS NOT NULL")
+    parts = rows.mapInArrow(_cut(options), _IN)
+    if states is not None:
+        columns = [c for c in _IN.names if c not in ("px", "reason", "frame_idx")]
+        begun = states.select(*columns, F.lit(-1).cast("long").alias("frame_idx"), F.col("data").alias("px"), F.lit(None).cast("string").alias("reason"))
+        parts = parts.unionByName(begun)
+    parts = parts.repartition(options.partitions, *_KEY) if options.partitions else parts.repartition(*_KEY)
+    return parts.sortWithinPartitions(*_KEY, "frame_idx").mapInArrow(_fold(options, keep_states), ROWS)
+
+
+def frame_activity(rows: DataFrame, options: Options) -> DataFrame:
+    """Coverage and regions of whole frames, from rows of kind frame."""
+    found = rows.filter(F.col("kind") == FRAME)
+    if options.tile is None:
+        return found.select(*FRAME_ACTIVITY.names)
 
     def join_tiles(batches):
         def results():
             for row in rows_of(batches):
-                mask = np.zeros((row["height"], row["width"]), bool)
-                for t in row["tiles"]:
-                    h, w = min(tile, row["height"] - t["ty"]), min(tile, row["width"] - t["tx"])
-                    mask[t["ty"] : t["ty"] + h, t["tx"] : t["tx"] + w] = masks.unpack(t["mask"], h, w)
-                yield _result(row, row["method"], mask, min_area, pad)
+                kept = {k: row[k] for k in ("category", "scene", "method", "frame_idx", "width", "height")}
+                yield kept | options.measured(options.assembled(row["height"], row["width"], row["tiles"]))
 
-        yield from packed_rows(results(), _ACTIVITY)
+        yield from packed_rows(results(), to_arrow_schema(FRAME_ACTIVITY))
 
-    tiles = rows.mapInArrow(cut, f"{_KEYS}, frame_idx long, width int, height int, night boolean, tx int, ty int, x0 int, y0 int, w int, h int, px binary")
-    made = dealt(tiles, "category", "scene", "tx", "ty").mapInArrow(model_tiles, f"{_KEYS}, method string, frame_idx long, width int, height int, tx int, ty int, mask binary")
     # A frame has a fixed number of tiles of one bit a pixel, so a group is one mask.
-    together = made.groupBy("category", "scene", "method", "frame_idx", "width", "height").agg(F.collect_list(F.struct("tx", "ty", "mask")).alias("tiles"))
-    return together.mapInArrow(join_tiles, _OUT)
+    tiles = F.collect_list(F.struct("tx", "ty", "mask")).alias("tiles")
+    together = found.groupBy("category", "scene", "method", "frame_idx", "width", "height").agg(tiles)
+    return together.mapInArrow(join_tiles, FRAME_ACTIVITY)
+
+
+def rejects(rows: DataFrame) -> DataFrame:
+    """(category, scene, frame_idx, reason): each failed scene's first bad frame."""
+    found = rows.filter(F.col("kind") == REJECT)
+    first = found.groupBy("category", "scene").agg(F.min(F.struct("frame_idx", "reason")).alias("bad"))
+    return first.select("category", "scene", "bad.frame_idx", "bad.reason")
+
+
+def subtract_background(frames: DataFrame, **options) -> DataFrame:
+    """Coverage and regions of every frame by method; all methods see a frame in one pass.
+
+    ``options`` are those of Options.  With ``tile`` frames are cut up, for large pictures or
+    few cameras; results are those of whole frames.  A change of a scene's picture size
+    starts its models anew.
+    """
+    given = Options(**options)
+    return frame_activity(fold_frames(frames, given), given)
 
 
 def explode_regions(activity: DataFrame) -> DataFrame:

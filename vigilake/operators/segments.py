@@ -77,13 +77,22 @@ def index_rows(segments: DataFrame, start: Column, sizes: Column, camera: str =
     )
 
 
+def _on_days_since(segments: DataFrame, since: Column) -> DataFrame:
+    """Rows whose text of time is not before ``since``; of an index by days, only those days are opened.
+
+    The time comes as ``_ts``.
+    """
+    if "date" in segments.columns:
+        segments = segments.filter(F.col("date") >= F.date_format(since, "yyyyMMdd"))
+    return segments.withColumn("_ts", C.segment_time("timestamp")).filter(F.col("_ts") >= since)
+
+
 def recent_targets(segments: DataFrame, camera_id: str, hours: float = 24, now: datetime | str | None = None) -> DataFrame:
     """Segments of a camera with targets in the hours before ``now`` and after it, newest first."""
     moment = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
     since = moment - F.make_dt_interval(hours=F.lit(int(hours)), mins=F.lit(int(hours * 60) % 60))
     rows = segments.filter((F.col("camera_id") == camera_id) & (F.col("target_detected") == 1))
-    rows = rows.withColumn("_ts", C.segment_time("timestamp")).filter(F.col("_ts") >= since)
-    return rows.orderBy(F.desc("_ts"), F.desc("id")).select(*[f.name for f in SEGMENTS])
+    return _on_days_since(rows, since).orderBy(F.desc("_ts"), F.desc("id")).select(*[f.name for f in SEGMENTS])
 
 
 def busiest_segments(segments: DataFrame, limit: int = 50) -> DataFrame:
@@ -94,7 +103,7 @@ def busiest_segments(segments: DataFrame, limit: int = 50) -> DataFrame:
 def daily_storage(segments: DataFrame) -> DataFrame:
     """Bytes and hours by day and camera, latest day first."""
     return (
-        segments.groupBy(C.day_key("timestamp").alias("date"), "camera_id")
+        segments.groupBy((F.col("date") if "date" in segments.columns else C.day_key("timestamp")).alias("date"), "camera_id")
         .agg(F.sum("file_size").alias("total_bytes"), C.hours(F.sum("duration")).alias("total_hours"))
         .orderBy(F.desc("date"), "camera_id")
     )
@@ -114,7 +123,7 @@ def storage_report(segments: DataFrame) -> DataFrame:
 
 def retained(segments: DataFrame, days: int, now: datetime | str) -> DataFrame:
     """Segments not older than the retention time."""
-    return segments.filter(C.segment_time("timestamp") >= F.lit(now).cast("timestamp") - F.make_dt_interval(days=F.lit(days)))
+    return _on_days_since(segments, F.lit(now).cast("timestamp") - F.make_dt_interval(days=F.lit(days))).drop("_ts")
 
 
 def weekly_storage(segments: DataFrame) -> DataFrame:

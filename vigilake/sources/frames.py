@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from vigilake.functions import columns as C
 from vigilake.operators.scenes import attach_roi, clip_info, truncate_at_bad
 from vigilake.schemas import FRAMES, SEGMENTS
+from vigilake.sources import folders
+from vigilake.sources.sinks import CUTOFFS
 
 _IMAGE = "(?i)\\.(jpe?g|png|bmp)$"
 _FRAME_PATH = "([^/]+)/([^/]+)/input/([^/]+)$"
@@ -98,13 +100,18 @@ def stream_frames(spark: SparkSession, path: str, max_files: int = 16) -> DataFr
 
 
 def open_index(spark: SparkSession, path: str) -> DataFrame:
-    """The segment index with its day, or an empty table of that schema where there is none yet."""
+    """The segment index with its day and batch, or an empty table of that schema where there is none yet.
+
+    Days before the last retention cutoff are left out by their folders alone.
+    """
     from pyspark.errors import AnalysisException
 
-    schema = T.StructType([*SEGMENTS.fields, T.StructField("date", T.StringType())])
+    schema = T.StructType([*SEGMENTS.fields, T.StructField("date", T.StringType()), T.StructField("batch", T.StringType())])
     try:
-        return spark.read.schema(schema).parquet(path)
+        found = spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+    cutoff = max((n.split("-")[0] for n in folders.names(spark, f"{path}/{CUTOFFS}")), default=None)
+    return found if cutoff is None else found.filter(F.col("date") >= cutoff)

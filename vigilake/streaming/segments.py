@@ -15,7 +15,7 @@ from vigilake.functions import columns as C
 from vigilake.operators.background import frame_array
 from vigilake.operators.segments import storage_report
 from vigilake.pixels import enhance, masks, models, regions
-from vigilake.schemas import SEGMENTS
+from vigilake.sources import sinks
 
 _SEGMENT = "scene string, segment_no long, n_frames long, frames_with_targets long, roi_count long, target_detected int, duration double, crf int, n_late long"
 
@@ -136,13 +136,16 @@ def stream_time_segments(frame_regions: DataFrame, length: str = "60 seconds", w
     )
 
 
-def write_segments(segments: DataFrame, path: str, checkpoint: str, once: bool = True):
-    """Appends finished segments to the index by day; readers see committed files only.
+def write_segments(segments: DataFrame, path: str, checkpoint: str, once: bool = True, job: str = "stream"):
+    """Appends finished segments to the index by day; a micro-batch that is tried again replaces its own rows.
 
-    ``once``: work off what is there and stop.
+    ``job`` names the stream within the index.  ``once``: work off what is there and stop.
     """
-    rows = segments.select(*[f.name for f in SEGMENTS]).withColumn("date", C.day_key("timestamp"))
-    writer = rows.writeStream.format("parquet").partitionBy("date").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+
+    def append(rows: DataFrame, number: int) -> None:
+        sinks.append_segments(rows, path, f"{job}-{number}")
+
+    writer = segments.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
