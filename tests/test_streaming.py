@@ -33,6 +33,42 @@ def test_stream_of_frames_equals_the_batch_job(spark, tmp_path):
     assert got == {tuple(r) for r in batch.collect()} and len(got) == 3
 
 
+def segment_set(df, *more):
+    names = ["scene", *more, "segment_no", "n_frames", "frames_with_targets", "roi_count", "target_detected", "duration", "crf"]
+    return {tuple(r) for r in df.select(*names).collect()}
+
+
+def camera_clip(n, seed, h=240, w=320):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(40, 200, (h // 8, w // 8, 3)).repeat(8, 0).repeat(8, 1)
+    for i in range(n):
+        frame = base + rng.normal(0, 3, base.shape)
+        frame[60:160, (25 * i) % 240 :][:, :70] = 240 if i % 4 < 3 else base[0, 0]
+        yield np.clip(frame, 0, 255).astype(np.uint8)
+
+
+def test_tiles_methods_and_settings_in_a_stream_equal_the_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    table = frame_table(spark, {"one": list(camera_clip(14, 0)), "two": list(camera_clip(11, 1))})
+    for low, high in ((0, 5), (5, 9), (9, 99)):
+        table.filter((F.col("frame_idx") >= low) & (F.col("frame_idx") < high)).coalesce(1).write.mode("append").parquet(str(tmp_path / "frames"))
+    settings = spark.createDataFrame([("cat", "two", True, 4)], "category string, scene string, night boolean, warmup int")
+    options = {"methods": ("MOG2", "KNN"), "min_area": 300, "pad": 4, "history": 20}
+    stream = sources.stream_frames(spark, str(tmp_path / "frames"), max_files=1)
+    made = streaming.stream_segments(stream, fps=4, segment_seconds=1, warmup=2, settings=settings, tile=160, **options)
+    drained(made.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "check")), "tiled")
+    left = streaming.partial_segments(spark, str(tmp_path / "check"), fps=4)
+    with_night = table.join(settings.drop("warmup"), ["category", "scene"], "left")
+    activity = background.subtract_background(with_night, **options)
+    warmup = F.when(F.col("scene") == "two", 4).otherwise(2)
+    keyed = activity.withColumn("scene_method", F.concat_ws("/", "scene", "method"))
+    built = [segments.build_segments(keyed, fps=4, segment_seconds=1, warmup=warmup, camera="scene_method", flush_partial=f) for f in (False, True)]
+    full, all_ = ({(*r[0].split("/"), *r[1:]) for r in segment_set(b.withColumnRenamed("scene_method", "scene"))} for b in built)
+    got, rest = segment_set(spark.table("tiled"), "method"), segment_set(left, "method")
+    assert got == full and got | rest == all_ and not got & rest
+    assert len(got) == 8 and {r[0] for r in rest} == {"two"} and any(r[4] for r in got)
+
+
 def test_time_segments_and_running_report(spark, tmp_path):
     start = dt.datetime(2026, 1, 1)
     rows = [("cam", start + dt.timedelta(seconds=10 * i), int(i % 7 == 0)) for i in range(30)]

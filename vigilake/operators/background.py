@@ -130,13 +130,13 @@ def state_arrays(rows: list[dict]) -> dict[str, np.ndarray]:
     return {r["name"]: np.frombuffer(r["data"], r["dtype"]).reshape(r["shape"]) for r in rows}
 
 
-def _cut(options: Options):
+def _cut(options: Options, more: tuple[str, ...] = (), schema: T.StructType = _IN):
     """mapInArrow function: the parts of every frame; a frame that cannot be read is one part without pixels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
             for row in rows_of(batches):
-                kept = {k: row[k] for k in ("category", "scene", "frame_idx", "width", "height", "night")}
+                kept = {k: row[k] for k in ("category", "scene", "frame_idx", "width", "height", "night", *more)}
                 try:
                     frame = options.prepared(row)
                 except Exception as error:
@@ -147,11 +147,18 @@ def _cut(options: Options):
                 for tx, ty, x0, y0, w, h in options.tiles(*frame.shape[:2]):
                     yield {**kept, "tx": tx, "ty": ty, "x0": x0, "y0": y0, "w": w, "h": h, "px": frame[y0 : y0 + h, x0 : x0 + w].tobytes()}
 
-        yield from packed_rows(parts(), to_arrow_schema(_IN))
+        yield from packed_rows(parts(), to_arrow_schema(schema))
 
     return run
 
 
+def cut_tiles(frames: DataFrame, options: Options) -> DataFrame:
+    """Prepared parts of frames (with ``night``, without null ``px``), their other columns kept."""
+    more = [f for f in frames.schema if f.name not in _IN.names]
+    schema = T.StructType([*_IN, *more])
+    return frames.mapInArrow(_cut(options, tuple(f.name for f in more), schema), schema)
+
+
 def _reason(error: Exception) -> str:
     return f"{type(error).__name__}: {error}"
 
@@ -222,7 +229,7 @@ def fold_frames(frames: DataFrame, options: Options, states: DataFrame | None =
     if "night" not in frames.columns:
         frames = frames.withColumn("night", F.lit(options.night_mode))
     rows = frames.select("category", "scene", "frame_idx", "width", "height", F.coalesce("night", F.lit(options.night_mode)).alias("night"), "px").filter("px IS NOT NULL")
-    parts = rows.mapInArrow(_cut(options), _IN)
+    parts = cut_tiles(rows, options)
     if states is not None:
         columns = [c for c in _IN.names if c not in ("px", "reason", "frame_idx")]
         begun = states.select(*columns, F.lit(-1).cast("long").alias("frame_idx"), F.col("data").alias("px"), F.lit(None).cast("string").alias("reason"))
