@@ -1,8 +1,11 @@
+from pyspark.sql import functions as F
 from test_operators import clip, frame_table
 
-from vigilake.operators import segments
+from vigilake.functions import columns as C
+from vigilake.operators import background, scenes, segments
 from vigilake.plans import jobs
 from vigilake.sources import frames as sources
+from vigilake.sources import manifest
 
 
 def test_study_index_and_questions(spark, tmp_path, capsys):
@@ -24,6 +27,42 @@ def test_study_index_and_questions(spark, tmp_path, capsys):
     assert segments.storage_report(sources.open_index(spark, index)).first().total_segments == 4
 
 
+def test_a_study_by_manifest_survives_a_failing_scene(spark, tmp_path):
+    frames = frame_table(spark, {n: list(clip(9, seed=i)) for i, n in enumerate(("day", "dark", "broken", "unlisted"))})
+    frames = frames.withColumn("px", F.when((F.col("scene") == "broken") & (F.col("frame_idx") == 4), F.lit(b"?")).otherwise(F.col("px")))
+    rows = [("cat", "day", False, None, 0), ("cat", "dark", True, 2, 1), ("cat", "broken", False, None, 2), ("cat", "absent", False, None, 3)]
+    plan = spark.createDataFrame(rows, manifest.SCHEMA)
+    rois = spark.createDataFrame([("cat", "dark", (4, 9))], "category string, scene string, temporal_roi struct<start:int,end:int>")
+    out = str(tmp_path / "study")
+    jobs.coverage_study(frames, out, warmup=2, rois=rois, manifest=plan, sample_rate=3, every=4, min_area=20, pad=4)
+    read = lambda n: spark.read.parquet(f"{out}/{n}")
+    assert tuple(read("summary").first()) == (4, 1, 1, 2)
+    assert [(r.scene, r.frame_idx) for r in read("rejects").collect()] == [("broken", 4)]
+    clips = {(r.scene, r.method): r for r in read("clips").collect()}
+    assert {k[0] for k in clips} == {"day", "dark"} and clips["dark", "MOG2"].total_frames == 9
+    begin = C.warmup_frames("temporal_roi", 2)
+    want = scenes.attach_roi(spark.createDataFrame([("cat", "dark")], "category string, scene string"), rois).select(begin).first()[0]
+    assert clips["dark", "KNN"].analyzed_frames == 9 - want and clips["dark", "KNN"].sample_images_saved == -(-(9 - want) // 2)
+    assert clips["day", "KNN"].analyzed_frames == 7 and clips["day", "KNN"].sample_images_saved == 3
+    night = background.subtract_background(frames.filter("scene = 'dark'"), night_mode=True, min_area=20, pad=4)
+    key = ("method", "frame_idx", "coverage")
+    assert {tuple(r) for r in night.select(*key).collect()} == {tuple(r) for r in read("activity").filter("scene = 'dark'").select(*key).collect()}
+
+
+def test_an_index_job_run_again_adds_nothing(spark, tmp_path):
+    frames = frame_table(spark, {"one": list(clip(14)), "two": list(clip(9, seed=1))})
+    both = frames.unionByName(frames.filter("scene = 'two'").withColumn("category", F.lit("other")))
+    index = str(tmp_path / "index")
+    ask = {"fps": 2, "seconds": 2, "warmup": 2, "min_area": 20, "pad": 4, "tile": 16}
+    first, again = (jobs.index_feed(both, index, "2026-01-01 00:00:00", **ask) for _ in range(2))
+    rows = sources.open_index(spark, index).collect()
+    assert first == again and sorted({r.camera_id for r in rows}) == ["cat_two", "one", "other_two"] and len(rows) == 5
+    jobs.index_feed(both, index, "2026-01-02 00:00:00", **ask)
+    assert sources.open_index(spark, index).count() == 10
+    jobs.main(["expire", index, "--days", "1", "--now", "2026-01-03T00:00:00"])
+    assert sources.open_index(spark, index).count() == 5
+
+
 def test_compression_study(spark, tmp_path):
     frames = frame_table(spark, {"moving": list(clip(14)), "still": list(clip(5))})
     jobs.compression_study(frames, str(tmp_path), warmup=2, fps=2, seconds=2, min_area=20, pad=4)

@@ -37,7 +37,7 @@ def sampled_frames(frames: DataFrame, sample_rate: int = 15, warmup: Column | in
     return rows.withColumn("sample_name", C.sample_name("scene", "method", "frame_idx"))
 
 
-def clip_coverage(frames: DataFrame, clips: DataFrame | None = None, warmup: Column | int = 120, sample_rate: int = 15, activity: float = ACTIVITY) -> DataFrame:
+def clip_coverage(frames: DataFrame, clips: DataFrame | None = None, warmup: Column | int = 120, sample_rate: Column | int = 15, activity: float = ACTIVITY) -> DataFrame:
     """By category, scene and method: frames analysed, average and highest coverage %, activity.
 
     Clips (by default those of the frames) without a frame after the warm-up have zeros.
