@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilake.functions import columns as C
 from vigilake.operators.scenes import attach_roi, clip_info, truncate_at_bad
+from vigilake.pixels import images
 from vigilake.schemas import FRAMES, SEGMENTS
 from vigilake.sources import folders
 from vigilake.sources.sinks import CUTOFFS
 
 _IMAGE = "(?i)\\.(jpe?g|png|bmp)$"
+_NUMBER = "([0-9]+)[.][^./]*$"
 _FRAME_PATH = "([^/]+)/([^/]+)/input/([^/]+)$"
 
 
@@ -53,18 +59,67 @@ def read_frames(spark: SparkSession, path: str, on_bad: str = "truncate") -> Dat
         "frame_idx",
         "width",
         "height",
-        F.when((F.col("height") > 0) & (F.col("nChannels") == 3), F.col("data")).alias("px"),
+        F.when((F.col("height") > 0) & F.col("nChannels").isin(1, 3, 4), F.col("data")).alias("px"),
         "nChannels",
-        "data",
         ((F.col("height") <= 0) | (F.length("data") == 0)).alias("_undecodable"),
     )
-    grey = F.when(F.col("nChannels") == 1, F.unhex(F.regexp_replace(F.hex("data"), "(..)", "$1$1$1")))
-    opaque = F.when(F.col("nChannels") == 4, F.unhex(F.regexp_replace(F.hex("data"), "(.{6})..", "$1")))
-    frames = frames.withColumn("px", F.coalesce("px", grey, opaque)).drop("nChannels", "data")
+    colours = T.StructType([f for f in frames.schema if f.name != "nChannels"])
+    frames = frames.mapInArrow(_as_bgr, colours)
     kept = truncate_at_bad(frames, F.col("_undecodable"), on_bad)
     return kept.select(*[f.name for f in FRAMES])
 
 
+def _as_bgr(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grey pictures with their channel three times, pictures with alpha without it."""
+    for batch in batches:
+        names = [n for n in batch.schema.names if n != "nChannels"]
+        for begin in range(0, batch.num_rows, 16):
+            part = batch.slice(begin, 16)
+            pixels = []
+            for data, channels in zip(part.column("px"), part.column("nChannels").to_pylist(), strict=True):
+                if data.is_valid and channels != 3:
+                    flat = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, channels)
+                    pixels.append((np.repeat(flat, 3, 1) if channels == 1 else flat[:, :3]).tobytes())
+                else:
+                    pixels.append(data.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(pixels, pa.binary()) if n == "px" else part.column(n) for n in names], names)
+
+
+def stream_images(spark: SparkSession, path: str, max_files: int = 64, first: int = 1) -> DataFrame:
+    """Frames of PNG and BMP pictures as they land below a folder (category/scene/input/name with a number).
+
+    A frame's index is the number in its name less ``first``.  Pictures that cannot be read
+    have null ``px`` and no size.  JPEG needs a decoder that streams do not have; such
+    clips go through ``import`` first.
+    """
+    files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pPbB][nNmM][gGpP]")
+    rows = files.option("maxFilesPerTrigger", max_files).load(path).filter(F.col("path").rlike(_FRAME_PATH))
+    named = rows.select(
+        F.regexp_extract("path", _FRAME_PATH, 1).alias("category"), F.regexp_extract("path", _FRAME_PATH, 2).alias("scene"),
+        (F.regexp_extract("path", _NUMBER, 1).try_cast("long") - first).alias("frame_idx"), "content",
+    )
+    return named.mapInArrow(_decoded, FRAMES)
+
+
+_FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 16):
+            part = batch.slice(begin, 16)
+            shapes, pixels = [], []
+            for data in part.column("content").to_pylist():
+                try:
+                    picture = images.decode(data)
+                except ValueError:
+                    picture = None
+                shapes.append((None, None) if picture is None else picture.shape[1::-1])
+                pixels.append(None if picture is None else picture.tobytes())
+            sizes = [pa.array([s[i] for s in shapes], pa.int32()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("category", "scene", "frame_idx")), *sizes, pa.array(pixels, pa.binary())], FRAMES.names)
+
+
 def read_temporal_roi(spark: SparkSession, path: str) -> DataFrame:
     """(category, scene, temporal_roi) of every ``temporalROI.txt`` below a path."""
     texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "temporalROI.txt").text(path, wholetext=True)
