@@ -7,11 +7,12 @@ what flows out of it plus its corrections, and so on down to single words and, a
 the number of words.  Edges over nodes with a single way in and out are compacted into
 paths, from which the five-word phrases are read.
 
-A phrase is no more frequent than any pair of neighbours in it.  A first pass over the texts
-therefore counts words and pairs by hash in a fixed number of counters; where a pair's
-counter stays below the least count, no frequent phrase crosses it, and the piece ends
-there.  The counts of all frequent phrases stay exact, since a cut adds its own
-corrections; with a saturated table of counters nothing is cut, and only the work grows.
+A phrase is no more frequent than any run of words in it.  Two passes over the texts
+therefore count runs of two and of three words by hash in a fixed number of counters (as
+Park, Chen and Yu did for item sets, 1995); a gram ends before a run whose counter stays
+below the least count, since no frequent phrase has it.  The counts of all frequent phrases
+stay exact: a shorter gram is its own correction.  With saturated counters nothing is cut,
+and only the work grows.
 """
 
 from __future__ import annotations
@@ -28,14 +29,16 @@ from pyspark.sql import functions as F
 from vigilake.llm.common import checkpointed, text_slices
 
 LONGEST, LEAST, BEST = 5, 100, 2000
-#: log2 of the counters of the first pass; a bit of each goes out to all tasks (2 MB).
-COUNTER_BITS = 24
+#: Runs of so many words are counted by hash first; log2 of the counters of each, a bit of which goes out to all tasks (2 MB).
+COUNTED, COUNTER_BITS = (2, 3), 24
 #: Parts that a language's rows are dealt into where a join or a ranking goes by language.
 SALTS = 64
 UNKNOWN = "und"
 _STOPS = re.compile(rb"[.,;:!?\n-\r]+")
+#: Grams that a task adds up before it gives them out.
+HELD = 300_000
 #: Most words read at once, so that three local numbers fit into 63 bits.
-SPAN = 1 << 20
+SPAN = 1 << 19
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -96,58 +99,84 @@ def _word_counter(hashes: np.ndarray) -> np.ndarray:
     return ((hashes * _MIX) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
-def _pair_counter(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return (((first * _MIX2 ^ (second >> np.uint64(7)) ^ second) * _MIX) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+def _run_counter(hashes: np.ndarray, numbers: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """Counters of the m words from each place on."""
+    mixed = hashes[numbers[at]]
+    for step in range(1, m):
+        mixed = mixed * _MIX2 ^ mixed >> np.uint64(31) ^ hashes[numbers[at + step]]
+    return ((mixed ^ mixed >> np.uint64(29)) * _MIX >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
-def _count_hashed(span: int):
-    """mapInArrow function: (counter, n) of the words and pairs of neighbours, by slice."""
+def _next(flags: np.ndarray) -> np.ndarray:
+    """For every place the first one from it on whose flag is down; the last flag must be."""
+    down = np.flatnonzero(~flags)
+    return down[np.searchsorted(down, np.arange(len(flags)))]
+
+
+def _lengths(numbers: np.ndarray, hashes: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
+    """How many words from each place on may be a frequent phrase, by the counters of runs of 2, 3, .. words; up to LONGEST."""
+    longest = _next(numbers > 0) - np.arange(len(numbers))
+    for m, known in enumerate(bits, 2):
+        flags = np.zeros(len(numbers), bool)
+        at = np.flatnonzero(longest >= m)
+        flags[at] = _has(known, _run_counter(hashes, numbers, at, m))
+        longest = np.minimum(longest, _next(flags) - np.arange(len(numbers)) + m - 1)
+    return np.minimum(longest, LONGEST)
+
+
+def _count_hashed(bits: list[np.ndarray], span: int):
+    """mapInArrow function: (counter, n) of the runs one word longer than those that ``bits`` tell of; at first, of words too."""
+    m = len(bits) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seen, numbers, counted in _numbered(batches, span):
             hashes = _hashes(seen)
-            words = np.bincount(numbers[:counted], minlength=len(seen))[1:]
-            both = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
-            both = both[both < counted]
-            pairs, n = np.unique(numbers[both] << 32 | numbers[both + 1], return_counts=True)
-            counters = np.concatenate([_word_counter(hashes[1:]), _pair_counter(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF])])
-            yield pa.RecordBatch.from_arrays([pa.array(counters), pa.array(np.concatenate([words, n]).astype(np.int64))], ["counter", "n"])
+            at = np.flatnonzero(_lengths(numbers, hashes, bits)[:counted] >= m)
+            counters, n = np.unique(_run_counter(hashes, numbers, at, m), return_counts=True)
+            if not bits:
+                counters = np.concatenate([counters, _word_counter(hashes[1:])])
+                n = np.concatenate([n, np.bincount(numbers[:counted], minlength=len(seen))[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(counters), pa.array(n.astype(np.int64))], ["counter", "n"])
 
     return run
 
 
-def frequent_bits(texts: DataFrame, least: int, span: int = SPAN) -> np.ndarray:
-    """One bit for each counter, as bytes: have the words and pairs of that hash ``least`` occurrences together?"""
-    sums = texts.mapInArrow(_count_hashed(span), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+def frequent_bits(texts: DataFrame, least: int, bits: list[np.ndarray], span: int = SPAN) -> np.ndarray:
+    """One bit for each counter, as bytes: have the runs of that hash ``least`` occurrences together?
+
+    Runs have one word more than those that ``bits`` tell of, the first ones two; words count in their table too.
+    """
+    sums = texts.mapInArrow(_count_hashed(bits, span), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     # Positions start at 1, so that a map of 32,768 bits begins at a whole byte.
     place = F.col("counter") + 1
     maps = sums.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    bits = np.zeros(1 << (COUNTER_BITS - 3), np.uint8)
+    found = np.zeros(1 << (COUNTER_BITS - 3), np.uint8)
     # At most 2^COUNTER_BITS bits come to the driver, whatever the input.
-    for part, found in maps.toLocalIterator():
-        bits[(part - 1) * 4096 : part * 4096] = np.frombuffer(found, np.uint8)
-    return bits
+    for part, held in maps.toLocalIterator():
+        found[(part - 1) * 4096 : part * 4096] = np.frombuffer(held, np.uint8)
+    return found
 
 
 def _has(bits: np.ndarray, counter: np.ndarray) -> np.ndarray:
     return (bits[counter >> 3] >> (counter & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _grams(bits: np.ndarray, span: int):
-    """mapInArrow function: (lang, m, gram, n), the grams that words open, counted within a slice; m = 0 counts the words."""
+def _grams(bits: list[np.ndarray], span: int):
+    """mapInArrow function: (lang, m, gram, n), the grams that words open, added up within a task; m = 0 counts the words.
+
+    Sums are given out whenever HELD grams have come together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[bytes, int], dict[bytes, int]] = {}
         for seen, numbers, counted in _numbered(batches, span):
             hashes = _hashes(seen)
-            linked = np.append((numbers[:-1] > 0) & (numbers[1:] > 0), False)
-            at = np.flatnonzero(linked)
-            linked[at] = _has(bits, _pair_counter(hashes[numbers[at]], hashes[numbers[at + 1]]))
-            ends = np.flatnonzero(~linked)
-            length = np.minimum(ends[np.searchsorted(ends, np.arange(counted))] - np.arange(counted) + 1, LONGEST)
-            known = _has(bits, _word_counter(hashes))
-            length[(numbers[:counted] == 0) | ((length == 1) & ~known[numbers[:counted]])] = 0
+            length = _lengths(numbers, hashes, bits)[:counted]
+            length[(length == 1) & ~_has(bits[0], _word_counter(hashes))[numbers[:counted]]] = 0
+            for (lang, _), n in zip(seen[1:], np.bincount(numbers[:counted], minlength=len(seen))[1:].tolist(), strict=True):
+                total = held.setdefault((lang, 0), {b"": 0})
+                total[b""] += n
             _, pair = np.unique(numbers[:-1] << 32 | numbers[1:], return_inverse=True)
-            langs, ms, grams, counts = [], [], [], []
             for m in range(1, LONGEST + 1):
                 start = np.flatnonzero(length == m)
                 if not len(start):
@@ -156,29 +185,27 @@ def _grams(bits: np.ndarray, span: int):
                 for step in range(m % 2, m - 1, 2) if m % 2 else range(2, m, 2):
                     key = key << 21 | pair[start + step]
                 _, first, n = np.unique(key, return_index=True, return_counts=True)
-                columns = [numbers[start[first] + j].tolist() for j in range(m)]
-                words = [[seen[i][1] for i in c] for c in columns]
-                langs += [seen[i][0] for i in columns[0]]
-                grams += map(b" ".join, zip(*words, strict=True))
-                counts += n.tolist()
-                ms += [m] * len(first)
-            by_lang: dict[bytes, int] = {}
-            for (lang, _), n in zip(seen[1:], np.bincount(numbers[:counted], minlength=len(seen))[1:].tolist(), strict=True):
-                by_lang[lang] = by_lang.get(lang, 0) + n
-            langs += by_lang
-            counts += by_lang.values()
-            grams += [b""] * len(by_lang)
-            ms += [0] * len(by_lang)
-            text = lambda x: pa.array(x, pa.binary()).cast(pa.string())
-            for i in range(0, len(ms), 1 << 16):
-                cut = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays(
-                    [text(langs[cut]), pa.array(ms[cut], pa.int32()), text(grams[cut]), pa.array(counts[cut], pa.int64())], ["lang", "m", "gram", "n"]
-                )
+                for k, *places in zip(n.tolist(), *(numbers[start[first] + j].tolist() for j in range(m)), strict=True):
+                    own = held.setdefault((seen[places[0]][0], m), {})
+                    gram = b" ".join([seen[i][1] for i in places])
+                    own[gram] = own.get(gram, 0) + k
+            if sum(map(len, held.values())) >= HELD:
+                yield from _gram_rows(held)
+                held = {}
+        yield from _gram_rows(held)
 
     return run
 
 
+def _gram_rows(held: dict[tuple[bytes, int], dict[bytes, int]], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    for (lang, m), counts in held.items():
+        grams, n = list(counts), list(counts.values())
+        for i in range(0, len(grams), most):
+            part = pa.array(grams[i : i + most], pa.binary()).cast(pa.string())
+            same = [pa.repeat(pa.scalar(x, t), len(part)) for x, t in ((lang.decode(), pa.string()), (m, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*same, part, pa.array(n[i : i + most], pa.int64())], ["lang", "m", "gram", "n"])
+
+
 def _first(gram: str, k: Column | int) -> Column:
     return F.call_function("substring_index", F.col(gram), F.lit(" "), k if isinstance(k, Column) else F.lit(k))
 
@@ -196,7 +223,10 @@ def phrase_counts(df: DataFrame, least: int = LEAST, text: str = "text", lang: s
     each; an empty table gives no rows; texts of any length are read whole.
     """
     texts = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-    grams = texts.mapInArrow(_grams(frequent_bits(texts, least, span), span), "lang string, m int, gram string, n long")
+    bits: list[np.ndarray] = []
+    for _ in COUNTED:
+        bits.append(frequent_bits(texts, least, bits, span))
+    grams = texts.mapInArrow(_grams(bits, span), "lang string, m int, gram string, n long")
     grams = checkpointed(grams.groupBy("lang", "m", "gram").agg(F.sum("n").alias("n")))
     level = grams.filter(F.col("m") == LONGEST).select("lang", "gram", "n")
     counts = level.withColumn("m", F.lit(LONGEST))
