@@ -298,6 +298,8 @@ def fit_codes(counts: DataFrame, others: DataFrame, text: str = "text", held: in
     """
     spark = counts.sparkSession
     asked = others.select(F.col(text).alias("_text")).mapInArrow(_count(held, only_codes=True), "kind int, key binary, code long, n long")
+    # Added up first: every task has rows of a frequent context.
+    asked = asked.groupBy("code").agg(F.sum("n").alias("n"))
     codes = counts.filter(F.col("kind") == _BYTE).select("code", "n", F.lit(0).cast("long").alias("m"))
     codes = codes.union(asked.select("code", F.lit(0).cast("long"), "n"))
     codes = codes.withColumn("_subtree", F.shiftright("code", 8 * (DEPTH - LOWER + 1))).repartition("_subtree")
