@@ -137,7 +137,7 @@ def test_pieces_equal_sentencepiece_and_come_back(spark, odd, none):
         assert r.token_ids == want and r.n_tokens == len(want or []) and r.n_differing == 0
         assert r.decodes == ("▁" not in (texts[r.doc_id] or ""))
     assert {r.doc_id: r.decoded for r in sp.decode_pieces(coded).collect()} == {i: t and t.replace("▁", " ") for i, t in enumerate(texts)}
-    assert sorted(sp.encode_pieces(odd).columns) == sorted({*odd.columns, "n_differing", "decodes"} - {"_text"})
+    assert sorted(sp.encode_pieces(odd).columns) == sorted({*odd.columns, "n_differing", "decodes"})
     assert sp.piece_digest(none).count() == 0
 
 
@@ -365,3 +365,36 @@ def test_chat_rendering_and_odd_rows(spark, none):
     assert chat.chat_digest(spark.createDataFrame([], df.schema)).count() == 0
     named = spark.createDataFrame([("a", 0, "user", "x" * 200_000)], "conv_id string, turn int, role string, text string")
     assert len(chat.chat_digest(named).first().rendered) > 200_000
+
+
+def test_ordinal_fit_reaches_the_optimum():
+    rng = np.random.default_rng(3)
+    words = [f"w{i}".encode() for i in range(6)]
+    documents, grades = [], []
+    for _ in range(240):
+        counts = Counter({w: int(n) for w, n in zip(words, rng.poisson(1.0, 6), strict=True) if n})
+        pull = 1.4 * np.log1p(counts[b"w0"]) + 0.8 * np.log1p(counts[b"w1"]) - 0.9 * np.log1p(counts[b"w2"]) + rng.logistic() * 0.6
+        documents.append((counts, int(pull > 0.9)))
+        grades.append(int(np.searchsorted([0.9, 1.5, 2.2], pull)))
+    penalty = 4e-3
+    model = toxicity._fit(documents, grades, 1, penalty, rounds=4000)
+
+    def loss(weights, cuts):
+        probability = toxicity.OrdinalModel(weights, np.array(cuts)).grades(np.array([toxicity.OrdinalModel(weights, cuts).score(Counter({w: n for w, n in c.items() if w in weights})) for c, _ in documents]))
+        return -np.log(np.maximum(probability[np.arange(len(grades)), grades], 1e-9)).mean() + penalty * sum(map(abs, weights.values()))
+
+    best = {w: model.weights.get(w, 0.0) for w in words}
+    cuts = model.thresholds
+    least = loss(best, cuts)
+    assert (np.diff(cuts) > 0).all() and best[b"w0"] > best[b"w1"] > 0 > best[b"w2"]
+    for step in (-0.03, 0.03):
+        for w in words:
+            assert loss(best | {w: best[w] + step}, cuts) > least - 1e-6
+        for k in range(len(cuts)):
+            assert loss(best, cuts + step * (np.arange(len(cuts)) == k)) > least - 1e-6
+
+
+def test_a_key_of_many_rows_brings_one_text_to_the_driver(spark):
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("word number "), "id").alias("text"))
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, toxic int")
+    assert len(toxicity.draw_labelled(docs, labels, "doc_id", "text")) == 1

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigilake.llm.common import crc_mod, text_slices
+from vigilake.llm.common import carries_columns, crc_mod, text_slices
 from vigilake.llm.decontamination import words
 
 #: Labelled documents of each class that training sees at most (about), and grades above 0.
@@ -117,6 +117,8 @@ def _fit(documents: list[tuple[Counter, int]], grades: list[int], least: int, pe
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
     bound = np.bincount(rows, values**2, len(y)).mean() + n_cuts
     rate = 4.0 / bound
+    # The least distance between neighbouring thresholds, added up.
+    apart = 1e-3 * np.arange(n_cuts)
     for _ in range(rounds):
         score = np.bincount(rows, ahead[columns] * values, len(y))
         edges = np.concatenate([[-np.inf], ahead_cuts, [np.inf]])
@@ -128,7 +130,7 @@ def _fit(documents: list[tuple[Counter, int]], grades: list[int], least: int, pe
         slope_cuts = np.bincount(y, down, n_cuts + 1)[1:] / len(y) - np.bincount(y, up, n_cuts + 1)[:-1] / len(y)
         new = ahead - rate * slope
         new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
-        new_cuts = np.maximum.accumulate(ahead_cuts - rate * slope_cuts + 1e-3 * np.arange(n_cuts))
+        new_cuts = np.maximum.accumulate(ahead_cuts - rate * slope_cuts - apart) + apart
         turn = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         ahead = new + (pace - 1) / turn * (new - weight)
         ahead_cuts = new_cuts + (pace - 1) / turn * (new_cuts - cuts)
@@ -140,13 +142,17 @@ def _fit(documents: list[tuple[Counter, int]], grades: list[int], least: int, pe
 def draw_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, sample: int = SAMPLE) -> list[tuple[Counter, int]]:
     """(word counts, toxic) of about ``sample`` labelled documents of each class, drawn by hash of the key.
 
-    A key labelled both ways counts as toxic; labels without a document, and null ones, are left out.
+    A key labelled both ways counts as toxic; labels without a document, and null ones, are
+    left out.  Of rows that share a key one text is read, the one of smallest hash, so that
+    a key which many rows have brings no more to the driver than any other.
     """
     sided = labels.filter("toxic IS NOT NULL").groupBy(key).agg((F.max("toxic") > 0).cast("int").alias("_toxic"))
     rates = sided.groupBy("_toxic").agg((F.lit(float(sample)) / F.count("*")).alias("_rate"))
     chance = F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     chosen = sided.join(F.broadcast(rates), "_toxic").filter(chance < F.col("_rate")).select(key, "_toxic")
     drawn = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(chosen), key)
+    drawn = drawn.groupBy(key).agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("_one"), F.first("_toxic").alias("_toxic"))
+    drawn = drawn.select(key, F.col("_one._text").alias("_text"), "_toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "_text"):
@@ -197,6 +203,7 @@ def _grade(shared):
     return run
 
 
+@carries_columns("text")
 def grade_toxicity(df: DataFrame, model: OrdinalModel, text: str = "text", least: float = 0.5) -> DataFrame:
     """``df`` without ``text``, with expected_severity, severity (likeliest grade), toxic_probability and toxic.
 
