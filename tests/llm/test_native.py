@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -89,6 +90,37 @@ def test_allow_patterns_for_words_and_paths():
         assert bool(re.search(secrets.ALLOW[2], text)) == bool(plain.search(text))
 
 
+def test_redaction_of_many_spans_takes_time_in_proportion(spark):
+    rng = random.Random(2)
+    schema = "n int, text string, secret_spans array<struct<start:int,ord:int,kind:string,end:int>>"
+    rows = [(0, None, []), (1, "", []), (2, "abc", [(0, 0, "x", 3)]), (3, "aébc", [(1, 0, "x", 2), (2, 1, "x", 3)])]
+    for n in range(4, 40):
+        text = "".join(rng.choice("abé日") for _ in range(rng.choice([5, 1023, 1024, 1025, 5000])))
+        starts = [rng.randrange(len(text)) for _ in range(rng.choice([1, 3, 63, 64, 65, 200]))]
+        rows.append((n, text, sorted((a, 0, "x", min(len(text), a + rng.choice([1, 2, 40]))) for a in starts)))
+    many = "key 0123456789abcdef " * 200_000
+    rows.append((99, many, [(21 * i + 4, 2, "hex", 21 * i + 20) for i in range(200_000)]))
+    began = time.time()
+    for r in secrets.redact_secrets(spark.createDataFrame(rows, schema)).collect():
+        spans, text = next((s, t) for n, t, s in rows if n == r.n)
+        covered = bytearray(len(text or ""))
+        for a, _, _, b in spans:
+            covered[a:b] = b"\x01" * (b - a)
+        if r.n == 99:
+            assert r.text == "key [SECRET] " * 200_000
+        elif text is None:
+            assert r.text is None
+        else:
+            want = ""
+            for i, c in enumerate(text):
+                if not covered[i]:
+                    want += c
+                elif i == 0 or not covered[i - 1]:
+                    want += "[SECRET]"
+            assert r.text == want
+    assert time.time() - began < 60
+
+
 def test_redaction_and_clashing_columns(spark, odd, none):
     texts = secret_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

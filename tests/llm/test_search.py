@@ -245,3 +245,35 @@ def test_components_of_similar_sets_match_brute_force():
         sets = [near.shingle_set(t.encode()) for t in texts] + [np.zeros(0, np.uint64)]
         root, _ = jaccard_components([set(s.tolist()) for s in sets[:-1]])
         assert near.join_similar(sets, 0.8).tolist() == [*root, len(sets) - 1]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """Dots, working names and names of other operators' results; only a result's own name gives way."""
+    from vigilake.llm import language, quality, secrets, sentencepieces, toxicity
+
+    names = ("a.b", "_text", "_body", "_row", "__row", "__also", "_order", "_fp", "_s_text", "_q_x", "f_words", "_c0_", "C d")
+    rows = [(i, prose(i % 3)) for i in range(4)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = plain.select("*", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names])
+    bench = spark.createDataFrame([(1, prose(2))], "item_id long, text string")
+    model = toxicity.fit_ordinal([], [])
+    operators = {
+        "scan": secrets.scan_secrets,
+        "redact": lambda d: secrets.redact_secrets(secrets.scan_secrets(d)),
+        "clean": lambda d: dc.decontaminate(d, bench),
+        "good": quality.keep_good,
+        "rate": quality.rate_quality,
+        "language": lambda d: language.identify_languages(d, None),
+        "near": lambda d: near.drop_near_duplicates(d),
+        "groups": lambda d: simhash.near_duplicate_groups(d, "doc_id"),
+        "one of each": lambda d: simhash.drop_near_duplicates(d),
+        "grades": lambda d: toxicity.grade_toxicity(d, model),
+        "pieces": sentencepieces.encode_pieces,
+    }
+    for name, operator in operators.items():
+        found, want = operator(wide), operator(plain)
+        results = set(want.columns) - {"doc_id", "text"}
+        assert set(found.columns) == set(want.columns) | set(names), name
+        got = found.collect()
+        assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in want.collect()), name
+        assert all(r[n] == f"{n} {r['doc_id']}" for r in got for n in set(names) - results), name

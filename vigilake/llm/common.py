@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +52,33 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def carries_columns(*parameters: str):
+    """Decorator of operators on rows: all columns but those that ``parameters`` name pass through under names of their own.
+
+    So a column may have any name, with dots or like one the operator works with; only one
+    named like a result gives way to it.
+    """
+
+    def decorate(operator):
+        signature = inspect.signature(operator)
+
+        @functools.wraps(operator)
+        def run(df: DataFrame, *args, **options) -> DataFrame:
+            given = signature.bind(df, *args, **options)
+            given.apply_defaults()
+            used = {given.arguments[p] for p in parameters}
+            names = {f"_c{i}_": c for i, c in enumerate(df.columns) if c not in used}
+            hidden = iter(names)
+            out = operator(df.toDF(*[c if c in used else next(hidden) for c in df.columns]), *args, **options)
+            results = {c.lower() for c in out.columns if c not in names}
+            kept = [c for c in out.columns if c not in names or names[c].lower() not in results]
+            return out.select(*kept).toDF(*[names.get(c, c) for c in kept])
+
+        return run
+
+    return decorate
+
+
 def stage_folder(spark: SparkSession) -> str:
     """A new path under the shared folder for tables of one run."""
     return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"

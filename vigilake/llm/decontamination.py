@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigilake.llm.common import checkpointed, text_slices
+from vigilake.llm.common import carries_columns, checkpointed, text_slices
 
 WINDOW = 10
 #: Pairs of a place and a benchmark suffix that are looked at together.
@@ -295,6 +295,7 @@ def find_contamination(
     return rows.select("_row.*", F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), (n_hit > 0).alias("contaminated"), matches.alias("matches")).drop("_none")
 
 
+@carries_columns("text")
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``df`` in which no benchmark window occurs, with all their columns."""
     rows = df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_body"))

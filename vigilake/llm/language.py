@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql import types as T
 
-from vigilake.llm.common import WHITESPACE, crc_mod, text_slices
+from vigilake.llm.common import WHITESPACE, carries_columns, crc_mod, text_slices
 
 #: Labelled documents and words drawn from them by language: the bound of what training sees.
 DOCUMENTS, WORDS = 300, 4000
@@ -231,6 +231,7 @@ def _identify(shared, held: int):
     return run
 
 
+@carries_columns("text")
 def identify_languages(df: DataFrame, network: ByteNetwork | None, text: str = "text", held: int = 1_600_000) -> DataFrame:
     """``df`` without ``text``, with lang_pred and score (mean probability of it over all bytes, 0 to 1).
 

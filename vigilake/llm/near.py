@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigilake.llm.common import checkpointed, text_slices
+from vigilake.llm.common import carries_columns, checkpointed, text_slices
 from vigilake.llm.simhash import SEED, GrayIndex, _union, connected_components, first_of_groups, in_blocks, join_dense, outside_largest, with_row_keys
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -183,6 +183,7 @@ def _similar(similarity: float):
     return run
 
 
+@carries_columns("order", "text")
 def drop_near_duplicates(df: DataFrame, order: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
     """One row of each group: the one with the smallest ``order``, then row keys; exact repeats give one row.
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import WHITESPACE, checkpointed, with_held_column
+from vigilake.llm.common import WHITESPACE, carries_columns, checkpointed, with_held_column
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -162,6 +162,7 @@ def judge(features: DataFrame, model: LabelModel, rules: tuple[Rule, ...] = RULE
     return with_held_column(judged, "kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
+@carries_columns("text")
 def rate_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
     """``df`` without ``text``, with features, posterior and verdict.
 
@@ -172,6 +173,7 @@ def rate_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RU
     return judge(features, fit_to(features, rules), rules, least)
 
 
+@carries_columns("text")
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
     """The rows of ``df`` that are kept, whole.
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import with_held_column
+from vigilake.llm.common import carries_columns, with_held_column
 
 
 def either_case(words: str) -> str:
@@ -58,6 +58,8 @@ ALLOW = (
 _SCALE = 1_000_000
 #: Windows that begin in one block of a candidate; bits of a packed count, and counts in a long.
 BLOCK, _BITS, _PER = 16_384, 5, 12
+#: Spans that a redaction looks at together, and code points of the chunks that it cuts a text into.
+SPANS, CHUNK = 64, 1024
 
 
 def _prefix_sums(lengths: Column, block: int = 64) -> Column:
@@ -182,6 +184,7 @@ def _block_windows(value: Column, kind: CharClass, window: int) -> Column:
     return _let(codes, lambda c: F.aggregate(moves(c), state, step, finish))
 
 
+@carries_columns("text")
 def scan_secrets(
     df: DataFrame,
     text: str = "text",
@@ -225,30 +228,38 @@ def scan_secrets(
     return with_held_column(df, out, F.sort_array(F.concat(*parts))).drop(own, "_s_assign", "_s_access", "_s_hex", "_s_cand")
 
 
+@carries_columns("text", "spans")
 def redact_secrets(df: DataFrame, text: str = "text", spans: str = "secret_spans", marker: str = "[SECRET]") -> DataFrame:
-    """Replaces what the spans cover (overlapping ones together) by the marker; null texts stay null."""
-    merged = F.aggregate(
-        F.col(spans),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= s["start"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], s["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    df = df.withColumn("_s_merged", merged)
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.size("_s_merged")),
-        lambda i: F.substring(
-            F.col(text),
-            F.when(i > 0, F.get(F.col("_s_merged"), i - 1)["end"]).otherwise(F.lit(0)) + 1,
-            F.coalesce(F.get(F.col("_s_merged"), i)["start"], F.length(text))
-            - F.when(i > 0, F.get(F.col("_s_merged"), i - 1)["end"]).otherwise(F.lit(0)),
-        ),
-    )
-    return df.withColumn(text, F.when(F.size("_s_merged") > 0, F.array_join(pieces, marker)).otherwise(F.col(text))).drop("_s_merged")
+    """Replaces what the spans cover (overlapping and touching ones together) by the marker; null texts stay null.
+
+    Spans come sorted by start.  How far spans reach before each one is known by blocks of
+    SPANS of them and inside a block, and the text is cut into chunks once, so that time
+    grows with the text and its spans.  Texts of any length and repeated rows are rows like
+    any others; an empty table stays one.  ``_s_*`` are working names.
+    """
+    some = F.size(spans) > 0
+    body = F.col(f"`{text}`")
+    blocks = F.transform(F.sequence(F.lit(0), F.expr(f"(size(`{spans}`) - 1) div {SPANS}").cast("int")), lambda j: F.slice(spans, j * SPANS + 1, F.lit(SPANS)))
+    df = with_held_column(df, "_s_blocks", F.when(some, blocks))
+    df = with_held_column(df, "_s_most", F.transform("_s_blocks", lambda b: F.array_max(b["end"])))
+    df = with_held_column(df, "_s_before", F.transform("_s_most", lambda _, j: F.coalesce(F.array_max(F.slice("_s_most", F.lit(1), j)), F.lit(-1))))
+    reach = lambda b, i, j: F.greatest(F.get("_s_before", j), F.coalesce(F.array_max(F.slice(b["end"], F.lit(1), i)), F.lit(-1)))
+    reached = lambda b, j: F.transform(b, lambda s, i: F.struct(s["start"].alias("start"), reach(b, i, j).alias("reach")))
+    # A marker stands where a span begins beyond all before it; the text from their reach to its start is kept.
+    first = lambda b, j: F.filter(reached(b, j), lambda s: s["reach"] < s["start"])
+    df = with_held_column(df, "_s_first", F.flatten(F.transform("_s_blocks", first)))
+    large = F.transform(F.sequence(F.lit(0), F.floor((F.length(body) - 1) / (CHUNK * CHUNK)).cast("int")), lambda k: F.substring(body, k * CHUNK * CHUNK + 1, F.lit(CHUNK * CHUNK)))
+    small = F.transform(large, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / CHUNK).cast("int")), lambda k: F.substring(x, k * CHUNK + 1, F.lit(CHUNK))))
+    df = with_held_column(df, "_s_chunks", F.when(some, F.flatten(small)))
+
+    def cut(begin: Column, end: Column) -> Column:
+        begin = F.greatest(begin, F.lit(0))
+        low, high = F.floor(begin / CHUNK).cast("int"), F.floor(F.greatest(end - 1, begin) / CHUNK).cast("int")
+        return F.substring(F.array_join(F.slice("_s_chunks", low + 1, high - low + 1), ""), begin % CHUNK + 1, end - begin)
+
+    pieces = F.transform("_s_first", lambda s: cut(s["reach"], s["start"]))
+    whole = F.array_join(F.concat(pieces, F.array(cut(F.array_max("_s_most"), F.length(body)))), marker)
+    return df.withColumn(text, F.when(some, whole).otherwise(body)).drop("_s_blocks", "_s_most", "_s_before", "_s_first", "_s_chunks")
 
 
 def secret_digest(df: DataFrame) -> DataFrame:

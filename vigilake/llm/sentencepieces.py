@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigilake.llm.common import text_slices
+from vigilake.llm.common import carries_columns, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -276,6 +276,7 @@ def _encode(shared):
     return run
 
 
+@carries_columns("text")
 def encode_pieces(df: DataFrame, text: str = "text", model: str = MODEL, threads: int = 2, keep_text: bool = True) -> DataFrame:
     """Adds token_ids (array of int), n_tokens, n_differing (words on which the libraries differ) and decodes.
 

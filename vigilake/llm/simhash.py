@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigilake.llm.common import checkpointed, text_slices
+from vigilake.llm.common import carries_columns, checkpointed, text_slices
 
 SHINGLE, SEED, BITS, DIFFERENCES = 4, 42, 64, 4
 #: Fingerprints aimed at in a group, the most in one task's side, members of a node.
@@ -258,6 +258,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+@carries_columns("order", "text")
 def near_duplicate_groups(df: DataFrame, order: str, text: str = "text", k: int = DIFFERENCES) -> DataFrame:
     """``df`` without ``text``, with ``_fp``, ``component_id`` and ``_group``.
 
@@ -294,6 +295,7 @@ def first_of_groups(keyed: DataFrame, grouped: DataFrame, group: str, order: str
     return keyed.join(best, ["__row", "__also"], "left_semi").dropDuplicates(["__row", "__also"]).drop("__row", "__also")
 
 
+@carries_columns("order", "text")
 def drop_near_duplicates(df: DataFrame, order: str = "doc_id", text: str = "text", k: int = DIFFERENCES) -> DataFrame:
     """One row of each group: the one with the smallest ``order``, then row hash; exact repeats give one row."""
     keyed = with_row_keys(df)
