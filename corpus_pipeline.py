@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vigilake.llm import decontamination, near, quality, secrets, sentencepieces
 from vigilake.llm.common import read_table, stage_folder
+from vigilake.sources import folders
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -64,9 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written before the next one reads it."""
+    """All stages over ``documents``; each is written before the next one reads it, and removed once that one is written."""
     docs, folder = read_table(spark, sf_dir, "documents"), stage_folder(spark)
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            folders.remove(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
