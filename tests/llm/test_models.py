@@ -252,6 +252,16 @@ def test_every_byte_is_labelled_and_padding_changes_nothing():
     assert network.word_sums([long])[0] == pytest.approx(total, rel=1e-4)
 
 
+def test_more_languages_share_the_words(spark, monkeypatch):
+    rows = [(i, prose(i, 30), f"l{i % 5}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    every = language.draw_words(df, "text", "lang", "doc_id", words=10)
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    fewer = language.draw_words(df, "text", "lang", "doc_id", words=10)
+    assert Counter(x for _, x in every) == {f"l{i}": 10 for i in range(5)} and Counter(x for _, x in fewer) == {f"l{i}": 4 for i in range(5)}
+    assert set(fewer) <= set(every)
+
+
 def test_runs_without_spaces_are_learnt_whole(spark):
     rows = [(i, ("ab" if i % 2 else "ÀÉ") * 300, "xx" if i % 2 else "yy") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

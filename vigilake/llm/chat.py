@@ -298,7 +298,12 @@ def render(repaired: DataFrame, begin: str = "<|im_start|>", end: str = "<|im_en
 
 
 def chat_digest(df: DataFrame) -> DataFrame:
-    """One row for each conversation: counts of turns and actions, cost and the rendered text."""
+    """One row for each conversation: counts of turns and actions, cost and the rendered text.
+
+    Null turns, roles and texts and repeated rows are repaired as ``repair_conversations``
+    says, which also breaks ties; a conversation of any length is one row.  An empty table
+    gives none; other columns are not read.
+    """
     done = render(repair_conversations(df))
     total = lambda value: F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + value(t))
     return done.select(

@@ -464,7 +464,9 @@ def score_corpus(
 def score_digest(df: DataFrame) -> DataFrame:
     """doc_id, held_out, counts, base_score, score and bits_per_byte of every row, learnt from those not held out.
 
-    Null texts are empty: one token, the end.  An empty table gives no rows.
+    Null texts are empty: one token, the end.  Texts are scored whole; repeated rows each give
+    a row and train as often; nothing is ranked, so there are no ties.  An empty table gives
+    no rows; columns beside doc_id and text are not read.
     """
     rows = df.select("doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), "text")
     return score_corpus(rows, rows.filter("NOT held_out"), others=rows.filter("held_out")).select(

@@ -26,7 +26,7 @@ from vigilake.llm.common import WHITESPACE, carries_columns, crc_mod, text_slice
 
 #: Labelled documents and words drawn from them by language: the bound of what training sees.
 DOCUMENTS, WORDS = 300, 4000
-#: Languages at most: a network has an output for each, and their sampling rates go out to every task.
+#: Languages with all their WORDS, and whose sampling rates go out to every task; more share that many words.
 LANGUAGES = 1000
 #: Bytes of a piece, and bytes read (not labelled) on either side of it; characters of a training piece.
 PIECE, MARGIN, DRAWN = 48, 12, 16
@@ -182,13 +182,16 @@ def draw_words(labelled: DataFrame, text: str, lang: str, key: str, documents: i
 
     Documents are drawn by hash of ``key`` and text with each language's rate, so that no more
     than the sample is cut into words; a word of over PIECE bytes gives all its pieces of DRAWN
-    characters.
+    characters.  Beyond LANGUAGES languages each has fewer words, so that their number in all,
+    which comes to the driver, is bounded.
     """
     rates = labelled.groupBy(lang).agg((F.lit(float(documents)) / F.count("*")).alias("_rate"))
-    if rates.count() > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    many = rates.count()
+    words = max(1, min(words, LANGUAGES * words // max(many, 1)))
+    # Few rates go out to the tasks; many are joined.
+    rates = F.broadcast(rates) if many <= LANGUAGES else rates
     chance = F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.join(F.broadcast(rates), lang).filter(chance < F.col("_rate"))
+    sample = labelled.join(rates, lang).filter(chance < F.col("_rate"))
     lowered = F.translate(F.trim(F.col(text), F.lit(WHITESPACE)), ascii_uppercase, ascii_lowercase)
     runs = sample.select(F.col(lang).alias("lang"), F.explode(F.split(lowered, "[\\x20\\x09-\\x0D]+")).alias("run"))
     pieces = F.when(F.octet_length("run") <= PIECE, F.array("run")).otherwise(F.regexp_extract_all("run", F.lit(f"(?s).{{1,{DRAWN}}}"), F.lit(0)))

@@ -197,8 +197,9 @@ def scan_secrets(
 
     Places are code points, end exclusive.  Fixed patterns (assign, access, hex) are always
     reported.  A candidate that matches any ``allow`` pattern gives no entropy span.  Null
-    and empty texts give an empty array.  All other columns stay; a column named like
-    ``out`` is replaced, and ``_s_*`` are working names.
+    and empty texts give an empty array.  Texts of any length are read whole; repeated rows
+    each give a row, an empty table gives none.  All other columns stay; a column named like
+    ``out`` is replaced.
     """
     own = "_s_text"
     df = df.withColumn(own, F.coalesce(F.col(text), F.lit("")))
@@ -235,7 +236,7 @@ def redact_secrets(df: DataFrame, text: str = "text", spans: str = "secret_spans
     Spans come sorted by start.  How far spans reach before each one is known by blocks of
     SPANS of them and inside a block, and the text is cut into chunks once, so that time
     grows with the text and its spans.  Texts of any length and repeated rows are rows like
-    any others; an empty table stays one.  ``_s_*`` are working names.
+    any others; an empty table stays one.  All other columns stay.
     """
     some = F.size(spans) > 0
     body = F.col(f"`{text}`")
@@ -263,7 +264,12 @@ def redact_secrets(df: DataFrame, text: str = "text", spans: str = "secret_spans
 
 
 def secret_digest(df: DataFrame) -> DataFrame:
-    """doc_id, counts of the fixed patterns, digest of their spans, and all spans as text."""
+    """doc_id, counts of the fixed patterns, digest of their spans, and all spans as text, for every row.
+
+    A null text is an empty one, without spans; a null doc_id stays null.  Texts are read
+    whole, repeated rows each give a row, an empty table gives none.  Spans that begin at one
+    place come in the order of their kinds.  Columns beside doc_id and text are not read.
+    """
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("secret_spans", lambda s: s["ord"] < 3)
     count = lambda k: F.size(F.filter("secret_spans", lambda s: s["ord"] == k)).cast("long")

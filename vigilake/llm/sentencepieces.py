@@ -320,5 +320,9 @@ def decode_pieces(df: DataFrame, ids: str = "token_ids", out: str = "decoded", m
 
 
 def piece_digest(df: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, token_ids, n_differing, decodes of every row; a null text has null ids and 0 tokens."""
+    """doc_id, n_tokens, token_ids, n_differing, decodes of every row; a null text has null ids and 0 tokens.
+
+    Texts are encoded whole, an empty one has no ids; repeated rows each give a row, an empty
+    table gives none; columns beside doc_id and text are not read.
+    """
     return encode_pieces(df.select("doc_id", "text"), keep_text=False).select("doc_id", "n_tokens", "token_ids", "n_differing", "decodes")

@@ -105,7 +105,11 @@ def shard_rows(df: DataFrame, n_shards: int, key: str = "doc_id", slot_blocks: i
 
 
 def shard_digest(df: DataFrame, n_shards: int = 40) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; a null text is an empty one, a null doc_id the key 0."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; a null text is an empty one, a null doc_id the key 0.
+
+    Texts are measured whole; repeated rows each have a slot of their own, in any order among
+    themselves; an empty table gives none.  Columns beside doc_id and text are not read.
+    """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     sized = df.select(
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32")

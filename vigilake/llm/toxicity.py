@@ -223,7 +223,9 @@ def grade_toxicity(df: DataFrame, model: OrdinalModel, text: str = "text", least
 def toxicity_digest(df: DataFrame, labels: DataFrame) -> DataFrame:
     """Grades of every row, from a model of labelled documents whose crc32(doc_id) mod 4 is not 2.
 
-    Null texts are empty; without labels nothing is toxic; columns beside doc_id and text are not read.
+    Null texts are empty; without labels nothing is toxic.  Texts are graded whole, repeated
+    rows each give a row; of equally likely grades the lowest is told; an empty table gives
+    none; columns beside doc_id and text are not read.
     """
     held_out = (crc_mod("doc_id", 4) == 2).alias("held_out")
     drawn = draw_labelled(df, labels.filter(crc_mod("doc_id", 4) != 2), "doc_id", "text")
