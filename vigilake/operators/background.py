@@ -197,7 +197,7 @@ def _fold(options: Options, keep_states: bool):
                             if method in held and (arrays[0]["height"], arrays[0]["width"]) == size:
                                 held[method].restore(state_arrays(arrays))
                         given = {}
-                    part = np.frombuffer(row["px"], np.uint8).reshape(row["h"], row["w"], 3)
+                    part = options.prepared(row) if options.tile is None else np.frombuffer(row["px"], np.uint8).reshape(row["h"], row["w"], 3)
                     made = []
                     for method, model in held.items():
                         mask = masks.clean(model.apply(part), options.kernel_size)
@@ -229,7 +229,12 @@ def fold_frames(frames: DataFrame, options: Options, states: DataFrame | None =
     if "night" not in frames.columns:
         frames = frames.withColumn("night", F.lit(options.night_mode))
     rows = frames.select("category", "scene", "frame_idx", "width", "height", F.coalesce("night", F.lit(options.night_mode)).alias("night"), "px").filter("px IS NOT NULL")
-    parts = cut_tiles(rows, options)
+    if options.tile is None:
+        places = {"tx": F.lit(0), "ty": F.lit(0), "x0": F.lit(0), "y0": F.lit(0), "w": F.col("width"), "h": F.col("height")}
+        blank = {n: F.lit(None).cast(_IN[n].dataType) for n in ("method", "name", "dtype", "reason", "shape")}
+        parts = rows.withColumns(places | blank).select(*_IN.names)
+    else:
+        parts = cut_tiles(rows, options)
     if states is not None:
         columns = [c for c in _IN.names if c not in ("px", "reason", "frame_idx")]
         begun = states.select(*columns, F.lit(-1).cast("long").alias("frame_idx"), F.col("data").alias("px"), F.lit(None).cast("string").alias("reason"))
