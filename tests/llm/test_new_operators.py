@@ -1,5 +1,6 @@
 """Collocations, spelling variants and exact top-k against plain versions."""
 
+import os
 import random
 import re
 import zlib
@@ -198,3 +199,20 @@ def test_top_k_of_few_and_large(spark):
     assert sorted(map(tuple, pv.top_k(spark.createDataFrame(large, schema), k=5).collect()), key=repr) == plain_top(large, 5, 20)
     with pytest.raises(Exception, match="fit into a long"):
         pv.top_k(spark.createDataFrame([(0, [1e17]), (1, [1e17])], schema)).collect()
+
+
+@pytest.mark.parametrize("name", ["op11_collocations", "op12_spelling_variants", "op13_exact_top_k"])
+def test_queries_equal_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from vigilake.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test data")
+    con = duckdb.connect()
+    for file in os.listdir(data):
+        con.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{data}/{file}'")
+    df, found = queries.QUERIES[name](spark, data), con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in found.description]
+    want = Counter(tuple(r[columns.index(c)] for c in df.columns) for r in found.fetchall())
+    assert sorted(columns) == sorted(df.columns) and Counter(map(tuple, df.collect())) == want
