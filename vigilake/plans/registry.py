@@ -530,7 +530,7 @@ CLEAN_SQL = """beside AS (SELECT a.p, b.p AS q FROM range(1, 65) a(p), range(1,
 
 # Whole-frame samples are kept in slots by the frame's number, so the nearest-sample model is a
 # join of each pixel with the frames alive before it: 8 by 8 frames, history 50, 21 slots.
-MASKS_SQL = f"""{V.TINY_SQL},
+SAMPLES_CTES = f"""{V.TINY_SQL},
   pixel AS (SELECT scene, frame_idx AS t, i AS p, px[i] AS v FROM fr, range(1, 65) r(i)),
   paced AS (SELECT scene, frame_idx AS s, ((frame_idx + 1) * 2654435761) % 4294967296 AS turn, (1.0::DOUBLE / least(2 * (frame_idx + 1), 50)) * 21 AS pace FROM fr),
   stored AS (SELECT scene, s, CASE WHEN s < 21 THEN s ELSE (turn // 128) % 21 END AS slot FROM paced WHERE s < 21 OR turn / 4294967296.0::DOUBLE < pace),
@@ -542,12 +542,39 @@ MASKS_SQL = f"""{V.TINY_SQL},
     UNION ALL SELECT scene, t, p, TRUE FROM pixel WHERE t = 0),
   judged AS (SELECT q.scene, q.t, q.p, count(*) FILTER (WHERE near AND counts) >= least(2, q.t) AS background, bool_or(counts AND m > 0 AND v <= m AND 2 * v >= m) AS shadow
     FROM pairs q JOIN familiar USING (scene, s, p) GROUP BY q.scene, q.t, q.p),
-  raw AS (SELECT scene, t, p, NOT background AND NOT shadow AS on_ FROM judged UNION ALL SELECT scene, t, p, TRUE FROM pixel WHERE t = 0),
-  {CLEAN_SQL}"""
+  samples_raw AS (SELECT scene, t, p, NOT background AND NOT shadow AS on_ FROM judged UNION ALL SELECT scene, t, p, TRUE FROM pixel WHERE t = 0)"""
+MASKS_SQL = f"{SAMPLES_CTES}, raw AS (SELECT * FROM samples_raw), {CLEAN_SQL}"
 SAMPLES_SQL = f"""WITH {MASKS_SQL} SELECT 'vectors' AS category, concat('label_', CAST(scene AS VARCHAR)) AS scene, 'KNN' AS method, t AS frame_idx, count(*) FILTER (WHERE on_) / CAST(64 AS DOUBLE) AS coverage
   FROM opened GROUP BY ALL"""
 
 
+# Blobs by reachability: what the border reaches sideways is outside, the rest is filled, and
+# filled pixels that reach each other over corners are one blob.
+BLOBS_SQL = """ring AS (SELECT scene, t, y, x FROM (SELECT DISTINCT scene, t FROM opened), range(-1, 9) a(y), range(-1, 9) b(x)),
+    cell AS (SELECT r.scene, r.t, r.y, r.x, coalesce(o.on_, FALSE) AS on_ FROM ring r
+      LEFT JOIN (SELECT scene, t, (p - 1) // 8 AS y, (p - 1) % 8 AS x, on_ FROM opened) o ON o.scene = r.scene AND o.t = r.t AND o.y = r.y AND o.x = r.x),
+    empty AS (SELECT scene, t, y, x FROM cell WHERE NOT on_),
+    outside(scene, t, y, x) AS (SELECT scene, t, y, x FROM empty WHERE y = -1 AND x = -1
+      UNION SELECT e.scene, e.t, e.y, e.x FROM outside o JOIN empty e ON e.scene = o.scene AND e.t = o.t AND abs(e.y - o.y) + abs(e.x - o.x) = 1),
+    filled AS (SELECT scene, t, y, x FROM cell EXCEPT SELECT scene, t, y, x FROM outside),
+    reach(scene, t, y, x, seed) AS (SELECT scene, t, y, x, y * 8 + x FROM filled
+      UNION SELECT f.scene, f.t, f.y, f.x, r.seed FROM reach r JOIN filled f ON f.scene = r.scene AND f.t = r.t AND abs(f.y - r.y) <= 1 AND abs(f.x - r.x) <= 1),
+    named AS (SELECT scene, t, y, x, min(seed) AS blob FROM reach GROUP BY ALL),
+    squares AS (SELECT scene, t, blob, y - dy AS wy, x - dx AS wx, count(*) AS n FROM named, range(2) a(dy), range(2) b(dx) GROUP BY ALL),
+    sized AS (SELECT scene, t, blob, sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0.0 END) AS area FROM squares GROUP BY ALL),
+    boxed AS (SELECT scene, t, blob, greatest(0, min(x) - 1) AS x, greatest(0, min(y) - 1) AS y, least(8, max(x) + 2) AS x1, least(8, max(y) + 2) AS y1 FROM named GROUP BY ALL),
+    blobs AS (SELECT boxed.* FROM boxed JOIN sized USING (scene, t, blob) WHERE sized.area >= 1)"""
+
+# Both methods at once: the scene's name goes through the masks behind the method's.
+BOTH_SQL = f"""WITH RECURSIVE {SAMPLES_CTES}, {mixture_ctes("pixel", 50)},
+  raw AS (SELECT concat('MOG2/label_', scene) AS scene, t, p, on_ FROM mix_raw UNION ALL SELECT concat('KNN/label_', scene), t, p, on_ FROM samples_raw),
+  {CLEAN_SQL}, {BLOBS_SQL}"""
+ACTIVITY_SQL = f"""{BOTH_SQL}, shares AS (SELECT scene, t, count(*) FILTER (WHERE on_) / CAST(64 AS DOUBLE) AS coverage FROM opened GROUP BY ALL),
+  numbers AS (SELECT scene, t, count(*) AS n FROM blobs GROUP BY ALL)
+  SELECT 'vectors' AS category, split_part(scene, '/', 2) AS scene, split_part(scene, '/', 1) AS method, t AS frame_idx, coverage, CAST(coalesce(n, 0) AS INT) AS n_regions
+  FROM shares LEFT JOIN numbers USING (scene, t)"""
+
+
 def _sample_coverage(spark, d, tile=None):
     found = background.subtract_background(V.tiny_clips(spark, d), methods=("KNN",), min_area=1, pad=1, history=50, tile=tile)
     return found.select("category", "scene", "method", "frame_idx", "coverage")
@@ -577,47 +604,34 @@ def _(spark, d):
     return _sample_coverage(spark, d, tile=4)
 
 
-# Blobs by reachability: what the border reaches sideways is outside, the rest is filled, and
-# filled pixels that reach each other over corners are one blob.
 @query(
     "nearest_sample_regions",
     f"""WITH RECURSIVE {MASKS_SQL},
-    ring AS (SELECT scene, t, y, x FROM (SELECT DISTINCT scene, t FROM opened), range(-1, 9) a(y), range(-1, 9) b(x)),
-    cell AS (SELECT r.scene, r.t, r.y, r.x, coalesce(o.on_, FALSE) AS on_ FROM ring r
-      LEFT JOIN (SELECT scene, t, (p - 1) // 8 AS y, (p - 1) % 8 AS x, on_ FROM opened) o ON o.scene = r.scene AND o.t = r.t AND o.y = r.y AND o.x = r.x),
-    empty AS (SELECT scene, t, y, x FROM cell WHERE NOT on_),
-    outside(scene, t, y, x) AS (SELECT scene, t, y, x FROM empty WHERE y = -1 AND x = -1
-      UNION SELECT e.scene, e.t, e.y, e.x FROM outside o JOIN empty e ON e.scene = o.scene AND e.t = o.t AND abs(e.y - o.y) + abs(e.x - o.x) = 1),
-    filled AS (SELECT scene, t, y, x FROM cell EXCEPT SELECT scene, t, y, x FROM outside),
-    reach(scene, t, y, x, seed) AS (SELECT scene, t, y, x, y * 8 + x FROM filled
-      UNION SELECT f.scene, f.t, f.y, f.x, r.seed FROM reach r JOIN filled f ON f.scene = r.scene AND f.t = r.t AND abs(f.y - r.y) <= 1 AND abs(f.x - r.x) <= 1),
-    named AS (SELECT scene, t, y, x, min(seed) AS blob FROM reach GROUP BY ALL),
-    squares AS (SELECT scene, t, blob, y - dy AS wy, x - dx AS wx, count(*) AS n FROM named, range(2) a(dy), range(2) b(dx) GROUP BY ALL),
-    sized AS (SELECT scene, t, blob, sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0.0 END) AS area FROM squares GROUP BY ALL),
-    boxed AS (SELECT scene, t, blob, greatest(0, min(x) - 1) AS x, greatest(0, min(y) - 1) AS y, least(8, max(x) + 2) AS x1, least(8, max(y) + 2) AS y1 FROM named GROUP BY ALL)
+    {BLOBS_SQL}
     SELECT 'vectors' AS category, concat('label_', CAST(scene AS VARCHAR)) AS scene, 'KNN' AS method, t AS frame_idx, CAST(x AS INT) AS x, CAST(y AS INT) AS y,
-      CAST(x1 - x AS INT) AS w, CAST(y1 - y AS INT) AS h, CAST((x1 - x) * (y1 - y) AS INT) AS area FROM boxed JOIN sized USING (scene, t, blob) WHERE sized.area >= 1""",
+      CAST(x1 - x AS INT) AS w, CAST(y1 - y AS INT) AS h, CAST((x1 - x) * (y1 - y) AS INT) AS area FROM blobs""",
 )
 def _(spark, d):
     return background.explode_regions(background.subtract_background(V.tiny_clips(spark, d), methods=("KNN",), min_area=1, pad=1, history=50))
 
 
-# The other pixel jobs have no SQL form; the tests compare them with plain loops.
-
-
-@query("background_activity")
+@query("background_activity", ACTIVITY_SQL)
 def _(spark, d):
     found = background.subtract_background(V.tiny_clips(spark, d), min_area=1, pad=1, history=50)
     return found.select("category", "scene", "method", "frame_idx", "coverage", F.size("regions").alias("n_regions"))
 
 
-@query("tiled_background_activity")
+@query("tiled_background_activity", ACTIVITY_SQL)
 def _(spark, d):
     found = background.subtract_background(V.tiny_clips(spark, d), min_area=1, pad=1, history=50, tile=4)
     return found.select("category", "scene", "method", "frame_idx", "coverage", F.size("regions").alias("n_regions"))
 
 
-@query("background_regions")
+@query(
+    "background_regions",
+    f"""{BOTH_SQL} SELECT 'vectors' AS category, split_part(scene, '/', 2) AS scene, split_part(scene, '/', 1) AS method, t AS frame_idx,
+      CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(x1 - x AS INT) AS w, CAST(y1 - y AS INT) AS h, CAST((x1 - x) * (y1 - y) AS INT) AS area FROM blobs""",
+)
 def _(spark, d):
     return background.explode_regions(background.subtract_background(V.tiny_clips(spark, d), min_area=1, pad=1, history=50))
 
