@@ -127,6 +127,15 @@ def test_clips_that_are_all_warmup_have_zeros(spark):
     assert edge.frames_with_activity == 1 and edge.activity_rate_pct == 50.0
 
 
+def test_averages_that_lie_halfway_do_not_hang_on_the_order_of_rows(spark):
+    shares = [2, 1, 7, 2, 10, 3, 2, 1, 6, 6, 8, 4, 8, 4, 7, 5, 1, 3, 10, 5]
+    for given, want in ((shares, 0.48), ([3, 3, 4, 7, 8, 9, 6, 3, 7, 4, 5, 7, 9, 1, 3, 1, 0, 0, 0, 7], 0.44)):
+        for rows in (given, given[::-1]):
+            frames = counted(spark, [(x / 100 / 10, 1) for x in rows]).coalesce(1)
+            assert coverage.clip_coverage(frames, warmup=0).first().avg_coverage_pct == want
+            assert scorecard.tier_plan(frames, warmup=0).first().avg_coverage_pct == want
+
+
 def test_bad_frames_end_a_clip(spark):
     rows = spark.createDataFrame([("c", "a", i, i == 2) for i in range(5)] + [("c", "b", i, False) for i in range(3)], "category string, scene string, frame_idx long, bad boolean")
     assert scenes.truncate_at_bad(rows, F.col("bad")).count() == 5

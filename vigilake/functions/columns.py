@@ -33,6 +33,19 @@ def coverage(mask: Column | str) -> Column:
     return F.when(F.size(mask) > 0, F.size(F.filter(mask, lambda x: x > 0)) / F.size(mask)).otherwise(F.lit(0.0))
 
 
+def mean_pct(share: Column | str) -> Column:
+    """Aggregate: mean share in %, half up to two places; null of no shares.
+
+    Shares are added up in whole 10^-10ths, so that neither the order of rows nor floats
+    decide a mean that lies halfway.
+    """
+    share = _column(share)
+    parts, n = F.sum(F.round(share * F.lit(1e10)).cast("decimal(18,0)")), F.count(share).cast("decimal(18,0)")
+    half = F.lit(1_000_000).cast("decimal(7,0)") * n
+    # A hundredth of a percent is 10^6 parts.
+    return F.call_function("div", parts + parts + half, half + half).cast("double") / F.lit(100.0)
+
+
 def compression_ratio(original: Column | str, compressed: Column | str) -> Column:
     """original / compressed; infinite for nothing left, even of nothing; an error on negative sizes."""
     original, compressed = _column(original), _column(compressed)

@@ -49,7 +49,7 @@ def clip_coverage(frames: DataFrame, clips: DataFrame | None = None, warmup: Col
     found = frames.groupBy(*SCENE).agg(
         F.count("*").alias("total_frames"),
         F.count(seen(F.lit(1))).alias("n"),
-        F.avg(seen(share)).alias("mean"),
+        C.mean_pct(seen(F.col("coverage"))).alias("mean"),
         F.max(seen(share)).alias("most"),
         F.count_if((post >= 0) & (F.col("coverage") > F.lit(activity))).alias("busy"),
         F.count_if((post >= 0) & (post % sample_rate == 0)).alias("sampled"),
@@ -61,7 +61,7 @@ def clip_coverage(frames: DataFrame, clips: DataFrame | None = None, warmup: Col
         *SCENE,
         "total_frames",
         zero("n").alias("analyzed_frames"),
-        F.coalesce(F.round("mean", 2), F.lit(0.0)).alias("avg_coverage_pct"),
+        F.coalesce("mean", F.lit(0.0)).alias("avg_coverage_pct"),
         F.coalesce(F.round("most", 2), F.lit(0.0)).alias("max_coverage_pct"),
         zero("busy").alias("frames_with_activity"),
         F.round(zero("busy") / F.greatest(zero("n"), F.lit(1)) * 100, 1).alias("activity_rate_pct"),

@@ -15,7 +15,7 @@ def tier_plan(frames: DataFrame, fg_crf: int = 20, bg_crf: int = 40, warmup: Col
     """By scene and method: frames analysed, average coverage %, whether anything moved, and the tier that follows."""
     found = after_warmup(frames, warmup).groupBy("category", "scene", "method").agg(
         F.count("*").alias("frames_analyzed"),
-        F.round(F.avg("coverage") * 100, 2).alias("avg_coverage_pct"),
+        C.mean_pct("coverage").alias("avg_coverage_pct"),
         F.coalesce(F.max(F.col("coverage") > F.lit(activity)), F.lit(False)).alias("has_targets"),
     )
     return found.withColumn("crf_used", C.quality_tier("has_targets", fg_crf, bg_crf))
