@@ -127,6 +127,27 @@ def test_clips_that_are_all_warmup_have_zeros(spark):
     assert edge.frames_with_activity == 1 and edge.activity_rate_pct == 50.0
 
 
+def test_objects_meet_few_detections_and_large_keys_are_dealt(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    spread = spark.createDataFrame([(int(x),) for x in rng.integers(-(2**63), 2**63, 3000)], "hash long")
+    asked, known = (objects._keyed(spread.filter(f"hash % 3 {side} 0"), 10, around) for side, around in (("<>", False), ("=", True)))
+    n = spread.filter("hash % 3 = 0").count()
+    assert asked.count() == 4 * (3000 - n)
+    assert asked.join(known, ["choice", "value"]).count() < 0.01 * n * (3000 - n)
+    monkeypatch.setattr(objects, "TOGETHER", 20)
+    monkeypatch.setattr(objects, "PAIRS", 50)
+    bases = [int(b) for b in rng.integers(-(2**63), 2**63, 4)]
+    changed = lambda b: b ^ objects._signed(sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 12), replace=False)))
+    codes, own = [changed(b) for b in bases for _ in range(60)], [changed(b) for b in bases for _ in range(8)]
+    t = dt.datetime(2026, 1, 1)
+    seen = spark.createDataFrame([(i, c) for i, c in enumerate(codes)] + [(-1, None)], "detection_id long, hash long")
+    registry = spark.createDataFrame([(100 - i, c, "cam_a", t) for i, c in enumerate(own * 2)], "object_id long, hash long, camera_id string, first_seen timestamp")
+    for bits in (1, 10):
+        best = {i: min((((c ^ o) & (2**64 - 1)).bit_count(), 100 - j) for j, o in enumerate(own * 2)) for i, c in enumerate(codes)}
+        want = {i: b if b[0] <= bits else (None, None) for i, b in best.items()} | {-1: (None, None)}
+        assert {r.detection_id: (r.distance, r.object_id) for r in objects.match_objects(seen, registry, bits).collect()} == want
+
+
 def test_averages_that_lie_halfway_do_not_hang_on_the_order_of_rows(spark):
     shares = [2, 1, 7, 2, 10, 3, 2, 1, 6, 6, 8, 4, 8, 4, 7, 5, 1, 3, 10, 5]
     for given, want in ((shares, 0.48), ([3, 3, 4, 7, 8, 9, 6, 3, 7, 4, 5, 7, 9, 1, 3, 1, 0, 0, 0, 7], 0.44)):
