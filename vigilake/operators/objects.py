@@ -36,7 +36,7 @@ def _keyed(hashes: DataFrame, bits: int, around: bool) -> DataFrame:
     parts = _parts(bits)
     values = [F.shiftrightunsigned("hash", begin).bitwiseAND(F.lit(_signed((1 << width) - 1)).cast("long")) for begin, width, _ in parts]
     changes = [(i, _signed(sum(1 << k for k in c))) for i, (_, width, far) in enumerate(parts) for m in range(min(far, width) + 1 if around else 1) for c in combinations(range(width), m)]
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.lit(c).cast("long").alias("change")) for i, c in changes]))
+    each = F.explode(F.expr(f"array({', '.join(f"struct({i} AS choice, bigint('{c}') AS change)" for i, c in changes)})"))
     rows = hashes.withColumns({"_values": F.array(*values), "_c": each})
     value = F.element_at("_values", F.col("_c.choice") + 1).bitwiseXOR(F.col("_c.change"))
     return rows.withColumns({"choice": F.col("_c.choice"), "value": value}).drop("_values", "_c")
