@@ -408,3 +408,14 @@ def test_a_broken_scene_does_not_end_the_job(spark, tmp_path):
         assert (bad.scene, bad.frame_idx) == ("bad", 3) and "reshape" in bad.reason
     with pytest.raises(Exception, match="reshape"):
         background.subtract_background(broken, methods=("MOG2",)).count()
+
+
+def test_tiles_work_on_every_pixel_once(spark):
+    options = background.Options(tile=4)
+    assert sum(w * h for *_, w, h in options.tiles(8, 10)) == 80
+    sizes = {"large": [f[:20, :30] for f in noisy_scene(7)], "small": [f[:8, :8] for f in noisy_scene(30, 1)]}
+    table = frame_table(spark, sizes).withColumn("night", F.col("frame_idx") >= 0)
+    cut = background.cut_tiles(table, options).groupBy("scene", "frame_idx").agg(F.sum(F.length("px")).alias("n"))
+    assert {(r.scene, r.n) for r in cut.collect()} == {("large", 1800), ("small", 192)}
+    given = {"methods": models.ALL_METHODS, "min_area": 1, "pad": 1, "history": 20}
+    assert as_set(background.subtract_background(table, tile=4, **given)) == as_set(background.subtract_background(table, **given))

@@ -310,3 +310,42 @@ def test_packing_gives_back_within_a_step(tier):
     for frame, back, again in zip(frames, backs, packing.unpack(list(parts), (16, 16, 3), tier)):
         assert (back == again).all() and np.abs(back.astype(int) - frame).max() <= packing.step_of(tier)
     assert tier > 18 or all((f == b).all() for f, b in zip(frames, backs))
+
+
+def small_frames(n=120, h=6, w=5, seed=4):
+    rng = np.random.default_rng(seed)
+    frames = np.clip(rng.normal(120, 35, (n, h, w, 3)), 0, 255)
+    frames[n // 2 :] *= 0.6
+    return frames.astype(np.uint8)
+
+
+@pytest.mark.parametrize("method", models.ALL_METHODS)
+@pytest.mark.parametrize("rate", [-1, 0, 0.3])
+def test_frames_together_give_what_they_give_one_by_one(method, rate):
+    frames = small_frames()
+    one, many = (models.background_model(method, 6, 5, history=20, learning_rate=rate) for _ in range(2))
+    want = np.stack([one.apply(f) for f in frames])
+    cuts = [0, 1, 4, 30, 31, len(frames)]
+    assert np.array_equal(np.concatenate([many.apply_each(frames[a:b]) for a, b in zip(cuts, cuts[1:])]), want)
+    assert all(np.array_equal(v, many.state()[k]) for k, v in one.state().items())
+    assert method == "GMG" or rate == 0 or len(np.unique(want)) == 3
+
+
+@pytest.mark.parametrize("method", models.ALL_METHODS)
+def test_a_part_goes_on_from_the_state_of_the_whole(method):
+    frames = small_frames()
+    whole, part, want = (models.background_model(method, *size, history=20) for size in ((6, 5), (3, 2), (6, 5)))
+    whole.apply_each(frames[:60])
+    part.restore(models.part_of_state(whole.state(), (6, 5), 2, 3, 3, 2))
+    want.restore(whole.state())
+    assert np.array_equal(part.apply_each(frames[60:, 2:5, 3:5]), want.apply_each(frames[60:])[:, 2:5, 3:5])
+
+
+def test_masks_in_a_stack_do_not_touch():
+    rng = np.random.default_rng(5)
+    stack = rng.random((40, 7, 9)) < 0.6
+    stack[0], stack[1], stack[2] = True, False, True
+    for least, pad in ((1, 1), (0, 2), (6, 0)):
+        assert regions.regions_each(stack, least, pad) == [regions.regions(m, least, pad) for m in stack]
+    assert regions.regions_each(stack, 1, 0)[:3] == [[(0, 0, 9, 7, 63)], [], [(0, 0, 9, 7, 63)]]
+    assert np.array_equal(masks.clean_foreground(stack), np.stack([masks.clean(m * np.uint8(255)) for m in stack]))

@@ -207,7 +207,7 @@ def stream_segments(
         night, begin = F.coalesce("_night", night), F.coalesce("_warmup", begin)
     rows = rows.select("category", "scene", "frame_idx", "width", "height", night.alias("night"), begin.alias("warmup"), "px")
     mode = "none" if flush_idle_seconds is None else "processingTime"
-    parts = background.cut_tiles(rows, given)
+    parts = background.cut_tiles(rows, given, given.halo)
     tiles = parts.groupBy("category", "scene", "tx", "ty").transformWithStateInPandas(TileProcessor(given), outputStructType=_TILE, outputMode="append", timeMode=mode)
     idle = None if flush_idle_seconds is None else int(1000 * flush_idle_seconds)
     counter = SegmentProcessor(given, max(1, int(fps * segment_seconds)), fps, (foreground, background_tier), idle)
