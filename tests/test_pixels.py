@@ -331,6 +331,18 @@ def test_frames_together_give_what_they_give_one_by_one(method, rate):
     assert method == "GMG" or rate == 0 or len(np.unique(want)) == 3
 
 
+def test_small_pictures_are_not_compared_frame_by_frame(monkeypatch):
+    calls = []
+    close = models.Samples._close
+    monkeypatch.setattr(models.Samples, "_close", lambda *a: calls.append(1) or close(*a))
+    models.Samples(6, 5, history=20).apply_each(small_frames(400))
+    assert len(calls) == models.Samples.STORED
+    # Pictures too large for that go one by one.
+    large = small_frames(3, 30, 30)
+    one, many = models.Samples(30, 30), models.Samples(30, 30)
+    assert np.array_equal(many.apply_each(large), np.stack([one.apply(f) for f in large]))
+
+
 @pytest.mark.parametrize("method", models.ALL_METHODS)
 def test_a_part_goes_on_from_the_state_of_the_whole(method):
     frames = small_frames()
