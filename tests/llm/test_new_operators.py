@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import ODD_TEXTS
 from pyspark.sql import functions as F
@@ -73,6 +74,24 @@ def test_collocations_equal_plain_counting(spark, monkeypatch, saturated, span):
         assert found == plain_collocations(rows, least, best)
 
 
+def test_grams_given_out_follow_the_words_read(monkeypatch):
+    monkeypatch.setattr(co, "PART", 64)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randrange(1, 40))) for _ in range(60)]
+    batch = lambda k: pa.RecordBatch.from_pydict({"text": texts * k, "lang": ["en", None, "fr"] * (20 * k)})
+    bits = [np.full(1 << (co.COUNTER_BITS - 3), 255, np.uint8)] * 2
+    once, more = ([r for b in co._grams(bits, co.SPAN)(iter([batch(k)])) for r in b.to_pylist()] for k in (1, 8))
+    n = len(" ".join(texts).split())
+    # Eight times the words bring eight times the rows, however many grams are known by then.
+    assert 7 * len(once) < len(more) < 9 * len(once) and len(more) <= 8 * n + 3
+    sums = [Counter() for _ in range(2)]
+    for total, rows in zip(sums, (once, more)):
+        for r in rows:
+            total[r["lang"], r["m"], r["gram"]] += r["n"]
+    assert sums[1] == Counter({k: 8 * v for k, v in sums[0].items()})
+    assert sum(v for (_, m, _), v in sums[0].items() if m == 0) == n == sum(v for (_, m, _), v in sums[0].items() if m)
+
+
 def test_paths_are_compacted_over_plain_nodes(spark):
     fixed = "one two three four five six seven eight nine ten"
     rows = [(f"{fixed}. other words here", "en")] * 6 + [(f"{fixed} eleven", "en")] * 5 + [("a a a a a a a a", "en")] * 6

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ COUNTED, COUNTER_BITS = (2, 3), 24
 SALTS = 64
 UNKNOWN = "und"
 _STOPS = re.compile(rb"[.,;:!?\n-\r]+")
-#: Grams that a task adds up before it gives them out.
-HELD = 300_000
+#: Words whose grams are added up before they are given out, so that rows follow the words of the input; Spark adds on before it shuffles.
+PART = 1 << 16
 #: Most words read at once, so that three local numbers fit into 63 bits.
 SPAN = 1 << 19
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -162,48 +163,37 @@ def _has(bits: np.ndarray, counter: np.ndarray) -> np.ndarray:
 
 
 def _grams(bits: list[np.ndarray], span: int):
-    """mapInArrow function: (lang, m, gram, n), the grams that words open, added up within a task; m = 0 counts the words.
-
-    Sums are given out whenever HELD grams have come together.
-    """
+    """mapInArrow function: (lang, m, gram, n), the grams that words open, added up over PART words; m = 0 counts the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[bytes, int], dict[bytes, int]] = {}
         for seen, numbers, counted in _numbered(batches, span):
             hashes = _hashes(seen)
             length = _lengths(numbers, hashes, bits)[:counted]
             length[(length == 1) & ~_has(bits[0], _word_counter(hashes))[numbers[:counted]]] = 0
-            for (lang, _), n in zip(seen[1:], np.bincount(numbers[:counted], minlength=len(seen))[1:].tolist(), strict=True):
-                total = held.setdefault((lang, 0), {b"": 0})
-                total[b""] += n
+            langs, words = (pa.array([key[i] for key in seen], pa.binary()).cast(pa.string()) for i in (0, 1))
+            own = langs.dictionary_encode()
+            each = np.bincount(np.asarray(own.indices)[numbers[:counted][numbers[:counted] > 0]])
+            spoken = np.flatnonzero(each)
+            yield _gram_rows(own.dictionary.take(pa.array(spoken)), 0, pa.repeat("", len(spoken)), each[spoken])
             _, pair = np.unique(numbers[:-1] << 32 | numbers[1:], return_inverse=True)
-            for m in range(1, LONGEST + 1):
-                start = np.flatnonzero(length == m)
-                if not len(start):
-                    continue
-                key = numbers[start] if m % 2 else pair[start]
-                for step in range(m % 2, m - 1, 2) if m % 2 else range(2, m, 2):
-                    key = key << 21 | pair[start + step]
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
-                for k, *places in zip(n.tolist(), *(numbers[start[first] + j].tolist() for j in range(m)), strict=True):
-                    own = held.setdefault((seen[places[0]][0], m), {})
-                    gram = b" ".join([seen[i][1] for i in places])
-                    own[gram] = own.get(gram, 0) + k
-            if sum(map(len, held.values())) >= HELD:
-                yield from _gram_rows(held)
-                held = {}
-        yield from _gram_rows(held)
+            for begin in range(0, counted, PART):
+                for m in range(1, LONGEST + 1):
+                    start = np.flatnonzero(length[begin : begin + PART] == m) + begin
+                    if not len(start):
+                        continue
+                    key = numbers[start] if m % 2 else pair[start]
+                    for step in range(m % 2, m - 1, 2) if m % 2 else range(2, m, 2):
+                        key = key << 21 | pair[start + step]
+                    _, first, n = np.unique(key, return_index=True, return_counts=True)
+                    at = start[first]
+                    parts = [words.take(pa.array(numbers[at + k])) for k in range(m)]
+                    yield _gram_rows(langs.take(pa.array(numbers[at])), m, pc.binary_join_element_wise(*parts, " "), n)
 
     return run
 
 
-def _gram_rows(held: dict[tuple[bytes, int], dict[bytes, int]], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    for (lang, m), counts in held.items():
-        grams, n = list(counts), list(counts.values())
-        for i in range(0, len(grams), most):
-            part = pa.array(grams[i : i + most], pa.binary()).cast(pa.string())
-            same = [pa.repeat(pa.scalar(x, t), len(part)) for x, t in ((lang.decode(), pa.string()), (m, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*same, part, pa.array(n[i : i + most], pa.int64())], ["lang", "m", "gram", "n"])
+def _gram_rows(langs: pa.Array, m: int, grams: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([langs, pa.repeat(pa.scalar(m, pa.int32()), len(n)), grams, pa.array(n.astype(np.int64))], ["lang", "m", "gram", "n"])
 
 
 def _first(gram: str, k: Column | int) -> Column:
